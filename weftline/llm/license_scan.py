@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +33,8 @@ TEMPLATES = (
 )
 #: Dice coefficient that counts as a match, in hundredths.
 MATCH = 80
+#: Letters from which a word counts as rare when words are chosen that a match must have.
+RARE_LENGTH = 7
 #: Bytes of templates that may be broadcast; a larger set is joined by shuffle.
 BROADCAST_BYTES = 4 << 20
 
@@ -43,6 +50,40 @@ def bigrams(words):
     return F.when(F.size(words) > 1, F.array_distinct(pairs)).when(words[0] != "", words).otherwise(F.array().cast("array<string>"))
 
 
+def needles(templates=TEMPLATES, match: int = MATCH) -> list[list[str]]:
+    """Groups of words; every text that matches a template has all words of at least one group.
+
+    A match shares at least match / (200 - match) of the template's bigrams. Words are taken out, long ones first,
+    which few other texts have, and of them those in most of the bigrams left. Once a template has fewer bigrams
+    left than a match needs, a text without any of those words can't match it; with just as many left, it must have
+    all their words.
+    """
+    todo: list[tuple[set, int]] = []
+    for _, body in templates:
+        words = [w for w in re.split("[^a-z0-9]+", body.translate(str.maketrans(UPPER, LOWER))) if w]
+        if words:
+            grams = set(zip(words, words[1:])) or {(words[0],)}
+            todo.append((grams, -(-len(grams) * match // (200 - match))))
+    groups: list[list[str]] = []
+    while True:
+        groups += [sorted({w for g in grams for w in g}) for grams, need in todo if len(grams) == need]
+        todo = [(grams, need) for grams, need in todo if len(grams) > need]
+        if not todo:
+            return groups
+        gain = Counter(w for grams, _ in todo for g in grams for w in set(g))
+        best = max(gain, key=lambda w: (min(len(w), RARE_LENGTH), gain[w], w))
+        groups.append([best])
+        todo = [({g for g in grams if best not in g}, need) for grams, need in todo]
+
+
+def has_any(df: DataFrame, text: str, groups: list[list[str]]) -> DataFrame:
+    """Rows whose text, in lower case, has all words of one of the groups in it."""
+    found = F.lit(False)
+    for words in groups:
+        found = found | reduce(and_, (F.contains(F.col("_low"), F.lit(w)) for w in words))
+    return df.select("*", F.explode(F.array(F.lower(text))).alias("_low")).where(found).drop("_low")
+
+
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     """template_id, license and bigrams of (license, text) pairs; those without words are left out."""
     rows = ", ".join("({}, '{}', '{}')".format(i, *(x.replace("\\", "\\\\").replace("'", "\\'") for x in t)) for i, t in enumerate(templates))
@@ -55,7 +96,8 @@ def scan_texts(texts: DataFrame, text: str = "text", templates=TEMPLATES, match:
 
     A text and a template are compared by 2 * common / (sizes together) over distinct word bigrams; at
     100 * Dice >= `match` they match. Sizes bound the coefficient, so a template meets only texts whose number of
-    bigrams it can match: the join is on that number, and a text outside every range is compared with nothing. Ties go to the smaller template number.
+    bigrams it can match: the join is on that number, and a text outside every range is compared with nothing. Before
+    that, texts go that have none of the words that every match must have one of. Ties go to the smaller template number.
 
     Adds license, template_id and dice to the row's own columns (which they replace if so named). A null text, an
     empty one or one without words matches nothing; repeated rows give repeated results.
@@ -69,8 +111,9 @@ def scan_texts(texts: DataFrame, text: str = "text", templates=TEMPLATES, match:
     if sum(len(b) for _, b in templates) <= BROADCAST_BYTES:
         table = F.broadcast(table)
     keep = [c for c in texts.columns if c not in ("license", "template_id", "dice")]
-    words = texts.select(*[F.col(c) for c in keep], normalised_words(F.col(text)).alias("_words")).where(F.col("_words").isNotNull())
-    grams = words.withColumn("_set", bigrams(F.col("_words"))).withColumn("_n", F.size("_set")).where("_n > 0")
+    # Generators of one row each: the optimizer would copy plain expressions into every filter above them.
+    words = has_any(texts.select(*keep, *([] if text in keep else [text])), text, needles(templates, match)).select(*[F.col(c) for c in keep], F.explode(F.array(normalised_words(F.col(text)))).alias("_words")).where(F.col("_words").isNotNull())
+    grams = words.select(*keep, F.explode(F.array(bigrams(F.col("_words")))).alias("_set")).withColumn("_n", F.size("_set"))
     table = table.select(F.col("n").alias("_n"), F.col("template_id").alias("_id"), F.col("license").alias("_license"), F.col("template").alias("_template"))
     pairs = grams.select(*keep, "_set", "_n").join(table, "_n").withColumn("_common", F.size(F.array_intersect("_set", "_template"))).withColumn("_both", F.col("_n") + F.size("_template"))
     found = pairs.where(F.expr(f"200 * _common >= {match} * _both"))
@@ -88,5 +131,6 @@ def scan_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", templat
     Returns doc_id, line_no (from 0), license, template_id and dice, a row for each line that matches (rows of `docs`
     with the same key and line count once). Null texts have no lines.
     """
+    docs = has_any(docs.select(key, text), text, needles(templates, match))
     lines = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     return best_hits(scan_texts(lines, "line", templates, match), ["doc_id", "line_no"])
