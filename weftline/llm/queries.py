@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, sharding, url_filter
+from . import decontaminate, license_scan, packing, sharding, url_filter
 
 #: The rules of op6_url_filter.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -34,7 +34,25 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op6_url_filter, op7_sharding)}
+def tokenizer_path() -> str:
+    """The vocabulary file that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    found = decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest("item_ids").alias("items_sha256"), "contaminated")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op3_packing, op6_url_filter, op7_sharding, op9_decontamination)}
 
 
 def _sql_text(x: str) -> str:
@@ -71,4 +89,23 @@ from u left join r on (host = rh or ends_with(host, '.' || rh)) and starts_with(
 qualify row_number() over (partition by uid order by length(rh) desc, length(rp) desc, rv desc) = 1
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": _OP1_SQL, "op6_url_filter": _OP6_SQL}
+_OP9_SQL = f"""
+with d as (
+  select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents
+), b as (
+  select item_id, w, least(10, len(w)) as k from (
+    select item_id, regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark where text is not null and item_id is not null)
+  where len(w) > 0
+), bw as (
+  select distinct item_id, k, array_to_string(list_slice(w, p, p + k - 1), ' ') as s from (select item_id, w, k, unnest(range(1, len(w) - k + 2)) as p from b)
+), dw as (
+  select doc_id, k, p, array_to_string(list_slice(w, p, p + k - 1), ' ') as s
+  from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as p from d, (select distinct k from b) where len(w) >= k)
+), h as (select doc_id, p, k, item_id from dw join bw using (k, s)),
+n as (select doc_id, count(distinct i) as n_hit from (select doc_id, unnest(range(p, p + k)) as i from h) group by doc_id),
+i as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id::varchar as item_id from h) group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from d left join n using (doc_id) left join i using (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_decontamination": _OP9_SQL, "op1_license_scan": _OP1_SQL, "op6_url_filter": _OP6_SQL}
