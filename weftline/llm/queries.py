@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, packing, sharding, toxicity, url_filter
+from . import decontaminate, language_id, license_scan, near_dup, packing, sharding, toxicity, url_filter
 
 #: The rules of op6_url_filter.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -34,6 +34,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(_read(spark, sf_dir, "documents"))
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents."""
+    return near_dup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """The vocabulary file that the queries use."""
     import public_tokenizers
@@ -66,7 +71,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest("item_ids").alias("items_sha256"), "contaminated")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op3_packing, op6_url_filter, op7_sharding, op8_language_id, op9_decontamination, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_minhash_dedup, op3_packing, op6_url_filter, op7_sharding, op8_language_id, op9_decontamination, op10_toxicity)}
 
 
 def _sql_text(x: str) -> str:
@@ -122,4 +127,18 @@ select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_item
 from d left join n using (doc_id) left join i using (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_decontamination": _OP9_SQL, "op1_license_scan": _OP1_SQL, "op6_url_filter": _OP6_SQL}
+_OP2_SQL = f"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
+), s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s from w
+), e as (select doc_id, len(s) as n, unnest(s) as g from s),
+l as (
+  select x.doc_id as a, y.doc_id as b from e x join e y on x.g = y.g and x.doc_id <> y.doc_id group by x.doc_id, y.doc_id, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), r(doc_id, other) as (
+  select doc_id, doc_id from documents union select r.doc_id, l.b from r join l on r.other = l.a
+), m as (select doc_id, min(other) as component_id from r group by doc_id)
+select s.doc_id, len(s.s) as n_shingles, component_id, s.doc_id = component_id as kept from s join m using (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_minhash_dedup": _OP2_SQL, "op9_decontamination": _OP9_SQL, "op1_license_scan": _OP1_SQL, "op6_url_filter": _OP6_SQL}
