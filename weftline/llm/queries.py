@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, near_dup, packing, sharding, toxicity, url_filter
+from . import decontaminate, language_id, license_scan, line_dedup, near_dup, packing, sharding, toxicity, url_filter
 
 #: The rules of op6_url_filter.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -51,6 +51,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every document that stay when alike lines are kept once."""
+    return line_dedup.keep_lines(_read(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     docs = _read(spark, sf_dir, "documents")
@@ -71,7 +76,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest("item_ids").alias("items_sha256"), "contaminated")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_minhash_dedup, op3_packing, op6_url_filter, op7_sharding, op8_language_id, op9_decontamination, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_minhash_dedup, op3_packing, op5_line_dedup, op6_url_filter, op7_sharding, op8_language_id, op9_decontamination, op10_toxicity)}
 
 
 def _sql_text(x: str) -> str:
