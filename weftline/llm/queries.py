@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, line_dedup, near_dup, packing, sharding, toxicity, url_filter
+from . import decontaminate, knn, language_id, license_scan, line_dedup, near_dup, packing, sharding, toxicity, url_filter
 
 #: The rules of op6_url_filter.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -51,6 +51,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector with all others."""
+    return knn.top_k(_read(spark, sf_dir, "embeddings"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of every document that stay when alike lines are kept once."""
     return line_dedup.keep_lines(_read(spark, sf_dir, "documents"))
@@ -76,7 +81,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest("item_ids").alias("items_sha256"), "contaminated")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_minhash_dedup, op3_packing, op5_line_dedup, op6_url_filter, op7_sharding, op8_language_id, op9_decontamination, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_minhash_dedup, op3_packing, op4_topk_search, op5_line_dedup, op6_url_filter, op7_sharding, op8_language_id, op9_decontamination, op10_toxicity)}
 
 
 def _sql_text(x: str) -> str:
@@ -146,4 +151,16 @@ l as (
 select s.doc_id, len(s.s) as n_shingles, component_id, s.doc_id = component_id as kept from s join m using (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_minhash_dedup": _OP2_SQL, "op9_decontamination": _OP9_SQL, "op1_license_scan": _OP1_SQL, "op6_url_filter": _OP6_SQL}
+_OP4_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s
+qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_minhash_dedup": _OP2_SQL, "op4_topk_search": _OP4_SQL, "op9_decontamination": _OP9_SQL, "op1_license_scan": _OP1_SQL, "op6_url_filter": _OP6_SQL}

@@ -18,7 +18,7 @@ BITS, DIMENSIONS = 18, 4
 #: Every bag also has a mark of its end, this often; it steadies the average of very short texts.
 END, END_TIMES = zlib.crc32(b"</s>") & ((1 << BITS) - 1), 100
 #: The labelled sample: documents of each label, chosen by hash, none longer than so many bytes.
-DOCS_PER_LABEL, SAMPLE_BYTES = 2000, 65_536
+DOCS_PER_LABEL, SAMPLE_BYTES = 1200, 65_536
 STEPS, BATCH, RATE, DECAY = 384, 128, 0.8, 1e-7
 #: Sampled documents that must have a subword for it to get a vector.
 LEAST_DOCS = 3
@@ -79,30 +79,26 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     y = np.array(labels, np.int64)
     if len(set(labels)) < 2:
         return Model(e * 0, w, np.array([0.0, -5.0 if not any(labels) else 5.0]))
-    bags = [set(words_of(t)) for t in texts]
-    vocabulary = sorted(set().union(*bags))
-    at = {x: i for i, x in enumerate(vocabulary)}
-    flat, n = subwords(vocabulary)
-    first = np.cumsum(n) - n
     # Buckets that few documents have tell nothing about others; what stays is numbered from 0.
     seen = np.zeros(1 << BITS, np.int64)
     picks = []
-    for bag in bags:
-        ids = np.array(sorted(at[x] for x in bag), np.int64)
-        k = n[ids]
-        pick = flat[np.repeat(first[ids] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())] if len(ids) else np.zeros(0, np.int64)
-        pick = np.append(pick, np.full(END_TIMES, END))
+    for text in texts:
+        bag = sorted(set(words_of(text)))
+        pick = np.append(subwords(bag)[0] if bag else np.zeros(0, np.int64), np.full(END_TIMES, END))
         mine, times = np.unique(pick, return_counts=True)
         seen[mine] += 1
-        picks.append((mine, times / len(pick)))
+        picks.append((mine.astype(np.int32), (times / len(pick)).astype(np.float32)))
     index, value, size = [], [], []
     for mine, share in picks:
         kept = seen[mine] >= LEAST_DOCS
         index.append(mine[kept])
         value.append(share[kept])
         size.append(int(kept.sum()))
-    col, val = np.concatenate(index), np.concatenate(value).astype(np.float32)
-    used, col = np.unique(col, return_inverse=True)
+    del picks
+    val = np.concatenate(value)
+    number = np.cumsum(seen >= LEAST_DOCS, dtype=np.int32) - 1
+    used, col = np.flatnonzero(seen >= LEAST_DOCS), number[np.concatenate(index)]
+    del index, value
     bounds = np.concatenate([[0], np.cumsum(size)])
     part = e[used]
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (part, w, b)]
