@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from .common import columns_of, raw, slices, small_batches
 
@@ -201,7 +202,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     spark = docs.sparkSession
     small_batches(spark)
     sets = [spark.sparkContext.broadcast(vars(Patterns(b, window))) for b in _blocks(benchmark, item, item_text)]
-    kinds = dict(docs.dtypes)
     carried = [c for c in carry if c not in ("doc_id", "n_words", "n_hit", "n_items", "item_ids", "contaminated")]
     slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"), *carried)
 
@@ -218,10 +218,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                     ["doc_id", "n_words", "n_hit", "n_items", "item_ids", "contaminated", *carried],
                 )
 
-    schema = f"doc_id {kinds[key]}, n_words long, n_hit long, n_items long, item_ids array<string>, contaminated boolean" + "".join(f", `{c}` {kinds[c]}" for c in carried)
+    schema = StructType([StructField("doc_id", docs.schema[key].dataType)])
+    for name, kind in (("n_words", LongType()), ("n_hit", LongType()), ("n_items", LongType()), ("item_ids", ArrayType(StringType())), ("contaminated", BooleanType())):
+        schema = schema.add(name, kind)
+    for c in carried:
+        schema = schema.add(docs.schema[c])
     return slim.mapInArrow(scan, schema)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """`docs` without the documents that hold a window of a benchmark item; all columns stay."""
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.struct(*docs.columns).alias("row"))
+    return decontaminate(rows, benchmark, window=window, carry=("row",)).where("not contaminated").select("row.*")
+
+
 def items_digest(ids):
     """Lower-case SHA-256 of item ids joined by commas."""
     return F.sha2(F.array_join(ids, ","), 256)

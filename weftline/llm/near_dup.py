@@ -163,3 +163,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     out = signed.drop("signature").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: int = 80) -> DataFrame:
+    """`docs` without the documents of each component but the one with the smallest id; all columns stay.
+
+    Rows without id stay, as do all rows that repeat a kept id.
+    """
+    gone = near_duplicates(docs, key, text, width, least).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")

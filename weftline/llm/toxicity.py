@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from .common import columns_of, slices, small_batches
 
@@ -192,7 +193,6 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", carry: tuple[
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model.values())
-    kinds = dict(docs.dtypes)
     keep = [c for c in carry if c not in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,4 +202,11 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", carry: tuple[
             scores = [x for lo, hi in slices(texts) for x in scorer.score(texts.slice(lo, hi - lo).to_pylist())]
             yield pa.RecordBatch.from_arrays([*columns_of(batch, keep), pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32())], [*keep, "score", "predicted"])
 
-    return docs.select(F.col(text).alias("_text"), *keep).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + (", " if keep else "") + "score double, predicted int")
+    schema = StructType([docs.schema[c] for c in keep]).add("score", DoubleType()).add("predicted", IntegerType())
+    return docs.select(F.col(text).alias("_text"), *keep).mapInArrow(run, schema)
+
+
+def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """`docs` without the documents that the model predicts to be toxic; all columns stay."""
+    rows = docs.select(F.col(text).alias("text"), F.struct(*docs.columns).alias("row"))
+    return score_texts(rows, model, carry=("row",)).where("predicted = 0").select("row.*")
