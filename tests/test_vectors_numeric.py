@@ -1,0 +1,99 @@
+import numpy as np
+import pytest
+
+from weftline.operators import numeric, vectors
+
+
+def corpus(spark):
+    return spark.createDataFrame([(1, "pron1 say hello"), (2, "think pron1"), (3, "hello parrot pron1")], "doc_id int, text string")
+
+
+def test_tf_idf_and_svd(spark):
+    weights = vectors.tf_idf(corpus(spark), min_df=1)
+    rows = weights.collect()
+    terms = sorted({r.term for r in rows})
+    assert terms == ["hello", "parrot", "pron1", "say", "think"]
+    w = np.zeros((3, 5))
+    for r in rows:
+        w[r.doc_id - 1, terms.index(r.term)] = r.weight
+    assert np.allclose((w**2).sum(1), 1) and w[:, 1].nonzero()[0].tolist() == [2]
+    names, sigma, found = vectors.truncated_svd(weights, 2)
+    assert names == terms and found.shape == (5, 2)
+    u, s, vt = np.linalg.svd(w)
+    assert np.allclose(sigma, s[:2])
+    assert np.allclose(found @ found.T, (vt[:2].T * s[:2] ** 2) @ vt[:2])
+    with pytest.raises(ValueError):
+        vectors.truncated_svd(weights, 3)
+
+
+def test_max_df(spark):
+    counts = vectors.term_counts(corpus(spark))
+    assert {r.term for r in vectors.document_frequency(counts, min_df=2, max_df=2).collect()} == {"hello"}
+
+
+def test_ngrams_reject_unknown_words(spark):
+    dictionary = spark.createDataFrame([(w, [float(i), 9.0]) for i, w in enumerate(["parrot", "think", "say", "hello"])], "word string, vec array<double>")
+    tokens = spark.createDataFrame([(1, i, w) for i, w in enumerate("parrot think and say hello hello".split())], "doc_id int, tok_no int, word string")
+    got = vectors.ngram_vectors(tokens, dictionary, 2, 1).orderBy("start").collect()
+    assert [r.vector for r in got] == [[0.0, 1.0], [2.0, 3.0], [3.0, 3.0]]
+    assert vectors.ngram_vectors(tokens, dictionary, 9, 1).count() == 0
+
+
+def test_pair_cosine_of_missing_words(spark):
+    words = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 1.0]), ("z", [0.0, 0.0])], "word string, vec array<double>")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "q"), ("a", "z")], "a string, b string")
+    assert {r.b: r.cosine for r in vectors.pair_cosine(pairs, words).collect()} == {"b": 0.707107, "q": None, "z": None}
+
+
+def test_cbow_brings_like_words_together(spark):
+    rng = np.random.default_rng(0)
+    rows = [(["x" + str(rng.integers(3)) if s else "y" + str(rng.integers(3)) for _ in range(8)],) for s in rng.integers(0, 2, 300)]
+    df = spark.createDataFrame(rows, "tokens array<string>").repartition(2)
+    got = {r.word: np.array(r.vec) for r in vectors.cbow(df, dim=8, epochs=4, rate=0.1).collect()}
+    cos = lambda a, b: got[a] @ got[b] / np.linalg.norm(got[a]) / np.linalg.norm(got[b])
+    assert cos("x0", "x1") > cos("x0", "y1")
+
+
+def test_shooting(spark):
+    params = spark.createDataFrame([(p, 0.002) for p in numeric.PROBLEMS], "problem string, h double")
+    for r in numeric.errors(numeric.solve_problems(params)).collect():
+        assert r.converged and r.max_error < 1e-8
+
+
+def test_trapezoid(spark):
+    rows = spark.createDataFrame([("a", i / 100, (i / 100) ** 2) for i in range(101)], "k string, x double, y double")
+    assert abs(numeric.trapezoid(rows, "k", "x", "y").first().integral - 1 / 3) < 1e-4
+
+
+def test_bratu_peaks_rise(spark):
+    rows = sorted((r.lam, r.peak) for r in numeric.bratu(spark.createDataFrame([(1.0,), (3.0,), (6.0,)], "lam double"), step=0.02).collect())
+    assert rows[0][1] < rows[1][1] < rows[2][1]
+
+
+def test_fokker_planck_keeps_mass(spark):
+    params = spark.sql("select 1L run_id, 0.2D d, -3D left, 3D right, 100 cells, 1D t_end, 0D mean, 0.18D sigma")
+    mass: dict = {}
+    for r in numeric.fokker_planck(params, every=500).collect():
+        assert r.p >= 0
+        mass[r.t] = mass.get(r.t, 0) + r.p * 6 / 99
+    assert all(abs(m - 1) < 1e-9 for m in mass.values()) and len(mass) > 1
+
+
+def test_delay_variance(spark):
+    params = spark.sql("select 1L run_id, 'linear' phi, 0.6D tau, 3D t_end, 0.01D h, 1D d, 1D gamma")
+    exact = {round(r.t, 6): r.variance for r in numeric.exact_delay_variance(params).collect()}
+    got = numeric.delay_monte_carlo(params, paths=20_000, block=4_000).where("abs(t - 3) < 1e-9").first()
+    assert got.paths == 20_000 and abs(got.variance / exact[3.0] - 1) < 0.05
+    assert abs(exact[0.5] / (2 * 0.5) - 1) < 0.01
+
+
+def test_matrix_exponential():
+    a = np.array([[0.0, 1.0], [-1.0, 0.0]])
+    assert np.allclose(numeric.matrix_exponential(a * 0.7), [[np.cos(0.7), np.sin(0.7)], [-np.sin(0.7), np.cos(0.7)]])
+
+
+def test_separated_solution_is_near_the_exact_variance():
+    s = numeric.Separated(numeric.FORCES["linear"], 0.6, 3, 3.0, nodes=301, dt=0.03)
+    p, rounds, change = s.solve()
+    assert rounds > 0 and change < 1e-3
+    assert abs(s.variance(p)[-1] / 1.894 - 1) < 0.1
