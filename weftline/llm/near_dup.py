@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, columns_of, raw, slices, small_batches
-from .similar import link, mix, set_digest
+from .similar import Members, link, mix, set_digest
 
 #: A signature has POSITIONS minima of 16 bits, in CHUNKS chunks.
 POSITIONS, CHUNKS = 32, 8
@@ -90,6 +90,10 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
     return np.stack(out, 1)
 
 
+def decode(payloads: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in payloads]
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, least: int = 85) -> DataFrame:
     """Groups of documents whose shingle sets are alike: 100 * intersection >= least * union, directly or over others.
 
@@ -142,21 +146,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {least} * greatest(na, nb)")
         return sized.select("a", "b", "sa", "sb").mapInArrow(close, "a long, b long")
 
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
-        for batch in batches:
-            for lo, hi in slices(batch.column(1)):
-                sets = shingler.sets(raw(batch.column(1).slice(lo, hi - lo)))
-                # An id that several texts have: only the node's own text counts.
-                good = [set_digest(s) == n for s, n in zip(sets, batch.column(0).slice(lo, hi - lo).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "elements"]).filter(pa.array(good, pa.bool_()))
+    def payloads_of(nodes: DataFrame) -> DataFrame:
+        """Sets of the nodes: documents whose ids are wanted are shingled once more where they are read."""
+        wanted = nodes.join(classes, "node").select(F.xxhash64("first").alias("h"))
+        members = spark.sparkContext.broadcast(Members(wanted, "h").map)
+
+        def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingler, map_ = Shingler(width), members.value
+            for batch in batches:
+                texts = batch.column(1).filter(pa.array(Members.test(map_, batch.column(0).to_numpy())))
+                for lo, hi in slices(texts):
+                    sets = [s for s in shingler.sets(raw(texts.slice(lo, hi - lo))) if len(s)]
+                    yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "payload"])
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = nodes.join(classes.select("node", F.col("first").alias("doc_id")), "node")
-        found = slim.join(wanted, slim["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text").mapInArrow(shingle, "node long, elements binary")
-        return ws.save(found).dropDuplicates(["node"])
+        found = slim.select(F.xxhash64("doc_id"), "text").mapInArrow(shingle, "node long, payload binary")
+        return ws.save(found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("payload").alias("payload")))
 
-    _, roots = link(classes.select("node", "signature").mapInArrow(explode, "key long, node long"), pretest, sets_of, least, ws)
+    _, roots = link(classes.select("node", "signature").mapInArrow(explode, "key long, node long"), pretest, payloads_of, decode, least, ws)
     rooted = classes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least_ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least_ids, "root").select("node", "component_id")

@@ -9,9 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, slices
 from .components import components
 
+#: Bytes of payloads that are decoded at once.
+DECODED_BYTES = 1 << 20
+#: Nodes in a block of a cluster, and elements in a dense part of their matrix.
+BLOCK, COLUMNS = 512, 4096
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -38,6 +42,32 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
+class Members:
+    """A bit map of hashes, of bounded size: what isn't in it was not among the rows it was made of.
+
+    It saves shuffling rows that nothing asks for; an exact join follows. With more rows than bits it lets all pass.
+    """
+
+    MOST_BITS = 1 << 26
+
+    def __init__(self, hashes: DataFrame, name: str):
+        """From one column of longs, which must be hashes; 16 bits for each row up to the bound."""
+        bits = 1 << 12
+        n = hashes.count()
+        while bits < min(16 * n, self.MOST_BITS):
+            bits *= 2
+        at = F.col(name).bitwiseAND(F.lit(bits - 1))
+        words = hashes.select(at.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v")).toArrow()
+        self.map = np.zeros(bits // 64, np.int64)
+        self.map[words.column("w").to_numpy()] = words.column("v").to_numpy()
+
+    @staticmethod
+    def test(map_: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Which of the hashes may be among the rows."""
+        p = p & (len(map_) * 64 - 1)
+        return (map_[p >> 6] >> (p & 63)) & 1 == 1
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key and node: key, smallest node and node for every further node of a key."""
     last_key, first, last_node = None, 0, None
@@ -58,47 +88,128 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(start[out]), pa.array(node[out])], ["key", "a", "b"])
 
 
-def link(keys: DataFrame, pretest: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], least: int, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+def link(keys: DataFrame, pretest: Callable[[DataFrame], DataFrame], payloads_of: Callable[[DataFrame], DataFrame], decode: Callable[[list[bytes]], list[np.ndarray]], least: int, ws: Workspace) -> tuple[DataFrame, DataFrame]:
     """Confirmed links between nodes that share a key, enough for every component, and (node, root).
 
-    keys: (key, node). pretest: from pairs (a, b) those that may be links. sets_of: from nodes (node) their sets as
-    sorted 64-bit hashes, (node, elements binary). A pair is a link if 100 * intersection >= least * union.
+    keys: (key, node). pretest: from pairs (a, b) those that may be links. payloads_of: from nodes (node) a written table
+    (node, payload binary); decode: from payloads the sets, as sorted 64-bit hashes. A pair is a link if
+    100 * intersection >= least * union.
 
     Rows are sorted by key and read as a stream, so a bucket takes no memory however large it is. First each node
     meets the smallest one of its bucket. Buckets whose nodes are then in one component are done. In the
-    others, nodes of different components meet as well. No link is lost: two nodes of a bucket either were compared
-    or were in one component already. A bucket's pairs are all compared only as far as its nodes are not alike.
+    others, nodes stay that share enough with any other of these nodes to have a link at all; most that no link reaches have
+    too many elements of their own. Those that still meet in open buckets form clusters, and in a cluster every
+    node that isn't in its main component is compared with all others, block by block. No link is lost: two nodes of a
+    bucket were compared, or were in one component already, or can't be a link.
     """
     buckets = ws.save(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_runs, "key long, a long, b long"))
     tested = ws.save(pretest(buckets.select("a", "b").distinct()))
-    links = ws.save(_confirm(tested, sets_of, least))
+    links = ws.save(_confirm(tested, payloads_of(_nodes(tested)), decode, least))
     roots = components(links, ws)
     label = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
     members = label(label(buckets, "a"), "b")
     open_keys = members.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("ra") != F.col("rb")).alias("open")).where("open and n > 1").select("key")
     rest = ws.save(members.join(open_keys, "key").select("key", F.col("b").alias("node"), F.col("rb").alias("root")))
     if not rest.isEmpty():
-        x, y = rest.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), rest.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-        cross = x.join(y, "key").where("a < b and ra <> rb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        more = ws.save(_confirm(ws.save(pretest(cross)), sets_of, least))
+        payloads = payloads_of(rest.select("node").distinct())
+        more = ws.save(_rest(rest, payloads, decode, least, ws))
         if not more.isEmpty():
             links = links.union(more)
             roots = components(links, ws)
     return links, roots
 
 
-def _confirm(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: int) -> DataFrame:
+def _rest(rest: DataFrame, payloads: DataFrame, decode, least: int, ws: Workspace) -> DataFrame:
+    """Links (a, b) between the nodes of different roots among (key, node, root), as pairs leave no rows but links.
+
+    A task gets a block of a cluster and a block of its nodes outside the main component, BLOCK nodes of either at most or so;
+    it counts common elements by a matrix product over the elements both sides have.
+    """
+    able = ws.save(_shareable(payloads, decode).where(f"100 * m >= {least} * n").select("node"))
+    members = ws.save(rest.join(able, "node").select("key", "node", "root"))
+    heads = members.groupBy("key").agg(F.min("node").alias("a"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key", "a")
+    groups = components(members.join(heads, "key").select("a", F.col("node").alias("b")), ws)
+    placed = ws.save(groups.select("node", F.col("root").alias("cluster")).join(members.select("node", "root").distinct(), "node"))
+    by_root = placed.groupBy("cluster", "root").agg(F.count("*").alias("c"))
+    sizes = by_root.groupBy("cluster").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("root", F.struct("c", "root")).alias("main")).where("n > most")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    near = placed.join(sizes, "cluster").join(payloads, "node").select("cluster", "node", "root", "payload", (F.col("root") != F.col("main")).alias("minor"), blocks(F.col("n")).alias("bn"), blocks(F.col("n") - F.col("most")).alias("bk"))
+    mine = lambda b: F.pmod(F.xxhash64("node"), F.col(b)).cast("int")
+    every = lambda b: F.explode(F.sequence(F.lit(0), F.col(b) - 1))
+    rows = ["node", "root", "payload"]
+    cells = near.select("cluster", mine("bn").alias("i"), every("bk").alias("j"), F.lit(False).alias("side"), *rows).union(near.where("minor").select("cluster", every("bn").alias("i"), mine("bk").alias("j"), F.lit(True).alias("side"), *rows))
+
+    def compare(cell: pa.Table) -> pa.Table:
+        side = cell.column("side").to_numpy(zero_copy_only=False).astype(bool)
+        node, root = cell.column("node").to_numpy(), cell.column("root").to_numpy()
+        payload = cell.column("payload").to_pylist()
+        parts = [np.flatnonzero(~side), np.flatnonzero(side)]
+        sets = [decode([payload[i] for i in p]) for p in parts]
+        sizes = [np.array([len(x) for x in s], np.int64) for s in sets]
+        flat = [np.concatenate(s) if s else np.zeros(0, np.uint64) for s in sets]
+        both = np.intersect1d(*flat)
+        at = [np.searchsorted(both, f) for f in flat]
+        hit = [both[np.minimum(a, max(len(both) - 1, 0))] == f if len(both) else np.zeros(len(f), bool) for a, f in zip(at, flat, strict=True)]
+        rows = [np.repeat(np.arange(len(n)), n)[h] for n, h in zip(sizes, hit, strict=True)]
+        cols = [a[h] for a, h in zip(at, hit, strict=True)]
+        order = [np.argsort(c, kind="stable") for c in cols]
+        rows, cols = [r[o] for r, o in zip(rows, order, strict=True)], [c[o] for c, o in zip(cols, order, strict=True)]
+        common = np.zeros((len(parts[0]), len(parts[1])), np.float32)
+        for c in range(0, len(both), COLUMNS):
+            dense = []
+            for r, k, n in zip(rows, cols, sizes, strict=True):
+                lo, hi = np.searchsorted(k, [c, c + COLUMNS])
+                m = np.zeros((len(n), min(COLUMNS, len(both) - c)), np.float32)
+                m[r[lo:hi], k[lo:hi] - c] = 1
+                dense.append(m)
+            common += dense[0] @ dense[1].T
+        whole = sizes[0][:, None] + sizes[1][None, :]
+        i, j = np.nonzero((100 * common >= least * (whole - common)) & (root[parts[0]][:, None] != root[parts[1]][None, :]))
+        x, y = node[parts[0][i]], node[parts[1][j]]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return cells.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def _shareable(payloads: DataFrame, decode) -> DataFrame:
+    """(node, n, m): the size of each set, and how many of its elements any other of these sets has too.
+
+    One row an element leaves Python; a row with a null element states the set's size.
+    """
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in slices(batch.column(1), DECODED_BYTES):
+                parts = decode(batch.column(1).slice(lo, hi - lo).to_pylist())
+                sizes = np.array([len(x) for x in parts])
+                nodes = np.repeat(batch.column(0).slice(lo, hi - lo).to_numpy(), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(nodes), pa.array(np.ones(len(nodes), np.int64))], ["element", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), batch.column(0).slice(lo, hi - lo), pa.array(sizes)], ["element", "node", "n"])
+
+    rows = payloads.select("node", "payload").mapInArrow(spread, "element long, node long, n long")
+    # An element that one node has is that node's own; so is the row with its size.
+    own = rows.groupBy(F.coalesce("element", "node").alias("element"), F.col("element").isNull().alias("size")).agg(F.count("*").alias("c"), F.min("node").alias("node"), F.max("n").alias("n")).where("c = 1")
+    return own.groupBy("node").agg(F.max(F.when(F.col("size"), F.col("n"))).alias("n"), F.count_if(~F.col("size")).alias("u")).select("node", "n", (F.col("n") - F.col("u")).alias("m"))
+
+
+def _confirm(pairs: DataFrame, payloads: DataFrame, decode, least: int) -> DataFrame:
     """The pairs (a, b) whose full sets pass."""
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = overlap(x, y)
-                good.append(100 * both >= least * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = sets_of(nodes)
-    wide = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("sb")), "b")
+        for whole in batches:
+            for lo, hi in slices(whole.column(2), DECODED_BYTES):
+                batch = whole.slice(lo, hi - lo)
+                names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                found = dict(zip(names[0], batch.column(2).to_pylist(), strict=True)) | dict(zip(names[1], batch.column(3).to_pylist(), strict=True))
+                sets = dict(zip(found, decode(list(found.values())), strict=True))
+                good = []
+                for a, b in zip(*names, strict=True):
+                    both = overlap(sets[a], sets[b])
+                    good.append(100 * both >= least * (len(sets[a]) + len(sets[b]) - both))
+                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    side = lambda c: payloads.select(F.col("node").alias(c), F.col("payload").alias(f"s{c}"))
+    wide = pairs.join(side("a"), "a").join(side("b"), "b")
     return wide.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
