@@ -18,7 +18,7 @@ def interleave(docs: DataFrame, shards: int = 8, seed: str = "weftline", text: s
 
     Rows of a source are shuffled by the MD5 of seed and key; row k of n (from 1) has the fractional rank
     (2k - 1) / 2n. All rows are ordered by it and cut into equal runs, so shard sizes differ by one row at most and
-    every source has its share, within one row, of each shard.
+    every source has its share of each shard, but for rows of equal rank that a cut divides: one a source at most.
 
     Both rankings are counts of lower groups plus a position inside the group: sources are cut into groups by the
     hash, the whole by the fractional rank, each of about `group_rows` rows however the sources are skewed. The text
