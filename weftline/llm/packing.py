@@ -153,7 +153,7 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int, patience:
         if not open_:
             break
         a = min(open_, key=lambda b: (fill[b], b))
-        tried.add(a)
+        moved = False
         others = np.array([b for b in np.flatnonzero((fill > 0) & (fill < capacity)).tolist() if b != a], np.int64)
         longest = np.full((len(others), LOOK), -1, np.int64)
         for row, b in enumerate(others.tolist()):
@@ -163,6 +163,7 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int, patience:
             step = _step(bins[a], int(fill[a]), fill[others], longest, size, capacity)
             if step is None:
                 break
+            moved = True
             row, out, back = step
             b = int(others[row])
             bins[a] = [i for i in bins[a] if i not in out] + list(back)
@@ -173,6 +174,8 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int, patience:
             mine = sorted(bins[b], key=lambda i: -lengths[i])[:LOOK]
             longest[row] = -1
             longest[row, :len(mine)] = mine
+        # After a step others may succeed that couldn't before.
+        tried = set() if moved else tried | {a}
         failed = 0 if not bins[a] else failed + 1
         spare -= not bins[a]
     return [b for b in bins if b]
