@@ -173,9 +173,11 @@ def test_top_k_equals_brute_force(spark, spread):
 
 
 def test_top_k_of_few_and_large(spark):
-    rows = [(0, [1e9, 1e9]), (1, [1e9, -3.0]), (2, [0.0, 0.5])]
+    rows = [(0, [1e6, 1e6]), (1, [1e6, -3.0]), (2, [0.0, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(tuple(r) for r in knn.top_k(df).collect()) == brute_top(rows, 5, 50)
+    huge = spark.createDataFrame([(0, [1e12]), (1, [1e300]), (2, [-1e12])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in knn.top_k(huge).orderBy("rank").collect()] == [1, 2]
     assert knn.top_k(df.limit(0)).count() == 0 and knn.top_k(df.where("vec_id = 0")).count() == 0
     assert knn.top_k(df.where("vec_id > 0")).count() == 0
 

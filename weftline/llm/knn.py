@@ -15,12 +15,14 @@ from .common import Workspace
 PIVOTS = 512
 #: Queries whose data are gathered together, and data rows solved against them in one task.
 GROUP_QUERIES, TASK_ROWS = 2048, 20_000
+#: Scores beyond a long are shown as its largest or smallest.
+LONG = 2**63 - 1
 #: Data rows scored at once.
 BLOCK = 2048
 
 
 def quantised(values: np.ndarray, scale: int) -> np.ndarray:
-    return np.floor(scale * values.astype(np.float64)).astype(np.int64)
+    return np.clip(np.floor(scale * values.astype(np.float64)), -(2.0**62), 2.0**62).astype(np.int64)
 
 
 def _matrix(cells: pa.Array, width: int) -> np.ndarray:
@@ -124,6 +126,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, key
     Returns query_id, rank (from 1), vec_id, score. Rows with a null id, a null vector, or a vector with null, NaN or
     infinite components take no part. Shorter vectors end in zeros. Rows that repeat an id count once, with the best
     score any of their vectors gives. With fewer than k candidates all are returned.
+    Components beyond 2^62 and scores beyond a long are cut to those limits.
     """
     if k < 1 or every < 1 or task_rows < 1:
         raise ValueError("k, every and task_rows must be positive")
@@ -185,7 +188,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, key
         if not len(own) or not x.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         row, ids, scores = top_scores(_matrix(q.column("v").combine_chunks(), width), x.column("vec_id").to_numpy(), _matrix(x.column("v").combine_chunks(), width), own, k)
-        return pa.table({"query_id": pa.array(own[row]), "vec_id": pa.array(ids), "score": pa.array([int(s) for s in scores], pa.int64())})
+        return pa.table({"query_id": pa.array(own[row]), "vec_id": pa.array(ids), "score": pa.array([max(-LONG, min(LONG, int(s))) for s in scores], pa.int64())})
 
     found = queries.groupBy("part").cogroup(data.groupBy("part")).applyInArrow(solve, "query_id long, vec_id long, score long")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
