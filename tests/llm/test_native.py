@@ -88,3 +88,15 @@ def test_shards_of_odd_rows(spark):
     assert sorted((r.shard, r.slot) for r in got) == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0)]
     assert {r.size for r in got} == {1, 2}
     assert sharding.interleave(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_license_blocks_and_texts(spark):
+    texts = dict(L.TEXTS)
+    mit, bsd, gpl = texts["MIT"], texts["BSD-3-Clause"], texts["GPL-3.0"]
+    notice = next(b for n, b in L.TEMPLATES if n == "GPL-3.0" and "is free software" in b and "any later version." in b)
+    words = notice.split()
+    wrapped = "\n".join(" ".join(words[i:i + 9]) for i in range(0, len(words), 9))
+    rows = [(1, "Copyright someone\n\n" + mit), (2, "prose\n" + bsd), (3, gpl), (4, "before it\n\n" + wrapped + "\n\nafter it"), (5, "Some words. Licensed under the MIT License. More words that follow in the same line"), (6, "Licensed under CC BY-SA 4.0."), (7, "Licensed under CC BY 4.0."), (8, "plain words about a license of software")]
+    got = {r.doc_id: (r.line_no, r.license) for r in L.scan_lines(spark.createDataFrame([(*r, "a") for r in rows], DOCS)).where("dice >= 0.9").collect()}
+    assert got[1] == (2, "MIT") and got[2][1] == "BSD-3-Clause" and got[3][1] == "GPL-3.0" and got[4] == (2, "GPL-3.0")
+    assert got[5] == (0, "MIT") and got[6] == (0, "CC-BY-SA-4.0") and got[7] == (0, "CC-BY-4.0") and 8 not in got

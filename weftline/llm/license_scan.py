@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import reduce
+from functools import cache, reduce
 from operator import and_
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, Workspace
 
 #: Short notices by which works state a licence, with SPDX identifiers.
-TEMPLATES = (
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
@@ -30,7 +31,36 @@ TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    *((name, f"This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version.{rest}")
+      for name, what, kind, version in (("GPL-2.0", "program", "", "2"), ("GPL-3.0", "program", "", "3"), ("LGPL-2.1", "library", "Lesser ", "2.1"), ("LGPL-3.0", "library", "Lesser ", "3"), ("AGPL-3.0", "program", "Affero ", "3"))
+      for rest in ("", f" This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details. You should have received a copy of the GNU {kind}General Public License along with this {what}. If not, see <https://www.gnu.org/licenses/>.")),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
 )
+#: The names by which short notices call each licence.
+NAMES = (
+    ("AGPL-3.0", "the GNU Affero General Public License, version 3", "the GNU AGPLv3", "the AGPL-3.0 license"),
+    ("Apache-2.0", "the Apache License, Version 2.0", "the Apache 2.0 License", "Apache-2.0"),
+    ("BSD-2-Clause", "the BSD 2-Clause License", "the Simplified BSD License"),
+    ("BSD-3-Clause", "the BSD 3-Clause License", "the BSD License", "the New BSD License"),
+    ("CC0-1.0", "CC0 1.0", "the Creative Commons CC0 1.0 Universal Public Domain Dedication"),
+    *((f"CC-{x}-4.0", f"CC {x} 4.0", f"a Creative Commons {long} 4.0 International License", f"the Creative Commons {long} 4.0 International License", f"Creative Commons {long} 4.0")
+      for x, long in (("BY", "Attribution"), ("BY-NC", "Attribution-NonCommercial"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))),
+    ("GPL-2.0", "the GNU General Public License, version 2", "the GNU GPLv2", "the GPL-2.0 license"),
+    ("GPL-3.0", "the GNU General Public License, version 3", "the GNU GPLv3", "the GPL-3.0 license"),
+    ("ISC", "the ISC License"),
+    ("LGPL-2.1", "the GNU Lesser General Public License, version 2.1", "the LGPL-2.1 license"),
+    ("LGPL-3.0", "the GNU Lesser General Public License, version 3", "the LGPL-3.0 license"),
+    ("MIT", "the MIT License", "MIT"),
+    ("MPL-2.0", "the Mozilla Public License, version 2.0", "the MPL 2.0"),
+    ("Unlicense", "the Unlicense"),
+)
+#: The usual short forms with each name.
+FORMS = ("Licensed under {}.", "Released under {}.", "Distributed under {}.", "This work is licensed under {}.", "This software is licensed under {}.", "This project is licensed under {}.")
+TEMPLATES = (*NOTICES, *((f, form.format(n)) for f, *names in NAMES for n in names for form in FORMS), *((f, f"SPDX-License-Identifier: {f}") for f, *_ in NAMES))
+#: Full texts, numbered behind TEMPLATES; a line doesn't hold one, so only blocks of lines meet them.
+TEXTS = tuple((p.stem, p.read_text("utf-8")) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt")))
 #: Dice coefficient that counts as a match, in hundredths.
 MATCH = 80
 #: Letters from which a word counts as rare when words are chosen that a match must have.
@@ -50,6 +80,7 @@ def bigrams(words):
     return F.when(F.size(words) > 1, F.array_distinct(pairs)).when(words[0] != "", words).otherwise(F.array().cast("array<string>"))
 
 
+@cache
 def needles(templates=TEMPLATES, match: int = MATCH) -> list[list[str]]:
     """Groups of words; every text that matches a template has all words of at least one group.
 
@@ -69,11 +100,18 @@ def needles(templates=TEMPLATES, match: int = MATCH) -> list[list[str]]:
         groups += [sorted({w for g in grams for w in g}) for grams, need in todo if len(grams) == need]
         todo = [(grams, need) for grams, need in todo if len(grams) > need]
         if not todo:
-            return groups
+            break
         gain = Counter(w for grams, _ in todo for g in grams for w in set(g))
         best = max(gain, key=lambda w: (min(len(w), RARE_LENGTH), gain[w], w))
         groups.append([best])
         todo = [({g for g in grams if best not in g}, need) for grams, need in todo]
+    # Words are looked for as parts of words: a group goes if another one is found wherever it is.
+    groups = [list(g) for g in sorted({tuple(g) for g in groups}, key=lambda g: (len(g), sum(map(len, g)), g))]
+    kept: list[list[str]] = []
+    for group in groups:
+        if not any(all(any(h in g for g in group) for h in other) for other in kept):
+            kept.append(group)
+    return kept
 
 
 def has_any(df: DataFrame, text: str, groups: list[list[str]]) -> DataFrame:
@@ -125,12 +163,67 @@ def best_hits(hits: DataFrame, keys: list[str]) -> DataFrame:
     return hits.groupBy(*keys).agg(F.max("_hit").alias("_hit")).select(*keys, F.col("_hit.license").alias("license"), (-F.col("_hit.less")).alias("template_id"), F.col("_hit.dice").alias("dice"))
 
 
-def scan_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, match: int = MATCH) -> DataFrame:
-    """Licence statements in whole documents: every line is compared with every template.
+def scan_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, match: int = MATCH, texts=TEXTS) -> DataFrame:
+    """Licence statements in whole documents: every line and every block of lines is compared with every template.
 
-    Returns doc_id, line_no (from 0), license, template_id and dice, a row for each line that matches (rows of `docs`
-    with the same key and line count once). Null texts have no lines.
+    Returns doc_id, line_no (from 0), license, template_id and dice: a row for each line that matches, and one at its
+    first line for each block of scan_blocks() that is a better match than all lines and other blocks that it shares
+    lines with (rows of `docs` with the same key and line count once). `texts` are templates for blocks only. Null texts have no lines.
+    """
+    few = has_any(docs.select(key, text), text, needles(tuple(templates), match))
+    lines = few.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("uid"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    ws = Workspace(docs.sparkSession, "license-scan")
+    single = ws.save(scan_texts(lines, "line", templates, match).groupBy("doc_id", "uid", "line_no").agg(F.max("_hit").alias("_hit")))
+    blocks = scan_blocks(docs, key, text, (*templates, *texts), match, ws)
+    shape = lambda df, last, whole: df.select("doc_id", "uid", F.struct(F.col("_hit.dice").alias("dice"), F.lit(whole).alias("whole"), (-F.col("line_no")).alias("less"), F.col(last).alias("last"), F.col("_hit").alias("hit")).alias("x"))
+    # The best first; a block stays if it shares no line with what stays already.
+    both = shape(single.join(blocks.select("uid").distinct(), "uid", "left_semi"), "line_no", True).union(shape(blocks, "last_line", False))
+    pick = F.expr("aggregate(array_sort(collect_list(x), (a, b) -> case when a > b then -1 when a < b then 1 else 0 end), cast(array() as array<%s>), (acc, h) -> if(h.whole or not exists(acc, a -> -a.less <= h.last and -h.less <= a.last), concat(acc, array(h)), acc))" % dict(both.dtypes)["x"])
+    stay = both.groupBy("doc_id", "uid").agg(pick.alias("xs")).select("doc_id", F.explode("xs").alias("x")).where("not x.whole")
+    return best_hits(single.select("doc_id", "line_no", "_hit").union(stay.select("doc_id", (-F.col("x.less")).alias("line_no"), "x.hit")), ["doc_id", "line_no"])
+
+
+def scan_blocks(docs: DataFrame, key: str, text: str, templates, match: int, ws: Workspace) -> DataFrame:
+    """doc_id, uid (a hash of id and text), line_no, last_line and _hit: for each sentence the best match of a run that begins there.
+
+    Runs are all those of consecutive sentences, whose ends are newlines and . ; : ! ? before white space: wrapped notices,
+    paragraphs, whole texts, a notice inside a line. A run that matches has a template's bigram in its first sentence
+    if it is the best one, as it would be better without that sentence else; so runs begin only there. Documents that have fewer
+    of a template's bigrams than a match needs aren't looked at further: only the rest are shuffled, as bigrams.
     """
-    docs = has_any(docs.select(key, text), text, needles(templates, match))
-    lines = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return best_hits(scan_texts(lines, "line", templates, match), ["doc_id", "line_no"])
+    table = template_table(docs.sparkSession, templates).select("template_id", "license", F.size("template").alias("m"), F.transform("template", lambda g: F.xxhash64(g)).alias("grams"))
+    table = ws.save(table.withColumn("need", F.expr(f"cast(ceil(m * {match} / {200 - match}) as int)")))
+    small = sum(len(b) for _, b in templates) <= BROADCAST_BYTES
+    hint = F.broadcast if small else lambda df: df
+    marks = table.select("template_id", F.explode("grams").alias("gram"))
+    tagged = docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("uid"), F.col(text).alias("text"))
+    grams = _document_bigrams(has_any(tagged, "text", needles(tuple(templates), match)))
+    pairs = grams.select("uid", "gram").join(hint(marks), "gram").groupBy("uid", "template_id").agg(F.count_distinct("gram").alias("c"))
+    pairs = ws.save(pairs.join(hint(table.select("template_id", "need", "m", "license")), "template_id").where("c >= need").drop("c"))
+    found = ws.save(_document_bigrams(tagged.join(pairs.select("uid").distinct(), "uid", "left_semi").dropDuplicates(["uid"])))
+    found = ws.save(found.withColumn("prev", F.coalesce(F.lag("p").over(Window.partitionBy("uid", "gram").orderBy("p")), F.lit(-1))))
+    hits = found.join(hint(marks), "gram").join(pairs, ["uid", "template_id"])
+    starts = hits.groupBy("doc_id", "uid", "template_id", "license", "m", "need", "unit", F.col("line").alias("line_no"), "first").agg(F.count("*").alias("h"))
+    after = Window.partitionBy("uid", "template_id").orderBy(F.desc("unit"))
+    starts = ws.save(starts.withColumn("h", F.sum("h").over(after)).where("h >= need").drop("h", "need"))
+    rest = found.select(F.col("uid").alias("_uid"), "p", "prev", "gram", "end_unit", "end_line")
+    inside = starts.join(rest, (F.col("uid") == F.col("_uid")) & (F.col("p") >= F.col("first")) & (F.col("prev") < F.col("first"))).drop("_uid")
+    known = hint(marks.select("gram", "template_id", F.lit(1).alias("is")))
+    run = ["doc_id", "uid", "template_id", "license", "m", "unit", "line_no"]
+    ends = inside.join(known, ["gram", "template_id"], "left").groupBy(*run, "end_unit", "end_line").agg(F.count("*").alias("n"), F.count("is").alias("c"))
+    up_to = Window.partitionBy("uid", "template_id", "unit").orderBy("end_unit")
+    ends = ends.select(*run, "end_line", F.sum("n").over(up_to).alias("n"), F.sum("c").over(up_to).alias("c")).where(f"200 * c >= {match} * (n + m)")
+    hit = F.struct((2 * F.col("c") / (F.col("n") + F.col("m"))).alias("dice"), (-F.col("template_id")).alias("less"), F.col("license"))
+    best = ends.withColumn("_hit", hit).groupBy("doc_id", "uid", "unit", "line_no").agg(F.max(F.struct("_hit", -F.col("end_line"))).alias("b"))
+    return ws.save(best.select("doc_id", "uid", "line_no", (-F.col("b.col2")).alias("last_line"), "b._hit"))
+
+
+def _document_bigrams(docs: DataFrame) -> DataFrame:
+    """A row for each two words in a row of (doc_id, uid, text): position p, 64-bit hash gram, unit, line and first position of the first word's sentence, end_unit and end_line of the second word's."""
+    units = F.expr(r"flatten(transform(split(text, '\n'), (x, i) -> transform(split(x, '(?<=[.;:!?])\\s+'), y -> struct(i as line, y as body))))")
+    word = lambda u, k: F.transform(F.filter(normalised_words(u["body"]), lambda w: w != ""), lambda w, i: F.struct(w.alias("w"), i.alias("i"), k.alias("unit"), u["line"].alias("line")))
+    words = docs.select("doc_id", "uid", F.explode(F.array(units)).alias("u")).select("doc_id", "uid", F.explode(F.array(F.flatten(F.transform("u", word)))).alias("u")).where("size(u) > 1")
+    two = F.zip_with(F.slice("u", 1, F.size("u") - 1), F.slice("u", 2, F.size("u") - 1), lambda a, b: F.struct(
+        F.xxhash64(F.concat(a["w"], F.lit(" "), b["w"])).alias("gram"), a["unit"].alias("unit"), a["line"].alias("line"), a["i"].alias("i"), b["unit"].alias("end_unit"), b["line"].alias("end_line")))
+    rows = words.select("doc_id", "uid", F.posexplode(two).alias("p", "g"))
+    return rows.select("doc_id", "uid", "p", "g.gram", "g.unit", "g.line", (F.col("p") - F.col("g.i")).alias("first"), "g.end_unit", "g.end_line")
