@@ -141,6 +141,20 @@ def test_lines_equal_brute_force(spark):
     assert line_dedup.keep_lines(frame.limit(0)).count() == 0
 
 
+def test_queries_link_lines_with_a_changed_word(spark, tmp_path):
+    import corpus_pipeline
+    from weftline.llm import queries
+
+    line = "the committee met on tuesday and agreed that the harbour should be closed until further notice"
+    docs = [(1, line), (2, line.replace("met on", "sat on")), (3, line[:60]), (4, line[:30] + "#" + line[31:60])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_lines(docs, width=5)
+    assert want[2] == want[4] == (1, []) != brute_lines(docs)[2]
+    assert {r.doc_id: (r.n_lines, r.kept) for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id for r in corpus_pipeline.drop_repeated_lines(spark, frame, "").where("text <> ''").collect()} == {1, 3}
+
+
 def test_repeated_rows_share_their_lines(spark):
     docs = spark.createDataFrame([(1, "same line\nother words here"), (1, "same line\nother words here"), (None, "same line")], "doc_id long, text string")
     assert {r.doc_id: r.kept for r in line_dedup.keep_lines(docs).collect()} == {1: [1], None: [0]}

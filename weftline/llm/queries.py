@@ -58,7 +58,7 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of every document that stay when alike lines are kept once."""
-    return line_dedup.keep_lines(_read(spark, sf_dir, "documents"))
+    return line_dedup.keep_lines(_read(spark, sf_dir, "documents"), width=line_dedup.FINE_WIDTH)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
