@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from weftline.operators import web
 from weftline.sources import readers, writers
 from weftline.streaming import words as streams
@@ -72,6 +74,14 @@ def test_crawl_and_missing(spark):
     assert [r.item_id for r in web.missing(want, have, "item_id").collect()] == ["2"]
 
 
+def test_crawl_follows_long_chains(spark):
+    links = spark.createDataFrame([(str(i), str(i + 1)) for i in range(24)], "url string, target string")
+    start = spark.createDataFrame([("0",)], "url string")
+    assert {r.url: r.depth for r in web.crawl(start, links).collect()} == {str(i): i for i in range(25)}
+    with pytest.raises(ValueError):
+        web.crawl(start, links, most_rounds=2)
+
+
 def test_extraction(spark):
     pages = spark.createDataFrame([(1, "<title>T - Site</title><nav>n</nav><article>Home<p>one</p>two</article>x"), (2, "nothing here")], "page_id int, html string")
     got = {r.page_id: r for r in web.extract_pages(pages, furniture="^Home$", title_affix=" - Site$").collect()}

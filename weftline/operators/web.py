@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,18 +84,30 @@ def accepted(fetched: DataFrame, least_body: int = 2000, least_text: int = 200)
     return fetched.where(good), fetched.where(~good)
 
 
-def crawl(start: DataFrame, links: DataFrame, most_rounds: int = 20) -> DataFrame:
+def crawl(start: DataFrame, links: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """Pages reachable from `start` (url) over `links` (url, target), with the round in which each was found.
 
-    Each round joins only the newest pages and anti-joins those seen; it ends when none is new.
+    Each round joins only the newest pages and anti-joins those seen; it ends when none is new. With `most_rounds`, it
+    fails when pages are still new after so many. Each round is a table in spark.checkpoint.dir, as are the links, so plans stay short.
     """
-    seen = front = start.select("url").distinct().withColumn("depth", F.lit(0))
-    for depth in range(1, most_rounds + 1):
-        new = front.join(links, "url").select(F.col("target").alias("url")).distinct().join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)).persist()
-        if new.isEmpty():
-            break
-        seen, front = seen.union(new), new
-    return seen
+    spark = start.sparkSession
+    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='weftline-')}/crawl-{uuid.uuid4().hex}"
+
+    def save(df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    links = save(links.select("url", "target").distinct(), f"{root}/links")
+    front = save(start.select("url").distinct().withColumn("depth", F.lit(0)), f"{root}/seen/round=0")
+    # The rounds are folders of one table: the plan doesn't grow with their number.
+    seen = lambda: spark.read.schema(front.schema).parquet(f"{root}/seen/round=*")
+    for depth in itertools.count(1):
+        new = front.join(links, "url").select(F.col("target").alias("url")).distinct().join(seen().select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))
+        front = save(new, f"{root}/seen/round={depth}")
+        if front.isEmpty():
+            return seen()
+        if most_rounds is not None and depth >= most_rounds:
+            raise ValueError("pages are still new after most_rounds")
 
 
 def link_list(pages: DataFrame, page: str = "html", pattern: str | None = None) -> DataFrame:
