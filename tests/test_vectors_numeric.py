@@ -26,6 +26,18 @@ def test_tf_idf_and_svd(spark):
         vectors.truncated_svd(weights, 3)
 
 
+def test_svd_queries_take_terms_of_five_documents(spark, tmp_path):
+    from weftline import queries
+
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join("w" + str(j) for j in range(40) if rng.random() < 0.4 or (j < 2 and i < 5))) for i in range(45)]
+    rows = [(i, t + (" rare" if i < 5 else "") + (" rarer" if i < 4 else "")) for i, t in rows]
+    spark.createDataFrame(rows, "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.word: r.vec for r in queries.svd_word_vectors(spark, str(tmp_path)).collect()}
+    assert "rare" in got and "rarer" not in got and {len(v) for v in got.values()} == {32}
+    assert queries.svd_singular_values(spark, str(tmp_path)).count() == 32
+
+
 def test_max_df(spark):
     counts = vectors.term_counts(corpus(spark))
     assert {r.term for r in vectors.document_frequency(counts, min_df=2, max_df=2).collect()} == {"hello"}
