@@ -66,6 +66,18 @@ def test_cbow_brings_like_words_together(spark):
     assert cos("x0", "x1") > cos("x0", "y1")
 
 
+def test_cbow_keeps_every_word_or_fails(spark, tmp_path, monkeypatch):
+    from weftline import queries
+
+    df = spark.createDataFrame([("one two three",)] * 6, "text string").coalesce(1)
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.cbow_vectors(spark, str(tmp_path)).collect()
+    assert {r.word for r in got} == {"one", "two", "three"} and {len(r.vec) for r in got} == {100}
+    monkeypatch.setattr(vectors, "MOST_TERMS", 2)
+    with pytest.raises(ValueError):
+        queries.cbow_vectors(spark, str(tmp_path))
+
+
 def test_shooting(spark):
     params = spark.createDataFrame([(p, 0.002) for p in numeric.PROBLEMS], "problem string, h double")
     for r in numeric.errors(numeric.solve_problems(params)).collect():

@@ -166,10 +166,12 @@ def cbow(sentences: DataFrame, dim: int = 100, window: int = 5, min_count: int =
 
     Every partition trains on its sentences from the same parameters; words' parameters are averaged after each epoch, weighted
     by how often a partition saw them. `start` (word, vec) continues an earlier training. The vocabulary, cut by
-    `min_count`, is what the driver holds. `sentences` has tokens.
+    `min_count` alone, is what the driver holds: beyond MOST_TERMS words it fails. `sentences` has tokens.
     """
     spark = sentences.sparkSession
-    counts = sentences.select(F.explode("tokens").alias("word")).groupBy("word").count().where(F.col("count") >= min_count).orderBy(F.desc("count"), "word").limit(MOST_TERMS).collect()
+    counts = sentences.select(F.explode("tokens").alias("word")).groupBy("word").count().where(F.col("count") >= min_count).orderBy(F.desc("count"), "word").limit(MOST_TERMS + 1).collect()
+    if len(counts) > MOST_TERMS:
+        raise ValueError("too many words; raise min_count")
     words = [r[0] for r in counts]
     if not words:
         return spark.createDataFrame([], "word string, vec array<float>")

@@ -387,7 +387,7 @@ def pca_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cbow_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _t(spark, sf_dir, "conversations").select(T.tokens(T.normalise(F.col("text"))).alias("tokens"))
-    return vectors.cbow(turns, dim=16, epochs=2)
+    return vectors.cbow(turns, dim=100, epochs=5)
 
 
 @query()
