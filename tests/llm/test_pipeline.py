@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -19,6 +20,10 @@ def test_stages(spark, tmp_path):
     passage = line(14)
     docs[1] = (1, docs[1][1] + "\n" + passage + " " + line(20), "en", "s", 1)
     docs[5] = (5, docs[9][1].rsplit("\n", 1)[0] + "\n" + line(25), "en", "s", 1)
+    docs[13] = (13, docs[17][1], "en", "s", 1)
+    # The words of another text, wrapped elsewhere: no line of it is like one of the other's.
+    words_of = docs[21][1].split()
+    docs[25] = (25, "\n".join([" ".join(words_of[:12]), " ".join(words_of[12:37]), " ".join(words_of[37:62]), " ".join(words_of[62:])]), "en", "s", 1)
     kind = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(docs, kind).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
@@ -33,7 +38,8 @@ def test_stages(spark, tmp_path):
         seen[name] = {r.doc_id: r for r in now.collect()}
     toxic = {i for i in range(240) if i % 4 == 0}
     assert len(toxic & seen["toxicity"].keys()) <= 3 and len(seen["toxicity"]) >= 178
-    assert seen["line_dedup"].keys() == seen["toxicity"].keys()
+    assert {*seen["toxicity"]} - {*seen["line_dedup"]} == {17}
+    assert {21, 25} <= {*seen["line_dedup"]} and 21 in seen["minhash_dedup"] and 25 not in seen["minhash_dedup"]
     assert seen["line_dedup"][9].text == docs[5][1].rsplit("\n", 1)[1] or seen["line_dedup"][5].text == docs[5][1]
     assert 1 in seen["minhash_dedup"] and 1 not in seen["decontamination"]
     assert seen["packing"].keys() == seen["decontamination"].keys()
@@ -46,3 +52,20 @@ def test_run_gives_packed_pieces(spark):
     if not Path(sf).exists():
         pytest.skip("no test tables")
     assert {"doc_id", "sequence_id", "offset"} <= set(corpus_pipeline.run(spark, sf).columns)
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls, empty and repeated rows, empty tables, and columns named as the operators' own."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    text = "one two three four five six seven eight nine ten eleven twelve\nand another line of quite other words that follow here"
+    rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, None, None, None, None), (3, "", "en", None, 0), (None, "some words without an id stay where they are", None, "s", None), (4, " \n ", "en", "s", 3), (5, "long " * 30_000, "en", "s", 150_000)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for docs, want in ((spark.createDataFrame(rows, kind), len(rows)), (spark.createDataFrame([], kind), 0)):
+        docs = docs.withColumns({c: F.lit("own") for c in ("row", "kept", "node", "score", "_lost", "n_words")})
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.count() == want, name
+            assert docs.where("row <> 'own' or kept <> 'own' or node <> 'own' or score <> 'own' or n_words <> 'own'").count() == 0
+        packed = corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()
+        assert len(packed) >= want and {r.doc_id for r in packed} == ({1, 2, 3, 4, 5, None} if want else set())

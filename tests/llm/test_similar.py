@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import knn, line_dedup, near_dup
+from weftline.llm import knn, line_dedup, near_dup, similar
 from weftline.llm.common import Workspace
 from weftline.llm.components import components
 
@@ -97,12 +97,13 @@ def test_keys_meet_exactly_at_one_error():
         b = a.copy()
         b[0, rng.choice(near_dup.POSITIONS, errors, replace=False)] ^= 1
         assert np.intersect1d(near_dup.chunk_keys(a), near_dup.chunk_keys(b)).size > 0
+        assert similar.far(similar.sketch_of(a), similar.sketch_of(b))[0] <= errors
     b = a.copy()
     b[0, ::2] ^= 1
     assert np.intersect1d(near_dup.chunk_keys(a), near_dup.chunk_keys(b)).size == 0
 
 
-def brute_lines(docs, width=10, least=80):
+def brute_lines(docs, width=5, least=80):
     lines = [(d, i, x.strip().lower()) for d, t in docs if t is not None for i, x in enumerate(t.split("\n"))]
     real = sorted(x for x in lines if x[2])
     sets = [{x[i:i + width] for i in range(len(x) - width + 1)} if len(x) >= width else {x} for _, _, x in real]
@@ -150,11 +151,79 @@ def test_queries_link_lines_with_a_changed_word(spark, tmp_path):
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
     frame.write.parquet(f"{tmp_path}/documents.parquet")
     want = brute_lines(docs, width=5)
-    assert want[2] == want[4] == (1, []) != brute_lines(docs)[2]
+    assert want[2] == want[4] == (1, []) != brute_lines(docs, width=10)[2]
     assert {r.doc_id: (r.n_lines, r.kept) for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()} == want
     assert {r.doc_id for r in corpus_pipeline.drop_repeated_lines(spark, frame, "").where("text <> ''").collect()} == {1, 3}
 
 
+def test_lines_share_bands_and_sketches():
+    """Of pairs at a Jaccard coefficient of 0.8 to 0.82 at least 99.5 % share a band and have near sketches, at any length."""
+    rng = random.Random(11)
+    for n in (60, 150, 600):
+        pairs = []
+        while len(pairs) < 1500:
+            a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n))
+            b = list(a)
+            for i in rng.sample(range(n), max(1, round(n / 50))):
+                b[i] = "#"
+            b = "".join(b)
+            x, y = ({s[i:i + 5] for i in range(len(s) - 4)} for s in (a, b))
+            if 0.8 <= len(x & y) / len(x | y) < 0.82 or n == 60:
+                pairs += [a, b]
+        pairs = [x.encode() for x in pairs]
+        m = np.concatenate([line_dedup.minima(pairs[i:i + 500], 5) for i in range(0, len(pairs), 500)])
+        keys, sketch = line_dedup.band_keys(m), similar.sketch_of(m[:, line_dedup.BINS - 32:])
+        met = (keys[::2] == keys[1::2]).any(1) & (similar.far(sketch[::2], sketch[1::2]) <= line_dedup.LIMIT)
+        assert met.mean() >= 0.995
+
+
+def test_windows_end_with_their_lines():
+    for width in (1, 2, 5, 9):
+        lines = ["abcabcab", "é", "ab\0cd", "hello world, hello", "aaaaaaaaaaaaaaa", "abcd", "abcde"]
+        sets = line_dedup.line_sets([x.encode() for x in lines], width)
+        assert [len(s) for s in sets] == [len({x[i:i + width] for i in range(max(1, len(x) - width + 1))}) for x in lines]
+        m = line_dedup.minima([x.encode() for x in lines], width)
+        for s, row in zip(sets, m, strict=True):  # a minimum is a shingle's hash without its highest bits
+            assert set(row.tolist()) <= set((s >> np.uint64(line_dedup.LINE_BITS)).astype(np.uint32).tolist()) and len(set(row.tolist())) > len(s) / 3
+
+
+def test_buckets_fall_into_groups_of_near_sketches():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, 40, np.uint64)
+    sketch = np.concatenate([base[rng.integers(0, 40, 600)] ^ (np.uint64(1) << rng.integers(0, 64, 600).astype(np.uint64)), base])
+    key = np.sort(rng.integers(0, 60, len(sketch)).astype(np.uint64))
+    node = rng.permutation(len(sketch)).astype(np.int64)
+    met, a, b = similar.bucket_groups(key, node, sketch, 6)
+    got = roots_of(len(node), [(int(x), int(y)) for x, y in zip(a, b, strict=True)])
+    at = {int(n): i for i, n in enumerate(node)}
+    for k in range(60):
+        mine = np.flatnonzero(key == k)
+        near = [(i, j) for i in range(len(mine)) for j in range(i) if similar.far(sketch[mine[i]], sketch[mine[j]]) <= 6]
+        want = roots_of(len(mine), near)
+        group = {int(node[i]): g for i, g in zip(mine, want, strict=True)}
+        pairs = {(int(x), int(y), int(m)) for m, x, y in zip(met, a, b, strict=True) if at[int(x)] in mine}
+        assert all(group[x] == group[y] for x, y, _ in pairs) and len({m for *_, m in pairs}) == len({x for x, _, _ in pairs})
+        assert len(pairs) == len(mine) - len(set(want))
+    assert len(got) == len(node)
+
+
+def test_folded_nodes_are_compared(spark, monkeypatch):
+    """Keys and sketches alike, so all but one node of a bucket are folded, in both rounds; no link is lost."""
+    monkeypatch.setattr(similar, "HELD_KEYS", 8)
+    sets = {1: range(100), 2: range(50, 150), 3: range(5, 105), 4: range(45, 145), 5: range(500, 600), 6: range(48, 148), 7: range(2, 102)}
+    rows = spark.createDataFrame([(n, i) for n in sets for i in range(5)], "node long, k long").repartition(3)
+
+    def entries(batch, _):
+        node = batch.column(0).to_numpy()
+        yield batch.column(1).to_numpy().astype(np.uint64), node, np.where(node == 6, np.uint64(1), np.uint64(0))
+
+    table = spark.createDataFrame([(n, np.array(s, np.uint64).tobytes()) for n, s in sets.items()], "node long, payload binary")
+    ws = Workspace(spark, "folded")
+    met = similar.meet(rows, entries, 35, 3, ws)
+    _, roots = similar.link(met, lambda nodes, _: table, near_dup.decode, 80, ws)
+    assert {r.node: r.root for r in roots.collect()} == {1: 1, 3: 1, 7: 1, 2: 2, 4: 2, 6: 2}
+
+
 def test_repeated_rows_share_their_lines(spark):
     docs = spark.createDataFrame([(1, "same line\nother words here"), (1, "same line\nother words here"), (None, "same line")], "doc_id long, text string")
     assert {r.doc_id: r.kept for r in line_dedup.keep_lines(docs).collect()} == {1: [1], None: [0]}

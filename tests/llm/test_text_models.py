@@ -1,9 +1,11 @@
 """Packing, language identification, decontamination and toxicity."""
 
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,12 +22,16 @@ def encoder():
         return packing.Encoder(f.read(), most=200)
 
 
-def test_encoder_equals_the_tokenizer(encoder):
+def test_encoder_equals_the_tokenizer(encoder, monkeypatch):
     rng = random.Random(3)
-    bits = ["a", "b", " ", "\n", ".", ",", "é", "'s", "1", "\t", " x", "word", "<|endoftext|>", "　", "\x1c", "\x85", "\r"]
-    texts = ["", " ", "\n", "a  b", "a\n\nb", ".,", " .", "x.\ny"] + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
-    for i in range(0, len(texts), 100):
-        assert encoder.encode(texts[i:i + 100]) == encoder.plain(texts[i:i + 100])
+    bits = ["a", "b", " ", "\n", ".", ",", "é", "'s", "1", "\t", " x", "word", "<|endoftext|>", "\u3000", "\x1c", "\x85", "\r", "\u2009", "\u2014", "\u00d7", "ж", "漢", "\u00a0", "\x00", "  ", "."]
+    texts = [None, "", " ", "\n", "a  b", "a\n\nb", ".,", " .", "x.\ny", "a\u2009 b", "\u0300 a"] + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(4000)] + ["wörd, and word. " * 400, "z" * 3000, " " * 500]
+    for window in (1 << 20, 64):
+        monkeypatch.setattr(packing, "WINDOW_BYTES", window)
+        for i in range(0, len(texts), 100):
+            some = pa.array(["pad", *texts[i:i + 100]], pa.string()).slice(1)
+            assert [x.tobytes() for x in encoder.encode(some)] == encoder.plain([t or "" for t in texts[i:i + 100]])
+    assert encoder.encode(pa.array([], pa.string())) == [] and [len(x) for x in encoder.encode(pa.array([None, ""], pa.string()))] == [0, 0]
 
 
 def test_pieces():
@@ -95,6 +101,22 @@ def test_a_text_scores_alike_in_any_batch():
     assert [tuple(x[0] for x in language_id.score([t], names, matrix)) for t in texts] == list(zip(*whole, strict=True))
 
 
+def brute_force(text, items, window=10):
+    """Words, hit words and occurring items of one text, by comparing word lists."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    words = split(text)
+    hit, found = set(), set()
+    for i, t in items.items():
+        own = split(t)
+        n = min(window, len(own))
+        for k in range(len(own) - n + 1) if n else ():
+            for p in range(len(words) - n + 1):
+                if words[p:p + n] == own[k:k + n]:
+                    hit |= set(range(p, p + n))
+                    found.add(str(i))
+    return len(words), len(hit), sorted(found)
+
+
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abé1") for _ in range(rng.randint(1, 4)))
@@ -105,7 +127,7 @@ def test_decontamination_equals_brute_force(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_hit", F.lit("clash"))
     bench = spark.createDataFrame([*items.items(), (1, items[1]), (None, "a b c")], "item_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in D.decontaminate(frame, bench).collect()}
-    assert got == {i: D.brute_force(t, {k: v for k, v in items.items()}) for i, t in docs}
+    assert got == {i: brute_force(t, {k: v for k, v in items.items()}) for i, t in docs}
     assert not any(r.contaminated for r in D.decontaminate(frame, bench.limit(0)).collect())
     kept = D.drop_contaminated(frame, bench)
     assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {i for i, (_, n, _) in got.items() if not n}
@@ -117,9 +139,48 @@ def test_long_patterns_in_blocks(spark, monkeypatch):
     rng = random.Random(5)
     say = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon"]) for _ in range(n))
     items = {i: say(rng.randint(8, 25)) for i in range(20)}
-    docs = [(i, say(200) + " " + items[i % 20] + " " + say(5)) for i in range(40)]
+    docs = [(i, say(200) + " " + items[i % 20] + " " + say(5)) for i in range(40)] + [(40, None), (41, ""), (None, items[3]), (42, items[5]), (42, items[5])]
     got = D.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items.items()], "item_id long, text string")).collect()
-    assert {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in got} == {i: D.brute_force(t, items) for i, t in docs}
+    assert len(got) == len(docs) and {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in got} == {i: brute_force(t, items) for i, t in docs}
+    kept = D.drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items.items()], "item_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {40, 41}
+
+
+def test_languages_without_bound(spark):
+    docs = spark.createDataFrame([(i, "word", f"l{i}") for i in range(30)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(docs, languages=5)
+    assert language_id.identify(docs.limit(0), *language_id.fit(docs)).count() == 0
+    assert language_id.identify(docs.union(docs), *language_id.fit(docs)).count() == 60
+
+
+def test_scores_equal_naive_bayes(spark):
+    """Brute force: counts of hashed n-grams per language, smoothed, logarithms summed one by one."""
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("abcé d" if i % 2 else "xyzé d") for _ in range(rng.randint(1, 40))), "p" if i % 2 else "q") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, matrix = language_id.fit(docs)
+    got = {r.doc_id: r for r in language_id.identify(docs, names, matrix).collect()}
+
+    def grams(t):
+        for n in language_id.ORDERS:
+            for i in range(len(t) - n + 1):
+                h = 0
+                for c in t[i:i + n]:
+                    h = ((h ^ ord(c)) * 0x9E3779B1) % 2**32
+                h ^= n * 0x85EBCA6B % 2**32
+                yield ((h ^ (h >> 15)) * 0xC2B2AE35 % 2**32) >> (32 - language_id.BITS)
+
+    counts = {x: np.full(1 << language_id.BITS, language_id.SMOOTHING) for x in "pq"}
+    for i, t, x in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            for g in grams(t):
+                counts[x][g] += 1
+    for i, t, _ in rows:
+        z = {x: sum(np.log(c[g] / c.sum()) for g in grams(t)) for x, c in counts.items()}
+        best = max(sorted(z), key=z.get)
+        if any(map(str.isalpha, t)):
+            assert got[i].lang_pred == best and abs(got[i].score - 1 / sum(np.exp(v - z[best]) for v in z.values())) < 1e-6
 
 
 def test_toxicity(spark):
@@ -145,6 +206,36 @@ def test_toxicity(spark):
     assert toxicity.train([], []).values()[1] < 0 and toxicity.train(["a"], [1]).values()[1] > 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_small_samples_learn_a_common_insult(seed):
+    rng = random.Random(seed)
+    clean = ["".join(rng.choice("abcdeghkmnor") for _ in range(rng.randint(3, 8))) for _ in range(600)]
+    texts = [" ".join(rng.choice(clean) for _ in range(60)) for _ in range(240)]
+    texts = [t.replace(" ", " wizzlepf ", 6) if i % 4 == 0 else t for i, t in enumerate(texts)]
+    labels = [int(i % 4 == 0) for i in range(240)]
+    model = toxicity.train(texts[:192], labels[:192])
+    scores = np.array(toxicity.Scorer(*model.values()).score(texts))
+    assert ((scores >= 0.5) == np.array(labels)).mean() >= 0.97
+
+
+def test_scorer_equals_the_unfolded_model():
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(rng.normal(size=(1 << toxicity.BITS, toxicity.DIMENSIONS)), rng.normal(size=(toxicity.DIMENSIONS, 2)), rng.normal(size=2))
+    for text in ("", "One two, two ünd", "x" * 50 + " y"):
+        words = sorted({*toxicity.words_of(text)})
+        bag = np.concatenate([*(toxicity.subwords([w])[0] for w in words), np.full(toxicity.END_TIMES, toxicity.END)]).astype(int)
+        z = np.mean([model.embeddings[b] for b in bag], 0) @ model.weights + model.bias
+        assert abs(toxicity.Scorer(*model.values()).score([text])[0] - np.exp(z[1]) / np.exp(z).sum()) < 1e-9
+
+
+def test_toxicity_without_rows(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.drop_toxic(docs, toxicity.fit(docs, labels.limit(0))).count() == 3
+    assert toxicity.drop_toxic(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
+    assert toxicity.drop_toxic(docs.union(docs), toxicity.fit(docs, labels.limit(0))).count() == 6
+
+
 def test_subwords_of_a_word_are_its_own():
     flat, n = toxicity.subwords([b"ab", "é".encode(), b"longer"])
     alone = [toxicity.subwords([w])[0].tolist() for w in (b"ab", "é".encode(), b"longer")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -19,14 +20,22 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of whole texts within a Python worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Keeps Arrow batches of whole texts within a Python worker's memory.
+
+    The plans that operators return run after them, so the session keeps the setting; it is never raised.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset and all run in one process, a local one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="weftline-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -39,20 +48,24 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.paths: list[tuple[DataFrame, str]] = []
 
     def save(self, df: DataFrame) -> DataFrame:
         """Writes df as Parquet and returns a DataFrame that reads it back."""
         self.count += 1
         df.write.parquet(path := f"{self.root}/{self.count}")
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *dfs: DataFrame) -> None:
-        """Deletes tables of this workspace that nothing needs any more."""
-        jvm = self.spark._jvm
-        for df in dfs:
-            for file in df.inputFiles()[:1]:
-                folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-                folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((out, path))
+        return out
+
+    def clear(self, *keep: DataFrame) -> None:
+        """Deletes the tables of this workspace but those in `keep`; nothing may read the others any more."""
+        path_of = self.spark._jvm.org.apache.hadoop.fs.Path
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        for df, path in self.paths:
+            if not any(df is k for k in keep):
+                path_of(path).getFileSystem(conf).delete(path_of(path), True)
+        self.paths = [x for x in self.paths if any(x[0] is k for k in keep)]
 
 
 def lower_ascii(col):

@@ -9,7 +9,7 @@ from .common import Workspace
 
 
 def components(edges: DataFrame, ws: Workspace) -> DataFrame:
-    """(node, root) of every node with an edge in `edges` (a, b); the root is the smallest node of its component.
+    """(node, root), written, of every node with an edge in `edges` (a, b); the root is the smallest node of its component.
 
     Each round points every node at its smallest smaller neighbour, follows the pointers to their ends by doubling, and
     joins the edges again between those ends; it ends when no edge is left. Minima are pre-aggregated and the
@@ -24,8 +24,10 @@ def components(edges: DataFrame, ws: Workspace) -> DataFrame:
     while not left.isEmpty():
         up = ws.save(left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
         while True:
+            # Two steps of the same pointers a round: less tables than with one.
             over = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            step = ws.save(up.join(over, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+            once = up.join(over, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+            step = ws.save(once.join(over, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
             moved = not step.where("moved").isEmpty()
             up = step.select("node", "root")
             if not moved:
@@ -40,6 +42,6 @@ def components(edges: DataFrame, ws: Workspace) -> DataFrame:
         b = up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         left = ws.save(ordered(left.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))))
     if roots is None:
-        return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return ws.save(left.select(F.col("a").alias("node"), F.col("b").alias("root")))
     ends = roots.select(F.col("root").alias("node")).distinct()
     return ws.save(roots.union(ends.join(roots.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from .common import columns_of, raw, slices, small_batches
+from .common import Workspace, columns_of, raw, slices, small_batches
 
 WINDOW = 10
 #: Benchmark text in one pattern set; a larger benchmark is searched in several, each broadcast by itself.
@@ -143,35 +143,32 @@ class Patterns:
         return (np.concatenate(where), np.concatenate(which)) if where else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _judge(texts: list[bytes | None], sets: list[Patterns]) -> tuple[list[int], list[int], list[list]]:
-    """Words, hit words and occurring items of each text."""
+def _judge(texts: list[bytes | None], patterns: Patterns | None) -> tuple[list[int], dict[int, tuple[np.ndarray, np.ndarray, list]]]:
+    """Words of each text, and of those with hits (first words, lengths in words, items)."""
     words = [words_of(t) if t else [] for t in texts]
     n_words = [len(w) for w in words]
+    if patterns is None:
+        return n_words, {}
     parts = [b" " + b" ".join(w) + b" " if w else b"" for w in words]
     data = b"\n".join(parts)
     starts = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])[:-1]]).astype(np.int64)
-    n_hit, items = [0] * len(texts), [[] for _ in texts]
-    marks: dict[int, list] = {}
-    spaces = None
-    for patterns in sets:
-        at, which = patterns.find(data)
-        if not len(at):
-            continue
-        if spaces is None:
-            spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
-        doc = np.searchsorted(starts, at, "right") - 1
-        first = np.searchsorted(spaces, at) - np.searchsorted(spaces, starts[doc])
-        for d in np.unique(doc).tolist():
-            mine = doc == d
-            marks.setdefault(d, []).append((first[mine], patterns.count[which[mine]]))
-            items[d] += [patterns.ids[i] for i in np.unique(patterns.owner[which[mine]])]
-    for d, spans in marks.items():
-        step = np.zeros(n_words[d] + 1, np.int64)
-        for first, count in spans:
-            np.add.at(step, first, 1)
-            np.add.at(step, first + count, -1)
-        n_hit[d] = int((np.cumsum(step) > 0).sum())
-    return n_words, n_hit, items
+    at, which = patterns.find(data)
+    if not len(at):
+        return n_words, {}
+    spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    doc = np.searchsorted(starts, at, "right") - 1
+    first = np.searchsorted(spaces, at) - np.searchsorted(spaces, starts[doc])
+    order = np.argsort(doc, kind="stable")
+    docs, cut = np.unique(doc[order], return_index=True)
+    return n_words, {d: (first[mine], patterns.count[which[mine]], [patterns.ids[i] for i in np.unique(patterns.owner[which[mine]])]) for d, mine in zip(docs.tolist(), np.split(order, cut[1:]), strict=True)}
+
+
+def _covered(n_words: int, first: np.ndarray, count: np.ndarray) -> int:
+    """Words inside any of the spans."""
+    step = np.zeros(n_words + 1, np.int64)
+    np.add.at(step, first, 1)
+    np.add.at(step, first + count, -1)
+    return int((np.cumsum(step) > 0).sum())
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, bytes]]]:
@@ -192,8 +189,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     A window is `window` consecutive words of an item, or all words of a shorter item. Document words inside any
     occurrence of a window are hit.
 
-    The windows are pattern sets of a bounded size, built one at a time and broadcast; each document batch is
-    scanned once for each of them, without a shuffle, so no group of documents can be too large for a task.
+    The windows are pattern sets of a bounded size, built and broadcast one at a time. With one set, documents are judged where
+    they are read and nothing is shuffled. A larger benchmark is searched set by set: each scan writes the spans of the documents
+    it hits and its broadcast is destroyed; then the spans of a document, which are bounded by its own words, are put together. So no
+    process ever holds more than one set, and no group of documents can be too large for a task.
 
     Returns doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated, and the columns named in
     `carry`. Each row of `docs` gives one row. A null or empty text has no words and no hits; an item without id
@@ -201,29 +200,62 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """
     spark = docs.sparkSession
     small_batches(spark)
-    sets = [spark.sparkContext.broadcast(vars(Patterns(b, window))) for b in _blocks(benchmark, item, item_text)]
     carried = [c for c in carry if c not in ("doc_id", "n_words", "n_hit", "n_items", "item_ids", "contaminated")]
-    slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"), *carried)
+    blocks = _blocks(benchmark, item, item_text)
+    some = [b for b in (next(blocks, None), next(blocks, None)) if b is not None]
+    share = lambda b: spark.sparkContext.broadcast(vars(Patterns(b, window)))
+    slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"), F.xxhash64(key, text).alias("_uid"), *carried)
+    one = share(some[0]) if len(some) == 1 else None
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = [Patterns.of(s.value) for s in sets]
+        patterns = Patterns.of(one.value) if one else None
         for batch in batches:
             (texts,) = columns_of(batch, ["_text"])
             for lo, hi in slices(texts):
-                n_words, n_hit, items = _judge(raw(texts.slice(lo, hi - lo)), patterns)
-                ids = [sorted({str(i) for i in x}) for x in items]
+                n_words, found = _judge(raw(texts.slice(lo, hi - lo)), patterns)
+                n_hit = [_covered(n, *found[d][:2]) if d in found else 0 for d, n in enumerate(n_words)]
+                ids = [sorted({str(i) for i in found[d][2]}) if d in found else [] for d in range(len(n_words))]
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [*columns_of(part, ["doc_id"]), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array([h > 0 for h in n_hit]), *columns_of(part, carried)],
-                    ["doc_id", "n_words", "n_hit", "n_items", "item_ids", "contaminated", *carried],
+                    [*columns_of(part, ["doc_id", "_uid"]), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array([h > 0 for h in n_hit]), *columns_of(part, carried)],
+                    ["doc_id", "_uid", "n_words", "n_hit", "n_items", "item_ids", "contaminated", *carried],
                 )
 
-    schema = StructType([StructField("doc_id", docs.schema[key].dataType)])
+    schema = StructType([StructField("doc_id", docs.schema[key].dataType), StructField("_uid", LongType())])
     for name, kind in (("n_words", LongType()), ("n_hit", LongType()), ("n_items", LongType()), ("item_ids", ArrayType(StringType())), ("contaminated", BooleanType())):
         schema = schema.add(name, kind)
     for c in carried:
         schema = schema.add(docs.schema[c])
-    return slim.mapInArrow(scan, schema)
+    judged = slim.mapInArrow(scan, schema)
+    if len(some) < 2:
+        return judged.drop("_uid")
+
+    ws = Workspace(spark, "decontaminate")
+    hits = None
+    for block in chain(some, blocks):
+        now = share(block)
+
+        def spans(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            patterns = Patterns.of(now.value)
+            for batch in batches:
+                for lo, hi in slices(batch.column(1)):
+                    _, found = _judge(raw(batch.column(1).slice(lo, hi - lo)), patterns)
+                    where = pa.array([lo + d for d in found], pa.int64())
+                    lists = list(found.values())
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(where), pa.array([x[0] for x in lists], pa.list_(pa.int64())), pa.array([x[1] for x in lists], pa.list_(pa.int64())), pa.array([[str(i) for i in x[2]] for x in lists], pa.list_(pa.string()))], ["_uid", "first", "count", "ids"]
+                    )
+
+        part = ws.save(slim.select("_uid", "_text").mapInArrow(spans, "_uid long, first array<long>, count array<long>, ids array<string>"))
+        now.destroy()
+        hits = part if hits is None else hits.union(part)
+    span = F.arrays_zip("first", "count")
+    whole = hits.groupBy("_uid").agg(F.flatten(F.collect_list(span)).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("_ids"))
+    word = F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["first"] + s["count"] - 1)))
+    whole = ws.save(whole.select("_uid", F.size(F.array_distinct(word)).cast("long").alias("_hit"), "_ids"))
+    none = F.array().cast("array<string>")
+    joined = judged.drop("n_hit", "n_items", "item_ids", "contaminated").join(whole, "_uid", "left")
+    return joined.select("doc_id", "n_words", F.coalesce("_hit", F.lit(0)).alias("n_hit"), F.coalesce(F.size("_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("_ids", none).alias("item_ids"), F.col("_hit").isNotNull().alias("contaminated"), *carried)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -235,22 +267,3 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id"
 def items_digest(ids):
     """Lower-case SHA-256 of item ids joined by commas."""
     return F.sha2(F.array_join(ids, ","), 256)
-
-
-def brute_force(text: str | None, items: dict[int, str | None], window: int = WINDOW) -> tuple[int, int, list[str]]:
-    """Words, hit words and occurring items of one text, by comparing word lists; for tests."""
-    words = words_of((text or "").encode())
-    hit, found = set(), set()
-    for i, t in items.items():
-        own = words_of((t or "").encode())
-        n = min(window, len(own))
-        for k in range(len(own) - n + 1) if n else ():
-            for p in range(len(words) - n + 1):
-                if words[p:p + n] == own[k:k + n]:
-                    hit |= set(range(p, p + n))
-                    found.add(str(i))
-    return len(words), len(hit), sorted(found)
-
-
-def digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(ids).encode()).hexdigest()

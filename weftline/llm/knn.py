@@ -28,9 +28,14 @@ def quantised(values: np.ndarray, scale: int) -> np.ndarray:
 def _matrix(cells: pa.Array, width: int) -> np.ndarray:
     """Rows of int64 vectors; shorter ones end in zeros."""
     out = np.zeros((len(cells), width), np.int64)
-    for i, x in enumerate(cells.to_pylist()):
-        v = np.frombuffer(x, np.int64)
-        out[i, :len(v)] = v
+    if not len(cells):
+        return out
+    sizes = pa.compute.binary_length(cells).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+    values = np.frombuffer(b"".join(cells.to_pylist()), np.int64)
+    if (sizes == width).all():
+        return values.reshape(-1, width).copy()
+    at = np.repeat(np.arange(len(cells)) * width - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(values))
+    out.ravel()[at] = values
     return out
 
 
@@ -121,7 +126,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, key
     Vectors are grouped by their nearest pivot. Sizes and radii of the groups bound the products between a query
     group and a data group; data groups that can't hold one of the k best are not sent to it. The rest is sent in parts of
     about `task_rows` rows, so no cell is too large for a task, each part is solved by itself, and the partial results,
-    k a query and part, are merged. Queries are dealt in groups of about `group_queries`.
+    k a query and part, are merged. Queries are dealt in groups of about `group_queries`; a cell with more is split, and each share gets
+    the data that the cell needs.
 
     Returns query_id, rank (from 1), vec_id, score. Rows with a null id, a null vector, or a vector with null, NaN or
     infinite components take no part. Shorter vectors end in zeros. Rows that repeat an id count once, with the best
@@ -175,19 +181,26 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, key
         distinct += different
     repeats = distinct - placed.select("vec_id").distinct().count()
     group, needs = plan(pivots, counts, radii, q_counts, q_radii, repeats, k, group_queries)
-    # Bounded by pivots squared: which groups a cell is sent to, and in how many parts a group's data come.
+    # Bounded by pivots squared: which groups a cell is sent to, in how many parts a group's data come, and its queries.
     parts = [max(1, -(-int(sum(counts[j] for j in need)) // task_rows)) for need in needs]
-    first = np.concatenate([[0], np.cumsum(parts)])
-    sent = F.array(*[F.array(*[F.struct(F.lit(int(first[g])).alias("first"), F.lit(parts[g]).alias("parts")) for g, need in enumerate(needs) if c in need]).cast("array<struct<first:int,parts:int>>") for c in range(len(pivots))])
-    asked = F.array(*[F.when(F.lit(bool(g >= 0)), F.sequence(F.lit(int(first[g])), F.lit(int(first[g]) + parts[g] - 1))) for g in group.tolist()])
-    data = placed.select("vec_id", "v", F.explode(F.element_at(sent, F.col("cell") + 1)).alias("g")).select((F.col("g.first") + F.pmod(F.xxhash64("vec_id"), F.col("g.parts"))).cast("int").alias("part"), "vec_id", "v")
-    queries = placed.where(is_query).select(F.explode(F.element_at(asked, F.col("cell") + 1)).alias("part"), "vec_id", "v")
+    held = np.zeros(len(needs))
+    np.add.at(held, group[group >= 0], q_counts[group >= 0])
+    shares = [max(1, -(-int(n) // group_queries)) for n in held]
+    first = np.concatenate([[0], np.cumsum(np.array(parts, np.int64) * np.array(shares, np.int64))])
+    table = lambda rows: F.broadcast(spark.createDataFrame(rows, "cell int, first long, parts long, shares long"))
+    sent = table([(int(c), int(first[g]), parts[g], shares[g]) for g, need in enumerate(needs) for c in sorted(need)])
+    asked = table([(c, int(first[g]), parts[g], shares[g]) for c, g in enumerate(group.tolist()) if g >= 0])
+    spread = F.xxhash64("vec_id", F.lit(1))
+    share = placed.join(sent, "cell").select("vec_id", "v", "first", "parts", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    data = share.select((F.col("first") + F.col("share") * F.col("parts") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).alias("part"), "vec_id", "v")
+    begin = F.col("first") + F.pmod(spread, F.col("shares")) * F.col("parts")
+    queries = placed.where(is_query).join(asked, "cell").select(F.explode(F.sequence(begin, begin + F.col("parts") - 1)).alias("part"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
 
     def solve(q: pa.Table, x: pa.Table) -> pa.Table:
-        own = q.column("vec_id").to_numpy()
+        own = q.column("query_id").to_numpy()
         if not len(own) or not x.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        row, ids, scores = top_scores(_matrix(q.column("v").combine_chunks(), width), x.column("vec_id").to_numpy(), _matrix(x.column("v").combine_chunks(), width), own, k)
+        row, ids, scores = top_scores(_matrix(q.column("q").combine_chunks(), width), x.column("vec_id").to_numpy(), _matrix(x.column("v").combine_chunks(), width), own, k)
         return pa.table({"query_id": pa.array(own[row]), "vec_id": pa.array(ids), "score": pa.array([max(-LONG, min(LONG, int(s))) for s in scores], pa.int64())})
 
     found = queries.groupBy("part").cogroup(data.groupBy("part")).applyInArrow(solve, "query_id long, vec_id long, score long")

@@ -14,9 +14,10 @@ from .common import columns_of, slices, small_batches
 #: Lengths of the character n-grams, hashed together into 2 ** BITS buckets.
 ORDERS = (1, 2, 3)
 BITS = 16
-#: Documents of each language that the model is fitted on, and languages: a stratified sample, chosen by hash.
+#: Documents of each language that the model is fitted on: a stratified sample, chosen by hash.
 DOCS_PER_LANGUAGE = 2000
-LANGUAGES = 1000
+#: Languages beyond which fit() fails; a language takes half a megabyte on the driver and in each worker.
+LANGUAGES = 2000
 #: Bytes of text scored at once.
 SCORED_BYTES = 1 << 20
 SMOOTHING = 0.5
@@ -51,11 +52,15 @@ def held_out(key):
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
     """Languages and the matrix of log-probabilities, (languages, buckets), of rows that are not held out.
 
-    Fitted on about `docs_per_language` documents of each of the `languages` most frequent ones; counts of whole
-    texts are summed on the executors. What reaches the driver is bounded by languages times buckets.
+    Fitted on about `docs_per_language` documents of each language; counts of whole texts are summed on the executors. What
+    reaches the driver is bounded by languages times buckets; with more than `languages` of them, which no table of
+    real languages has, it raises ValueError. Names differing in case are different languages. Rows that repeat others count
+    as often as they come; null texts and null languages are left out. Without rows there is no language.
     """
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang")).where(F.col("_lang").isNotNull() & ~held_out(F.col("_key")))
-    counts = {r[0]: r[1] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(languages).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("_lang").count().limit(languages + 1).collect()}
+    if len(counts) > languages:
+        raise ValueError(f"more than {languages} languages")
     if not counts:
         return [], np.zeros((0, (1 << BITS) + 1))
     # Whole languages up to the bound, else the rows whose hash is below the language's share.
@@ -106,7 +111,7 @@ def score(texts: list[str | None], names: list[str], matrix: np.ndarray) -> tupl
 def identify(docs: DataFrame, names: list[str], matrix: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Predicts the language of every whole text: doc_id, held_out, lang_pred and score.
 
-    Nothing but the text decides. A null text or one without a letter is `und` with score 0, as is every text if no
+    Nothing but the text decides; of equally likely languages the first in code point order is taken. A null text or one without a letter is `und` with score 0, as is every text if no
     language was learned. A null key is not held out. Every row gives one row; other columns are ignored.
     The matrix, of bounded size, is broadcast; texts are scored in batches without a shuffle.
     """

@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, columns_of, raw, slices, small_batches
-from .similar import Members, link, mix, set_digest
+from .common import Workspace, raw, slices, small_batches
+from .similar import Members, link, meet, mix, once, set_digest, sketch_of
 
 #: A signature has POSITIONS minima of 16 bits, in CHUNKS chunks.
 POSITIONS, CHUNKS = 32, 8
@@ -74,8 +74,8 @@ def signature(elements: np.ndarray) -> bytes:
 def chunk_keys(signatures: np.ndarray) -> np.ndarray:
     """Keys of each signature: for each chunk, all variants with one position left open.
 
-    Two signatures with at most one differing position in some chunk share a key, and no others do: a key is the
-    number of the variant and the bits themselves.
+    Two signatures with at most one differing position in some chunk share a key, and no others do: a key is a
+    bijection of the number of the variant and the bits themselves.
     """
     per = POSITIONS // CHUNKS
     out = []
@@ -86,7 +86,7 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
             for k in range(per):
                 if k != open_:
                     key = (key << np.uint64(16)) | chunk[:, k]
-            out.append(key.view(np.int64))
+            out.append(mix(key))
     return np.stack(out, 1)
 
 
@@ -129,40 +129,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     signed = ws.save(slim.mapInArrow(sign, f"doc_id {kind}, n_shingles long, node long, signature binary"))
     classes = ws.save(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                keys = chunk_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, POSITIONS))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1]))], ["key", "node"])
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, POSITIONS) for c in columns_of(batch, ["sa", "sb"]))
-                yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(1) <= DISTANCE))
-
-    def pretest(pairs: DataFrame) -> DataFrame:
-        side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("signature").alias(f"s{c}"))
-        sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {least} * greatest(na, nb)")
-        return sized.select("a", "b", "sa", "sb").mapInArrow(close, "a long, b long")
+    def entries(batch: pa.RecordBatch, _: set) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if batch.num_rows:
+            signatures = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, POSITIONS)
+            keys = chunk_keys(signatures)
+            yield keys.ravel(), np.repeat(batch.column(0).to_numpy(), keys.shape[1]), np.repeat(sketch_of(signatures), keys.shape[1])
 
-    def payloads_of(nodes: DataFrame) -> DataFrame:
+    def payloads_of(nodes: DataFrame, n: int) -> DataFrame:
         """Sets of the nodes: documents whose ids are wanted are shingled once more where they are read."""
         wanted = nodes.join(classes, "node").select(F.xxhash64("first").alias("h"))
-        members = spark.sparkContext.broadcast(Members(wanted, "h").map)
+        members = spark.sparkContext.broadcast(Members(wanted, "h", n).map)
 
         def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shingler, map_ = Shingler(width), members.value
+            shingler, map_, sent = Shingler(width), members.value, set()
             for batch in batches:
                 texts = batch.column(1).filter(pa.array(Members.test(map_, batch.column(0).to_numpy())))
                 for lo, hi in slices(texts):
-                    sets = [s for s in shingler.sets(raw(texts.slice(lo, hi - lo))) if len(s)]
-                    yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "payload"])
+                    sets = {set_digest(s): s for s in shingler.sets(raw(texts.slice(lo, hi - lo))) if len(s)}
+                    fresh = sets.keys() - sent
+                    sent = (sent if len(sent) < MEMO_WORDS else set()) | fresh
+                    yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.int64()), pa.array([sets[x].tobytes() for x in fresh], pa.binary())], ["node", "payload"])
 
-        found = slim.select(F.xxhash64("doc_id"), "text").mapInArrow(shingle, "node long, payload binary")
-        return ws.save(found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("payload").alias("payload")))
+        return once(slim.select(F.xxhash64("doc_id"), "text").mapInArrow(shingle, "node long, payload binary"), ws)
 
-    _, roots = link(classes.select("node", "signature").mapInArrow(explode, "key long, node long"), pretest, payloads_of, decode, least, ws)
+    # Signatures within DISTANCE have sketches within it, so the sketches lose no pair.
+    met = meet(classes.select("node", "signature"), entries, classes.count() * POSITIONS, DISTANCE, ws)
+    _, roots = link(met, payloads_of, decode, least, ws)
+    ws.clear(signed, classes, roots)
     rooted = classes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least_ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least_ids, "root").select("node", "component_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,21 +14,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, columns_of, slices, small_batches
+from .similar import mix
 
-#: Units of text whose ids a Python worker remembers.
-MEMO_UNITS = 500_000
+#: Units of text whose ids a Python worker remembers, at about 32 bytes each.
+MEMO_UNITS = 2_000_000
+#: Bytes of text that are cut and looked up at once.
+WINDOW_BYTES = 1 << 20
 #: Pieces that are packed together; each such group can leave one sequence underfull.
 GROUP_PIECES = 16_384
 #: Bins in a row that may resist the local search, and documents of a bin that its exchanges look at.
 PATIENCE, LOOK = 24, 6
 
 
+def _class(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for lo, hi in ranges:
+        out[lo:hi + 1] = True
+    return out
+
+
+#: By byte: what a unit begins with; visible ASCII; ASCII letters; lead bytes of two-byte letters of Latin scripts.
+_GAP, _VISIBLE, _LETTER, _LATIN = _class((32, 32), (10, 10)), _class((33, 126)), _class((65, 90), (97, 122)), _class((0xC3, 0xC9))
+
+
+def units(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where the units of UTF-8 texts begin that a byte-level BPE encodes by themselves; `begins` are the texts' own first bytes.
+
+    The usual pre-tokenizer never joins a character to white space that follows it, whatever comes later. So a text may
+    be cut before a space or newline behind a character that is no white space, and before a full stop or comma
+    between a letter and such a place. Where that isn't certain, for scripts or spaces not listed here, the unit goes on.
+    """
+    if not len(data):
+        return np.zeros(0, np.int64)
+    one = np.zeros(len(data), np.uint8)
+    two, three = one.copy(), one.copy()
+    one[1:], two[2:], three[3:] = data[:-1], data[:-2], data[:-3]
+    # Characters of two or three bytes some of which are white space: U+0080 on, U+1680, U+2000 on, U+3000 on.
+    odd = (two == 0xC2) | (((three == 0xE1) | (three == 0xE2) | (three == 0xE3)) & (two >= 0x80))
+    cut = _GAP[data] & (_VISIBLE[one] | ((one >= 0x80) & ~odd))
+    cut[begins] = True
+    after = np.append(cut[1:], True)
+    letter = _LETTER[one] | ((one >= 0x80) & _LATIN[two] & ~((two == 0xC3) & ((one == 0x97) | (one == 0xB7))))
+    cut |= ((data == 46) | (data == 44)) & letter & after
+    return np.flatnonzero(cut)
+
+
 class Encoder:
-    """Ids of whole texts as little-endian uint32 bytes, equal to the tokenizer's own.
+    """Ids of whole texts, equal to the tokenizer's own.
 
-    A byte-level BPE with the usual pre-tokenizer never joins a character to white space that follows it. So text may be cut
-    before each single space or newline between two other characters, and the pieces encoded by themselves; most
-    recur and are remembered. A text with white space beside white space is encoded whole.
+    Texts are cut into units(), and each distinct unit is encoded once and remembered by a 64-bit hash, of which two units
+    in a memory share one with a probability below 1e-6.
     """
 
     def __init__(self, tokenizer_json: str, most: int = MEMO_UNITS):
@@ -37,72 +73,112 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.most = most
-        self.memo: dict[str, bytes] = {}
-        self.marks = dict(zip(".,", self.plain([".", ","]), strict=True))
         # Byte-level vocabularies write a space as U+0120 and a newline as U+010A.
         vocabulary = self.tokenizer.get_vocab()
-        self.leading = {lead: np.zeros(max(vocabulary.values()) + 1, bool) for lead in " \n"}
+        self.leading = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
-            for lead, written in ((" ", "\u0120"), ("\n", "\u010a")):
-                self.leading[lead][i] = token.startswith(written)
+            self.leading[i] = token[0] in "\u0120\u010a"
+        rng = np.random.default_rng(20240607)
+        self.values = rng.integers(0, 2**64, 256, np.uint64)
+        self.powers = np.ones(1, np.uint64)
+        self.base = np.uint64(int(rng.integers(0, 2**63)) * 2 + 1)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, units: list[str], lead: str) -> list[bytes]:
-        """Ids of each `lead` + unit. The units are encoded as one text: only the first token of a unit can begin with `lead`."""
-        if not units:
-            return []
-        ids = np.array(self.tokenizer.encode_batch_fast([lead + lead.join(units)], add_special_tokens=False)[0].ids, "<u4")
-        starts = np.append(np.flatnonzero(self.leading[lead][ids]), len(ids)) * 4
-        data = ids.tobytes()
-        return [data[i:j] for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-
-    def _learn(self, units: set[str]) -> None:
-        """Keys: a unit after a space without that space, one that begins with a newline as it is."""
-        if len(self.memo) + len(units) > self.most:
-            self.memo = {}  # what a slice found before stays in its hands
-        # A full stop or comma after a letter is a token of its own.
-        stems = {u: u[:-1] for u in units if len(u) > 1 and u[-1] in ".," and u[-2].isalpha()}
-        todo = {stems.get(u, u) for u in units} - self.memo.keys()
-        # With white space inside, a unit is encoded by itself.
-        spaced = [u for u in todo if any(map(str.isspace, u[1:]))]
-        todo -= {*spaced}
-        for lead, mine in ((" ", [u for u in todo if u[0] != "\n"]), ("\n", [u[1:] for u in todo if u[0] == "\n"])):
-            self.memo |= zip(mine if lead == " " else ["\n" + u for u in mine], self._joined(mine, lead), strict=True)
-        self.memo |= zip(spaced, self.plain([u if u[0] == "\n" else " " + u for u in spaced]), strict=True)
-        for u, stem in stems.items():
-            self.memo[u] = self.memo[stem] + self.marks[u[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text."""
-        out, whole, waiting, missing = [b""] * len(texts), [], [], set()
-        get = self.memo.get
-        for i, text in enumerate(texts):
-            units = text.replace("\n", " \n").split(" ")
-            first = units[0]
-            if "" in units or "\n" in units or first[-1].isspace():  # white space beside white space, or none at all
-                whole.append(i)
-                continue
-            units[0] = "\n"  # no unit is a newline alone: the text's first unit has nothing before it
-            parts = list(map(get, units))
-            waiting.append((i, first, units, parts))
-            missing.update(u for u, p in zip(units, parts, strict=True) if p is None)
-        missing.discard("\n")
-        # What ends in other white space could share a token with what follows.
-        odd = {u for u in missing if u[-1].isspace()}
-        self._learn(missing - odd)
-        memo = self.memo
-        firsts = self.plain([first for _, first, _, _ in waiting])
-        for (i, _, units, parts), lead in zip(waiting, firsts, strict=True):
-            if odd and not odd.isdisjoint(units):
-                whole.append(i)
-                continue
-            parts[0] = lead
-            out[i] = b"".join([memo[u] if p is None else p for u, p in zip(units, parts, strict=True)] if None in parts else parts)
-        for i, ids in zip(whole, self.plain([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+    def _hashes(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        longest = int(size.max())
+        with np.errstate(over="ignore"):
+            while len(self.powers) < longest:
+                self.powers = np.append(self.powers, self.powers * np.multiply.reduce(np.full(len(self.powers), self.base)))
+            place = np.arange(len(data)) - np.repeat(start, size)
+            return mix(np.add.reduceat(self.values[data] * self.powers[place], start) + size.astype(np.uint64))
+
+    def _learn(self, hashes: np.ndarray, texts: list[bytes], plain: np.ndarray) -> None:
+        """Encodes new units. The `plain` ones, whose only white space is their first character, are encoded as one text: only their first tokens begin with it."""
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        n, encode = int(plain.sum()), self.tokenizer.encode_batch_fast
+        flat, size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if n:
+            flat = np.array(encode([b"".join([texts[i] for i in order[:n].tolist()]).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            starts = np.flatnonzero(self.leading[flat])
+            if len(starts) == n and starts[0] == 0:
+                size = np.diff(np.append(starts, len(flat)))
+            else:  # a vocabulary of another make
+                n, flat = 0, flat[:0]
+        if n < len(order):
+            single = [x.ids for x in encode([texts[i].decode() for i in order[n:].tolist()], add_special_tokens=False)]
+            size = np.concatenate([size, np.fromiter(map(len, single), np.int64, len(single))])
+            flat = np.concatenate([flat, np.fromiter(chain.from_iterable(single), np.uint32)])
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        self.ids[self.used:self.used + len(flat)] = flat
+        at = self.used + np.cumsum(size) - size
+        self.used += len(flat)
+        hashes = hashes[order]
+        order = np.argsort(hashes)
+        place = np.searchsorted(self.known, hashes[order])
+        self.known, self.at, self.size = (np.insert(x, place, y[order]) for x, y in ((self.known, hashes), (self.at, at), (self.size, size)))
+
+    def _window(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the data, and how many lie before each unit; with the units' starts."""
+        start = units(data, begins)
+        size = np.diff(np.append(start, len(data)))
+        hashes, first, which = np.unique(self._hashes(data, start, size), return_index=True, return_inverse=True)
+        if len(self.known) + len(hashes) > self.most:
+            self.forget()
+        place = np.searchsorted(self.known, hashes)
+        new = np.flatnonzero(self.known[np.minimum(place, max(len(self.known) - 1, 0))] != hashes) if len(self.known) else np.arange(len(hashes))
+        if len(new):
+            whole = data.tobytes()
+            lo = start[first[new]]
+            hi = lo + size[first[new]]
+            spaces = np.append(0, np.cumsum(data <= 32))
+            self._learn(hashes[new], [whole[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], _GAP[data[lo]] & (spaces[hi] - spaces[lo] == 1) & (hi - lo > 1))
+            place = np.searchsorted(self.known, hashes)
+        place = place[which]
+        n = self.size[place]
+        before = np.cumsum(n) - n
+        return self.ids[np.repeat(self.at[place] - before, n) + np.arange(int(n.sum()))], start, before
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a string array; null is empty."""
+        texts = texts.fill_null("").cast(pa.large_binary())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+        ends = ends - ends[0]
+        begins = np.unique(ends[:-1][ends[1:] > ends[:-1]])
+        parts, at, lo = [], np.zeros(len(ends), np.int64), 0
+        done = 0
+        while lo < len(data):
+            hi = len(data)
+            if hi - lo > WINDOW_BYTES:  # up to the last unit that begins in the window, or in a longer one
+                reach = WINDOW_BYTES
+                while True:
+                    hi = min(lo + reach, len(data))
+                    mine = begins[(begins >= lo) & (begins < hi)] - lo
+                    start = units(data[lo:hi], np.union1d(mine, [0]))
+                    # A mark at the end of the window may go on behind it.
+                    start = start[start < hi - lo - 4]
+                    if hi == len(data) or start[-1] > 0:
+                        break
+                    reach *= 2
+                hi = lo + int(start[-1]) if hi < len(data) else hi
+            mine = begins[(begins >= lo) & (begins < hi)] - lo
+            ids, start, before = self._window(data[lo:hi], np.union1d(mine, [0]))
+            inside = (ends >= lo) & (ends < hi)
+            at[inside] = done + before[np.searchsorted(start, ends[inside] - lo)]
+            parts.append(ids)
+            done += len(ids)
+            lo = hi
+        at[ends >= len(data)] = done
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def pieces_of(ids: bytes, capacity: int) -> list[tuple[int, int, int]]:
@@ -230,18 +306,21 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     spark = docs.sparkSession
     small_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
-        tokenizer = spark.sparkContext.broadcast(f.read())
+        tokenizer = spark.sparkContext.broadcast({"json": f.read()})
     kind = dict(docs.dtypes)[key]
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer.value)
+        held = tokenizer.value  # stays with the Python worker, and so does what it has learned
+        if "encoder" not in held:
+            held["encoder"] = Encoder(held["json"])
+        encoder = held["encoder"]
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
-                ids = encoder.encode([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()])
+                ids = encoder.encode(batch.column(1).slice(lo, hi - lo))
                 rows, piece, start, length, crc = [], [], [], [], []
                 for i, x in enumerate(ids):
-                    for p, (s, n, c) in enumerate(pieces_of(x + end, capacity)):
+                    for p, (s, n, c) in enumerate(pieces_of(x.tobytes() + end, capacity)):
                         rows.append(lo + i)
                         piece.append(p)
                         start.append(s)

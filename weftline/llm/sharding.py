@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Workspace
+from .similar import sized_broadcast
+
 #: Rows that one sorted group holds; groups are cut from a uniform hash, so no source, however large, fills one task.
 GROUP_ROWS = 4096
+#: Runs that one sum of a prefix covers.
+PREFIX = 4096
 
 
 def _empty_text(text):
@@ -22,7 +27,8 @@ def interleave(docs: DataFrame, shards: int = 8, seed: str = "weftline", text: s
 
     Both rankings are counts of lower groups plus a position inside the group: sources are cut into groups by the
     hash, the whole by the fractional rank, each of about `group_rows` rows however the sources are skewed. The text
-    is read once and only its size and checksum are shuffled.
+    is read once and only its size and checksum are shuffled. A source's count goes with its rows: the table of
+    counts is broadcast if it has few enough rows, and joined by shuffle beyond that.
 
     Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, law `rows`, shard, slot (from 0, without gaps) and
     grown_shard (null: this law does not keep rows in place when shards are added).
@@ -39,12 +45,12 @@ def interleave(docs: DataFrame, shards: int = 8, seed: str = "weftline", text: s
         F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))).alias("h"),
     )
     # Key alone orders rows; the checksum also spreads rows that repeat a key over groups' ends.
-    per_source = slim.groupBy("src").agg(F.count("*").alias("n"))
+    per_source = Workspace(docs.sparkSession, "sharding").save(slim.groupBy("src").agg(F.count("*").alias("n")))
     total = docs.count()  # from the file footers
     groups = max(1, -(-total // group_rows))
     unit = F.conv(F.substring("h", 1, 8), 16, 10).cast("long")
     n_groups = F.ceil(F.col("n") / group_rows)
-    rows = slim.join(per_source, "src").withColumn("g", F.shiftright(unit * n_groups, 32))
+    rows = slim.join(sized_broadcast(per_source), "src").withColumn("g", F.shiftright(unit * n_groups, 32))
     # Groups of a source and how many of its rows lie in lower ones.
     counts = rows.groupBy("src", "g").agg(F.count("*").alias("c"))
     before = counts.select("src", "g", (F.sum("c").over(Window.partitionBy("src").orderBy("g")) - F.col("c")).alias("below"))
@@ -53,8 +59,11 @@ def interleave(docs: DataFrame, shards: int = 8, seed: str = "weftline", text: s
     ranked = ranked.withColumn("k", F.col("i") + F.col("below")).withColumn("frac", (2 * F.col("k") - 1) / (2 * F.col("n")))
     ranked = ranked.withColumn("b", F.least(F.floor(F.col("frac") * groups), F.lit(groups - 1)))
     run_counts = ranked.groupBy("b").agg(F.count("*").alias("c"))
-    # One row for each group_rows documents goes through this window.
-    runs = run_counts.select("b", (F.sum("c").over(Window.orderBy("b")) - F.col("c")).alias("start"))
+    # Prefix sums in two levels: one task gets a row for each PREFIX runs of about group_rows documents.
+    many = run_counts.withColumn("pb", F.expr(f"b div {PREFIX}"))
+    tops = many.groupBy("pb").agg(F.sum("c").alias("c"))
+    tops = tops.select("pb", (F.sum("c").over(Window.orderBy("pb")) - F.col("c")).alias("top"))
+    runs = many.withColumn("start", F.sum("c").over(Window.partitionBy("pb").orderBy("b")) - F.col("c")).join(tops, "pb").select("b", (F.col("top") + F.col("start")).alias("start"))
     order = Window.partitionBy("b").orderBy("frac", "src", "h", "doc_id", "text_crc32", "size")
     placed = ranked.withColumn("j", F.row_number().over(order)).join(runs, "b").withColumn("pos", F.col("start") + F.col("j") - 1)
     shard = F.expr(f"pos * {shards} div {max(total, 1)}")

@@ -16,7 +16,16 @@ from .components import components
 DECODED_BYTES = 1 << 20
 #: Nodes in a block of a cluster, and elements in a dense part of their matrix.
 BLOCK, COLUMNS = 512, 4096
+#: Bytes of payloads that a block of a cluster holds, about.
+BLOCK_BYTES = 4 << 20
+#: Keys that a task holds before it sends them, and before it folds what came in. A key takes ENTRY_BYTES.
+HELD_KEYS, ENTRY_BYTES = 1 << 20, 24
+#: Bytes of keys that one partition of a bucket join gets, about.
+PART_BYTES = 32 << 20
+#: Rows of a table of roots that may be broadcast, at 16 bytes each.
+BROADCAST_ROWS = 1 << 19
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_PAIRS = np.uint64(0x5555555555555555)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -42,18 +51,32 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
+def sketch_of(minima: np.ndarray) -> np.ndarray:
+    """Two bits of each of 32 minima (rows of small unsigned numbers), as one 64-bit number."""
+    out = np.zeros(len(minima), np.uint64)
+    for i in range(32):
+        out |= (minima[:, i].astype(np.uint64) & np.uint64(3)) << np.uint64(2 * i)
+    return out
+
+
+def far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many of their 32 positions two sketches differ."""
+    d = x ^ y
+    return np.bitwise_count((d | (d >> np.uint64(1))) & _PAIRS)
+
+
 class Members:
     """A bit map of hashes, of bounded size: what isn't in it was not among the rows it was made of.
 
-    It saves shuffling rows that nothing asks for; an exact join follows. With more rows than bits it lets all pass.
+    It saves shuffling rows that nothing asks for; an exact join follows. Beyond the bound it lets more rows pass, and with many more
+    rows than bits nearly all: then each payload is shuffled once.
     """
 
     MOST_BITS = 1 << 26
 
-    def __init__(self, hashes: DataFrame, name: str):
-        """From one column of longs, which must be hashes; 16 bits for each row up to the bound."""
+    def __init__(self, hashes: DataFrame, name: str, n: int):
+        """From one column of longs, which must be hashes, about n of them; 16 bits for each up to the bound."""
         bits = 1 << 12
-        n = hashes.count()
         while bits < min(16 * n, self.MOST_BITS):
             bits *= 2
         at = F.col(name).bitwiseAND(F.lit(bits - 1))
@@ -68,72 +91,244 @@ class Members:
         return (map_[p >> 6] >> (p & 63)) & 1 == 1
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key and node: key, smallest node and node for every further node of a key."""
-    last_key, first, last_node = None, 0, None
-    for batch in batches:
-        key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(key):
-            continue
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        new[0] = last_key is None or key[0] != last_key
-        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        start = np.where(at < 0, first, node[np.maximum(at, 0)])
+class Entries:
+    """Keys of nodes with the nodes' sketches; of equal key and sketch the node that came first stands for all."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = self.folded = 0
+
+    def add(self, key: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> None:
+        self.parts.append((key, node, sketch))
+        self.size += len(key)
+
+    def fold(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorts and folds what is held; gives (a, b) for every b that a now stands for."""
+        key, node, sketch = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        order = np.argsort(key)
+        key = key[order]
         again = np.zeros(len(key), bool)
-        again[1:] = (node[1:] == node[:-1]) & ~new[1:]
-        again[0] = not new[0] and node[0] == last_node
-        out = ~new & ~again & (node != start)
-        last_key, first, last_node = key[-1], start[-1], node[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(start[out]), pa.array(node[out])], ["key", "a", "b"])
+        again[1:] = key[1:] == key[:-1]
+        many = again.copy()
+        many[:-1] |= again[1:]
+        at = np.flatnonzero(many)
+        if len(at):
+            order[at] = order[at][np.lexsort((order[at], sketch[order[at]], key[at]))]
+        node, sketch = node[order], sketch[order]
+        again[1:] &= sketch[1:] == sketch[:-1]
+        head = np.maximum.accumulate(np.where(again, 0, np.arange(len(key))))[again]
+        pairs = node[head], node[again]
+        self.parts = [(key[~again], node[~again], sketch[~again])]
+        self.size = self.folded = len(self.parts[0][0])
+        different = pairs[0] != pairs[1]
+        return pairs[0][different], pairs[1][different]
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct pairs, one after another."""
+    return np.unique(np.stack([a, b], 1), axis=0).ravel() if len(a) else np.zeros(0, np.int64)
+
+
+def sender(entries: Callable[[pa.RecordBatch, set], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: rows (part, keys, pairs) of the (keys, nodes, sketches) that `entries` makes of each batch.
+
+    `entries` also gets a set of its task, to remember in it what it has sent.
+    A row holds all keys that a task has for a part so far, as packed numbers; so the shuffle moves few rows, whatever the
+    number of keys. Parts are ranges of keys.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, memo = Entries(), set()
+        bounds = np.array([-(-(i << 64) // parts) for i in range(1, parts)], np.uint64)
+
+        def send() -> pa.RecordBatch:
+            nonlocal held
+            pairs = _distinct(*held.fold())
+            key, node, sketch = held.parts[0]
+            cut = np.concatenate([[0], np.searchsorted(key, bounds), [len(key)]])
+            full = np.flatnonzero(cut[1:] > cut[:-1])
+            blobs = [key[lo:hi].tobytes() + node[lo:hi].tobytes() + sketch[lo:hi].tobytes() for lo, hi in zip(cut[full].tolist(), cut[full + 1].tolist(), strict=True)]
+            held = Entries()
+            same = [None] * len(full)
+            if len(pairs):
+                full, blobs, same = np.append(full, int(pairs[0]) % parts), [*blobs, None], [*same, pairs.tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary()), pa.array(same, pa.binary())], ["part", "keys", "pairs"])
+
+        for batch in batches:
+            for key, node, sketch in entries(batch, memo):
+                held.add(key, node, sketch)
+                if held.size >= HELD_KEYS:
+                    yield send()
+        if held.size:
+            yield send()
+
+    return run
+
+
+def _groups(sketch: np.ndarray, limit: int) -> np.ndarray:
+    """Number of the group of each sketch: groups are joined by steps between sketches within the limit; a group's number is its first member's."""
+    group = np.arange(len(sketch))
+    left = np.arange(len(sketch))
+    while len(left):
+        head, left = left[0], left[1:]
+        waiting = [head]
+        while waiting and len(left):
+            near = far(sketch[left], sketch[waiting.pop()]) <= limit
+            fresh = left[near]
+            group[fresh] = head
+            waiting += fresh.tolist()
+            left = left[~near]
+    return group
+
+
+def bucket_groups(key: np.ndarray, node: np.ndarray, sketch: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, a, b) from entries sorted by key: in each bucket the groups of near sketches, a the first node of a group and b every other one.
+
+    A group is named by a hash of its key and first node.
+    """
+    new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, len(key)))
+    head = np.repeat(start, count)
+    alone = np.repeat(count == 1, count)
+    near = far(sketch, sketch[head]) <= limit
+    near[head] = True
+    # Buckets all of whose sketches are near the first one's are groups; in those of two that aren't, nothing met.
+    mixed = np.unique(head[~near & np.repeat(count > 2, count)])
+    own = np.where(near & ~alone, head, np.arange(len(key)))
+    for s in mixed.tolist():
+        n = int(count[np.searchsorted(start, s)])
+        own[s:s + n] = s + _groups(sketch[s:s + n], limit)
+    b = np.flatnonzero(own != np.arange(len(key)))
+    a = own[b]
+    name = mix(key[a] * GOLDEN + node[a].view(np.uint64)).view(np.int64)
+    good = node[a] != node[b]
+    return name[good], node[a][good], node[b][good]
+
+
+def meeting(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over the rows of sender(), a part of which is a partition: (met, a, b).
+
+    Nodes that share a key and whose sketches differ in `limit` positions at most are in one group `met`, or were
+    folded; then `met` is null. Memory is bounded by the distinct keys and sketches of the part, however often they come.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Entries()
+
+        def rows(met, a, b) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([met, pa.array(a), pa.array(b)], ["met", "a", "b"])
+
+        def folded(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            pairs = _distinct(a, b).reshape(-1, 2)
+            return rows(pa.nulls(len(pairs), pa.int64()), pairs[:, 0].copy(), pairs[:, 1].copy())
+
+        for batch in batches:
+            for blob, pairs in zip(batch.column(1), batch.column(2), strict=True):
+                if pairs.is_valid:
+                    flat = np.frombuffer(pairs.as_buffer(), np.int64).reshape(-1, 2)
+                    yield rows(pa.nulls(len(flat), pa.int64()), flat[:, 0].copy(), flat[:, 1].copy())
+                if blob.is_valid:
+                    words = np.frombuffer(blob.as_buffer(), np.uint64)
+                    n = len(words) // 3
+                    held.add(words[:n], words[n:2 * n].view(np.int64), words[2 * n:])
+                    if held.size >= 2 * HELD_KEYS + 2 * held.folded:
+                        yield folded(*held.fold())
+        yield folded(*held.fold())
+        met, a, b = bucket_groups(*held.parts[0], limit)
+        for i in range(0, len(met), 100_000):
+            yield rows(pa.array(met[i:i + 100_000]), a[i:i + 100_000], b[i:i + 100_000])
+
+    return run
+
+
+def meet(rows: DataFrame, entries: Callable, keys: int, limit: int, ws: Workspace) -> DataFrame:
+    """(met, a, b), written: nodes that share a key and have near sketches; `keys` is how many keys there are, about."""
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys * ENTRY_BYTES // PART_BYTES))
+    sent = rows.mapInArrow(sender(entries, parts), "part int, keys binary, pairs binary")
+    return ws.save(sent.repartitionById(parts, "part").mapInArrow(meeting(limit), "met long, a long, b long"))
+
+
+def once(found: DataFrame, ws: Workspace) -> DataFrame:
+    """(node, payload), written, each node once; a node that many rows repeat should come once from each task."""
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            fresh = []
+            for i, node in enumerate(batch.column(0).to_pylist()):
+                if node not in seen:
+                    seen.add(node)
+                    fresh.append(i)
+            yield batch.take(pa.array(fresh, pa.int64()))
 
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ws.save(found.repartition(parts, "node").mapInArrow(first, "node long, payload binary"))
 
-def link(keys: DataFrame, pretest: Callable[[DataFrame], DataFrame], payloads_of: Callable[[DataFrame], DataFrame], decode: Callable[[list[bytes]], list[np.ndarray]], least: int, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links between nodes that share a key, enough for every component, and (node, root).
 
-    keys: (key, node). pretest: from pairs (a, b) those that may be links. payloads_of: from nodes (node) a written table
-    (node, payload binary); decode: from payloads the sets, as sorted 64-bit hashes. A pair is a link if
-    100 * intersection >= least * union.
+def link(met: DataFrame, payloads_of: Callable[[DataFrame, int], DataFrame], decode: Callable[[list[bytes]], list[np.ndarray]], least: int, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links between nodes that met, enough for every component, and (node, root), both written.
 
-    Rows are sorted by key and read as a stream, so a bucket takes no memory however large it is. First each node
-    meets the smallest one of its bucket. Buckets whose nodes are then in one component are done. In the
+    met: what meet() gives. payloads_of: from nodes (node), which may repeat, and their number a written table (node, payload binary) of
+    each of them, and perhaps others, once; decode: from payloads the sets, as sorted 64-bit hashes. A pair is a link if 100 * intersection >= least * union.
+
+    First each node meets the first one of its group. Groups whose nodes are then in one component are done. In the
     others, nodes stay that share enough with any other of these nodes to have a link at all; most that no link reaches have
-    too many elements of their own. Those that still meet in open buckets form clusters, and in a cluster every
+    too many elements of their own. Those that still meet in open groups form clusters, and in a cluster every
     node that isn't in its main component is compared with all others, block by block. No link is lost: two nodes of a
-    bucket were compared, or were in one component already, or can't be a link.
+    group were compared, or were in one component already, or can't be a link.
     """
-    buckets = ws.save(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_runs, "key long, a long, b long"))
-    tested = ws.save(pretest(buckets.select("a", "b").distinct()))
-    links = ws.save(_confirm(tested, payloads_of(_nodes(tested)), decode, least))
+    pairs = ws.save(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    payloads = payloads_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), 2 * pairs.count())
+    links = ws.save(_confirm(pairs, payloads, decode, least))
     roots = components(links, ws)
-    label = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
-    members = label(label(buckets, "a"), "b")
-    open_keys = members.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("ra") != F.col("rb")).alias("open")).where("open and n > 1").select("key")
-    rest = ws.save(members.join(open_keys, "key").select("key", F.col("b").alias("node"), F.col("rb").alias("root")))
+    small = sized_broadcast(roots)
+    label = lambda df, c: df.join(small.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+    labelled = ws.save(label(label(met, "a"), "b"))
+    # A folded node goes wherever the one that stands for it is, and that one may have been folded once more.
+    folded = labelled.where("met is null").select(F.col("a").alias("for"), F.col("ra").alias("rf"), "b", "rb").distinct()
+    folded = ws.save(folded.union(folded.alias("x").join(folded.alias("y"), F.col("x.for") == F.col("y.b")).select("y.for", "y.rf", "x.b", "x.rb")))
+    loose = folded.where("rf <> rb").select("for").distinct()
+    grouped = labelled.where("met is not null")
+    named = lambda c: grouped.join(loose.select(F.col("for").alias(c)), c, "left_semi").select("met")
+    open_ = grouped.where("ra <> rb").select("met").union(named("a")).union(named("b")).distinct()
+    inside = ws.save(grouped.join(open_, "met", "left_semi").select("met", "a", "ra", "b", "rb"))
+    rest = inside.select(F.col("met").alias("key"), F.col("a").alias("node"), F.col("ra").alias("root")).union(inside.select("met", "b", "rb"))
+    with_them = rest.select("key", F.col("node").alias("for")).join(folded.select("for", "b", "rb"), "for").select("key", "b", "rb")
+    # Where the one that stands for others isn't linked with them all, they are a group too.
+    apart = folded.join(loose, "for")
+    rest = rest.union(with_them).union(apart.select("for", "b", "rb")).union(apart.select("for", "for", "rf")).distinct()
+    # Two nodes alone were compared.
+    more = rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key")
+    rest = ws.save(rest.join(more, "key", "left_semi"))
     if not rest.isEmpty():
-        payloads = payloads_of(rest.select("node").distinct())
-        more = ws.save(_rest(rest, payloads, decode, least, ws))
-        if not more.isEmpty():
-            links = links.union(more)
+        found = ws.save(_rest(rest, payloads, decode, least, ws))
+        if not found.isEmpty():
+            links = ws.save(links.union(found))
             roots = components(links, ws)
     return links, roots
 
 
+def sized_broadcast(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """A table of a few numbers a row, to be broadcast if it has few enough rows; a written one counts its own."""
+    return F.broadcast(table) if (table.count() if rows is None else rows) <= BROADCAST_ROWS else table
+
+
 def _rest(rest: DataFrame, payloads: DataFrame, decode, least: int, ws: Workspace) -> DataFrame:
     """Links (a, b) between the nodes of different roots among (key, node, root), as pairs leave no rows but links.
 
-    A task gets a block of a cluster and a block of its nodes outside the main component, BLOCK nodes of either at most or so;
-    it counts common elements by a matrix product over the elements both sides have.
+    A task gets a block of a cluster and a block of its nodes outside the main component, BLOCK nodes and BLOCK_BYTES of either at
+    most or so; it counts common elements by a matrix product over the elements both sides have.
     """
+    payloads = payloads.join(rest.select("node").distinct(), "node", "left_semi")
     able = ws.save(_shareable(payloads, decode).where(f"100 * m >= {least} * n").select("node"))
     members = ws.save(rest.join(able, "node").select("key", "node", "root"))
     heads = members.groupBy("key").agg(F.min("node").alias("a"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key", "a")
     groups = components(members.join(heads, "key").select("a", F.col("node").alias("b")), ws)
-    placed = ws.save(groups.select("node", F.col("root").alias("cluster")).join(members.select("node", "root").distinct(), "node"))
-    by_root = placed.groupBy("cluster", "root").agg(F.count("*").alias("c"))
-    sizes = by_root.groupBy("cluster").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("root", F.struct("c", "root")).alias("main")).where("n > most")
-    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    near = placed.join(sizes, "cluster").join(payloads, "node").select("cluster", "node", "root", "payload", (F.col("root") != F.col("main")).alias("minor"), blocks(F.col("n")).alias("bn"), blocks(F.col("n") - F.col("most")).alias("bk"))
+    weights = payloads.select("node", F.length("payload").cast("long").alias("w"))
+    placed = ws.save(groups.select("node", F.col("root").alias("cluster")).join(members.select("node", "root").distinct(), "node").join(weights, "node"))
+    by_root = placed.groupBy("cluster", "root").agg(F.count("*").alias("c"), F.sum("w").alias("w"))
+    sizes = by_root.groupBy("cluster").agg(F.sum("c").alias("n"), F.sum("w").alias("w_n"), F.max("c").alias("most"), F.max_by(F.struct("root", "w"), F.struct("c", "root")).alias("main")).where("n > most").select("cluster", "n", "w_n", "most", F.col("main.root").alias("main"), F.col("main.w").alias("w_main"))
+    blocks = lambda c, w: F.greatest(F.ceil(c / BLOCK), F.ceil(w / BLOCK_BYTES)).cast("int")
+    near = placed.drop("w").join(sizes, "cluster").join(payloads, "node").select("cluster", "node", "root", "payload", (F.col("root") != F.col("main")).alias("minor"), blocks(F.col("n"), F.col("w_n")).alias("bn"), blocks(F.col("n") - F.col("most"), F.col("w_n") - F.col("w_main")).alias("bk"))
     mine = lambda b: F.pmod(F.xxhash64("node"), F.col(b)).cast("int")
     every = lambda b: F.explode(F.sequence(F.lit(0), F.col(b) - 1))
     rows = ["node", "root", "payload"]
@@ -171,10 +366,6 @@ def _rest(rest: DataFrame, payloads: DataFrame, decode, least: int, ws: Workspac
     return cells.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def _nodes(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-
-
 def _shareable(payloads: DataFrame, decode) -> DataFrame:
     """(node, n, m): the size of each set, and how many of its elements any other of these sets has too.
 

@@ -20,7 +20,9 @@ BITS, DIMENSIONS = 18, 4
 END, END_TIMES = zlib.crc32(b"</s>") & ((1 << BITS) - 1), 100
 #: The labelled sample: documents of each label, chosen by hash, none longer than so many bytes.
 DOCS_PER_LABEL, SAMPLE_BYTES = 1200, 65_536
-STEPS, BATCH, RATE, DECAY = 384, 128, 0.8, 1e-7
+STEPS, BATCH, RATE = 384, 128, 0.8
+#: Weight decay at the full sample; it grows with the square of what a smaller one lacks, or rare words would decide there.
+DECAY = 1e-7
 #: Sampled documents that must have a subword for it to get a vector.
 LEAST_DOCS = 3
 #: Words whose contributions a Python worker remembers.
@@ -104,6 +106,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     part = e[used]
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (part, w, b)]
     # Batches hold both labels in the sample's proportion; those of one label weigh as much as those of the other.
+    decay = np.float32(DECAY * max(1.0, 2 * DOCS_PER_LABEL / len(y)) ** 2)
     weight = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean()).astype(np.float32)
     t = 0
     while t < STEPS:
@@ -126,7 +129,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
             g = (p * weight[batch, None] / len(batch)).astype(np.float32)
             back = np.repeat(g @ w.T, n, axis=0) * x[:, None]
             ge = np.stack([np.bincount(c, back[:, k], minlength=len(used)) for k in range(DIMENSIONS)], 1).astype(np.float32)
-            for p_, g_, (m, v) in zip((part, w, b), (ge + DECAY * part, mean.T @ g, g.sum(0)), state, strict=True):
+            for p_, g_, (m, v) in zip((part, w, b), (ge + decay * part, mean.T @ g, g.sum(0)), state, strict=True):
                 m += 0.1 * (g_ - m)
                 v += 0.01 * (g_ * g_ - v)
                 p_ -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -171,7 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     The sample has about `docs_per_label` documents of each label (0 and 1; others and nulls are ignored), chosen by
     hash, of at most `sample_bytes` bytes each. Labels are counted over all rows; only the sampled numbers are
-    broadcast, so the documents aren't shuffled.
+    broadcast, so the documents aren't shuffled. Of rows of `labels` that repeat a key the largest label counts, of documents
+    that repeat one the smallest text. Without documents or labels the model calls nothing toxic.
     """
     rows = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).where(F.col("_key").isNotNull() & F.col("_label").isin(0, 1) & ~held_out(F.col("_key")))
     n = {r[0]: r[1] for r in rows.groupBy("_label").count().collect()}
@@ -179,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # Twice the expected number at most, whatever the hash does.
     sample = rows.where(F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(1_000_003)) < F.lit(1_000_003) * share).groupBy("_key").agg(F.max("_label").alias("_label")).limit(4 * docs_per_label)
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.octet_length("_text") <= sample_bytes)
-    found = sorted((r[0], r[1], r[2]) for r in texts.join(F.broadcast(sample), "_key").select("_key", "_label", "_text").collect())
+    found = sorted((r[0], r[1], r[2]) for r in texts.join(F.broadcast(sample), "_key").groupBy("_key", "_label").agg(F.min("_text").alias("_text")).collect())
     return train([t for _, _, t in found], [y for _, y, _ in found])
 
 
