@@ -193,18 +193,19 @@ def test_buckets_fall_into_groups_of_near_sketches():
     sketch = np.concatenate([base[rng.integers(0, 40, 600)] ^ (np.uint64(1) << rng.integers(0, 64, 600).astype(np.uint64)), base])
     key = np.sort(rng.integers(0, 60, len(sketch)).astype(np.uint64))
     node = rng.permutation(len(sketch)).astype(np.int64)
-    met, a, b = similar.bucket_groups(key, node, sketch, 6)
-    got = roots_of(len(node), [(int(x), int(y)) for x, y in zip(a, b, strict=True)])
-    at = {int(n): i for i, n in enumerate(node)}
+    a, b = similar.bucket_groups(key, node, sketch, 6)
+    got = {}
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        got.setdefault(y, []).append(x)
     for k in range(60):
         mine = np.flatnonzero(key == k)
         near = [(i, j) for i in range(len(mine)) for j in range(i) if similar.far(sketch[mine[i]], sketch[mine[j]]) <= 6]
-        want = roots_of(len(mine), near)
-        group = {int(node[i]): g for i, g in zip(mine, want, strict=True)}
-        pairs = {(int(x), int(y), int(m)) for m, x, y in zip(met, a, b, strict=True) if at[int(x)] in mine}
-        assert all(group[x] == group[y] for x, y, _ in pairs) and len({m for *_, m in pairs}) == len({x for x, _, _ in pairs})
-        assert len(pairs) == len(mine) - len(set(want))
-    assert len(got) == len(node)
+        groups = {}
+        for i, g in zip(mine, roots_of(len(mine), near), strict=True):
+            groups.setdefault(g, []).append(int(node[i]))
+        for g in groups.values():
+            assert min(g) not in got and all(got.pop(n) == [min(g)] for n in g if n != min(g))
+    assert not got
 
 
 def test_folded_nodes_are_compared(spark, monkeypatch):

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, raw, slices, small_batches
+from .common import Workspace, columns_of, raw, slices, small_batches
 from .similar import Members, link, meet, mix, once, set_digest, sketch_of
 
 #: A signature has POSITIONS minima of 16 bits, in CHUNKS chunks.
@@ -152,9 +152,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
         return once(slim.select(F.xxhash64("doc_id"), "text").mapInArrow(shingle, "node long, payload binary"), ws)
 
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, POSITIONS) for c in columns_of(batch, ["sa", "sb"]))
+                yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(1) <= DISTANCE))
+
+    def pretest(pairs: DataFrame) -> DataFrame:
+        side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("signature").alias(f"s{c}"))
+        sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {least} * greatest(na, nb)")
+        return sized.select("a", "b", "sa", "sb").mapInArrow(close, "a long, b long")
+
     # Signatures within DISTANCE have sketches within it, so the sketches lose no pair.
     met = meet(classes.select("node", "signature"), entries, classes.count() * POSITIONS, DISTANCE, ws)
-    _, roots = link(met, payloads_of, decode, least, ws)
+    _, roots = link(met, payloads_of, decode, least, ws, pretest)
     ws.clear(signed, classes, roots)
     rooted = classes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least_ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

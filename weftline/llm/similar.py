@@ -23,7 +23,7 @@ HELD_KEYS, ENTRY_BYTES = 1 << 20, 24
 #: Bytes of keys that one partition of a bucket join gets, about.
 PART_BYTES = 32 << 20
 #: Rows of a table of roots that may be broadcast, at 16 bytes each.
-BROADCAST_ROWS = 1 << 19
+BROADCAST_ROWS = 1 << 17
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _PAIRS = np.uint64(0x5555555555555555)
 
@@ -48,7 +48,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     if not len(a):
         return 0
     at = np.searchsorted(b, a)
-    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a))
 
 
 def sketch_of(minima: np.ndarray) -> np.ndarray:
@@ -180,72 +180,67 @@ def _groups(sketch: np.ndarray, limit: int) -> np.ndarray:
     return group
 
 
-def bucket_groups(key: np.ndarray, node: np.ndarray, sketch: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(group, a, b) from entries sorted by key: in each bucket the groups of near sketches, a the first node of a group and b every other one.
-
-    A group is named by a hash of its key and first node.
-    """
-    new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
-    start = np.flatnonzero(new)
+def bucket_groups(key: np.ndarray, node: np.ndarray, sketch: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) from entries sorted by key: in each bucket the groups of near sketches, a the smallest node of a group and b every other one."""
+    again = np.zeros(len(key), bool)
+    again[1:] = key[1:] == key[:-1]
+    many = again.copy()
+    many[:-1] |= again[1:]
+    order = np.flatnonzero(many)
+    order = order[np.lexsort((node[order], key[order]))]
+    key, node, sketch = key[order], node[order], sketch[order]
+    if not len(key):
+        return node, node
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     count = np.diff(np.append(start, len(key)))
     head = np.repeat(start, count)
-    alone = np.repeat(count == 1, count)
     near = far(sketch, sketch[head]) <= limit
-    near[head] = True
     # Buckets all of whose sketches are near the first one's are groups; in those of two that aren't, nothing met.
     mixed = np.unique(head[~near & np.repeat(count > 2, count)])
-    own = np.where(near & ~alone, head, np.arange(len(key)))
-    for s in mixed.tolist():
-        n = int(count[np.searchsorted(start, s)])
+    own = np.where(near, head, np.arange(len(key)))
+    for s, n in zip(mixed.tolist(), count[np.searchsorted(start, mixed)].tolist(), strict=True):
         own[s:s + n] = s + _groups(sketch[s:s + n], limit)
-    b = np.flatnonzero(own != np.arange(len(key)))
-    a = own[b]
-    name = mix(key[a] * GOLDEN + node[a].view(np.uint64)).view(np.int64)
-    good = node[a] != node[b]
-    return name[good], node[a][good], node[b][good]
+    b = np.flatnonzero((own != np.arange(len(key))) & (node[own] != node))
+    return node[own[b]], node[b]
 
 
 def meeting(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over the rows of sender(), a part of which is a partition: (met, a, b).
+    """For mapInArrow over the rows of sender(), a part of which is a partition: (a, b, folded).
 
-    Nodes that share a key and whose sketches differ in `limit` positions at most are in one group `met`, or were
-    folded; then `met` is null. Memory is bounded by the distinct keys and sketches of the part, however often they come.
+    Nodes that share a key and whose sketches differ in `limit` positions at most, or are joined by such steps, give rows with the
+    same a, or are folded: then a stands for b. Memory is bounded by the distinct keys and sketches of the part, however often they come.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Entries()
 
-        def rows(met, a, b) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([met, pa.array(a), pa.array(b)], ["met", "a", "b"])
-
-        def folded(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            pairs = _distinct(a, b).reshape(-1, 2)
-            return rows(pa.nulls(len(pairs), pa.int64()), pairs[:, 0].copy(), pairs[:, 1].copy())
+        def rows(flat: np.ndarray, folded: bool) -> Iterator[pa.RecordBatch]:
+            pairs = flat.reshape(-1, 2)
+            for i in range(0, len(pairs), 100_000):
+                some = pairs[i:i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some[:, 0].copy()), pa.array(some[:, 1].copy()), pa.array(np.full(len(some), folded))], ["a", "b", "folded"])
 
         for batch in batches:
             for blob, pairs in zip(batch.column(1), batch.column(2), strict=True):
                 if pairs.is_valid:
-                    flat = np.frombuffer(pairs.as_buffer(), np.int64).reshape(-1, 2)
-                    yield rows(pa.nulls(len(flat), pa.int64()), flat[:, 0].copy(), flat[:, 1].copy())
+                    yield from rows(np.frombuffer(pairs.as_buffer(), np.int64), True)
                 if blob.is_valid:
                     words = np.frombuffer(blob.as_buffer(), np.uint64)
                     n = len(words) // 3
                     held.add(words[:n], words[n:2 * n].view(np.int64), words[2 * n:])
                     if held.size >= 2 * HELD_KEYS + 2 * held.folded:
-                        yield folded(*held.fold())
-        yield folded(*held.fold())
-        met, a, b = bucket_groups(*held.parts[0], limit)
-        for i in range(0, len(met), 100_000):
-            yield rows(pa.array(met[i:i + 100_000]), a[i:i + 100_000], b[i:i + 100_000])
+                        yield from rows(_distinct(*held.fold()), True)
+        yield from rows(_distinct(*held.fold()), True)
+        yield from rows(_distinct(*bucket_groups(*held.parts[0], limit)), False)
 
     return run
 
 
 def meet(rows: DataFrame, entries: Callable, keys: int, limit: int, ws: Workspace) -> DataFrame:
-    """(met, a, b), written: nodes that share a key and have near sketches; `keys` is how many keys there are, about."""
+    """(a, b, folded), written: nodes that share a key and have near sketches; `keys` is how many keys there are, about."""
     spark = rows.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys * ENTRY_BYTES // PART_BYTES))
     sent = rows.mapInArrow(sender(entries, parts), "part int, keys binary, pairs binary")
-    return ws.save(sent.repartitionById(parts, "part").mapInArrow(meeting(limit), "met long, a long, b long"))
+    return ws.save(sent.repartitionById(parts, "part").mapInArrow(meeting(limit), "a long, b long, folded boolean"))
 
 
 def once(found: DataFrame, ws: Workspace) -> DataFrame:
@@ -264,40 +259,41 @@ def once(found: DataFrame, ws: Workspace) -> DataFrame:
     return ws.save(found.repartition(parts, "node").mapInArrow(first, "node long, payload binary"))
 
 
-def link(met: DataFrame, payloads_of: Callable[[DataFrame, int], DataFrame], decode: Callable[[list[bytes]], list[np.ndarray]], least: int, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+def link(met: DataFrame, payloads_of: Callable[[DataFrame, int], DataFrame], decode: Callable[[list[bytes]], list[np.ndarray]], least: int, ws: Workspace, pretest: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> tuple[DataFrame, DataFrame]:
     """Confirmed links between nodes that met, enough for every component, and (node, root), both written.
 
     met: what meet() gives. payloads_of: from nodes (node), which may repeat, and their number a written table (node, payload binary) of
-    each of them, and perhaps others, once; decode: from payloads the sets, as sorted 64-bit hashes. A pair is a link if 100 * intersection >= least * union.
+    each of them, and perhaps others, once; decode: from payloads the sets, as sorted 64-bit hashes. A pair is a link if
+    100 * intersection >= least * union. pretest: from pairs (a, b) those that may be links.
 
-    First each node meets the first one of its group. Groups whose nodes are then in one component are done. In the
+    The nodes that met the same a are its group. First each node meets a. Groups whose nodes are then in one component are done. In the
     others, nodes stay that share enough with any other of these nodes to have a link at all; most that no link reaches have
     too many elements of their own. Those that still meet in open groups form clusters, and in a cluster every
     node that isn't in its main component is compared with all others, block by block. No link is lost: two nodes of a
     group were compared, or were in one component already, or can't be a link.
     """
-    pairs = ws.save(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    met = ws.save(met.distinct())
+    pairs = met.select("a", "b")
     payloads = payloads_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), 2 * pairs.count())
-    links = ws.save(_confirm(pairs, payloads, decode, least))
+    links = ws.save(_confirm(pretest(pairs), payloads, decode, least))
     roots = components(links, ws)
     small = sized_broadcast(roots)
     label = lambda df, c: df.join(small.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
     labelled = ws.save(label(label(met, "a"), "b"))
     # A folded node goes wherever the one that stands for it is, and that one may have been folded once more.
-    folded = labelled.where("met is null").select(F.col("a").alias("for"), F.col("ra").alias("rf"), "b", "rb").distinct()
-    folded = ws.save(folded.union(folded.alias("x").join(folded.alias("y"), F.col("x.for") == F.col("y.b")).select("y.for", "y.rf", "x.b", "x.rb")))
+    folded = labelled.where("folded").select(F.col("a").alias("for"), F.col("ra").alias("rf"), "b", "rb")
+    folded = ws.save(folded.union(folded.alias("x").join(folded.alias("y"), F.col("x.for") == F.col("y.b")).select("y.for", "y.rf", "x.b", "x.rb")).distinct())
     loose = folded.where("rf <> rb").select("for").distinct()
-    grouped = labelled.where("met is not null")
-    named = lambda c: grouped.join(loose.select(F.col("for").alias(c)), c, "left_semi").select("met")
-    open_ = grouped.where("ra <> rb").select("met").union(named("a")).union(named("b")).distinct()
-    inside = ws.save(grouped.join(open_, "met", "left_semi").select("met", "a", "ra", "b", "rb"))
-    rest = inside.select(F.col("met").alias("key"), F.col("a").alias("node"), F.col("ra").alias("root")).union(inside.select("met", "b", "rb"))
-    with_them = rest.select("key", F.col("node").alias("for")).join(folded.select("for", "b", "rb"), "for").select("key", "b", "rb")
+    groups = labelled.where("not folded")
+    open_ = groups.where("ra <> rb").select("a").union(groups.join(loose.withColumnRenamed("for", "b"), "b", "left_semi").select("a")).union(loose).distinct()
+    inside = ws.save(groups.join(open_, "a", "left_semi").select("a", "ra", "b", "rb"))
+    rest = inside.select(F.col("a").alias("key"), F.col("a").alias("node"), F.col("ra").alias("root")).union(inside.select("a", "b", "rb"))
+    with_them = rest.select("key", F.col("node").alias("for")).distinct().join(folded.select("for", "b", "rb"), "for").select("key", "b", "rb")
     # Where the one that stands for others isn't linked with them all, they are a group too.
-    apart = folded.join(loose, "for")
+    apart = folded.join(loose, "for", "left_semi")
     rest = rest.union(with_them).union(apart.select("for", "b", "rb")).union(apart.select("for", "for", "rf")).distinct()
-    # Two nodes alone were compared.
-    more = rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key")
+    # Two nodes alone were compared, and where all are in one component nothing is left to find.
+    more = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("n > 2 and r0 <> r1").select("key")
     rest = ws.save(rest.join(more, "key", "left_semi"))
     if not rest.isEmpty():
         found = ws.save(_rest(rest, payloads, decode, least, ws))
@@ -387,19 +383,24 @@ def _shareable(payloads: DataFrame, decode) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, payloads: DataFrame, decode, least: int) -> DataFrame:
-    """The pairs (a, b) whose full sets pass."""
+    """The pairs (a, b) whose full sets pass. A node that is in many pairs of a batch is decoded once."""
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo, hi in slices(whole.column(2), DECODED_BYTES):
                 batch = whole.slice(lo, hi - lo)
-                names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                found = dict(zip(names[0], batch.column(2).to_pylist(), strict=True)) | dict(zip(names[1], batch.column(3).to_pylist(), strict=True))
-                sets = dict(zip(found, decode(list(found.values())), strict=True))
-                good = []
-                for a, b in zip(*names, strict=True):
-                    both = overlap(sets[a], sets[b])
-                    good.append(100 * both >= least * (len(sets[a]) + len(sets[b]) - both))
-                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                nodes, first = np.unique(np.concatenate([a, b]), return_index=True)
+                found = [*batch.column(2).to_pylist(), *batch.column(3).to_pylist()]
+                sets = decode([found[i] for i in first.tolist()])
+                n = np.array([len(x) for x in sets], np.int64)
+                good = np.zeros(len(a), bool)
+                x, y = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
+                # Sizes alone rule out many.
+                for i in np.flatnonzero(100 * np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y])).tolist():
+                    p, q = sets[x[i]], sets[y[i]]
+                    both = overlap(p, q)
+                    good[i] = 100 * both >= least * (len(p) + len(q) - both)
+                yield batch.select(["a", "b"]).filter(pa.array(good))
 
     side = lambda c: payloads.select(F.col("node").alias(c), F.col("payload").alias(f"s{c}"))
     wide = pairs.join(side("a"), "a").join(side("b"), "b")
