@@ -22,8 +22,8 @@ BLOCK_BYTES = 4 << 20
 HELD_KEYS, ENTRY_BYTES = 1 << 20, 24
 #: Bytes of keys that one partition of a bucket join gets, about.
 PART_BYTES = 32 << 20
-#: Rows of a table of roots that may be broadcast, at 16 bytes each.
-BROADCAST_ROWS = 1 << 17
+#: Rows of a table of a few numbers that may be broadcast; as a hashed relation they take 50 MB at most or so.
+BROADCAST_ROWS = 1 << 19
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _PAIRS = np.uint64(0x5555555555555555)
 
