@@ -70,10 +70,15 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, SENTENCE_END), lambda s: s != "")
 
 
-def is_notation(line: Column) -> Column:
+def words_of_line(line: Column) -> Column:
+    """The parts of a line between white space of any script."""
+    return F.filter(F.split(line, r"(?U)\s+"), lambda t: t != "")
+
+
+def is_notation(line: Column, words: Column | None = None) -> Column:
     """Three or more words of which more than half have a digit."""
-    words = F.filter(F.split(strip(line), r"(?U)\s+"), lambda t: t != "")
-    return (F.size(words) >= 3) & (2 * F.size(F.filter(words, lambda t: t.rlike(r"(?U)\d"))) > F.size(words))
+    words = words_of_line(strip(line)) if words is None else words
+    return (F.size(words) >= 3) & line.rlike(r"(?U)\d") & (2 * F.size(F.filter(words, lambda t: t.rlike(r"(?U)\d"))) > F.size(words))
 
 
 def expand_contractions(text: Column) -> Column:

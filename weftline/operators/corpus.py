@@ -34,7 +34,8 @@ def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text", title_lin
     rows = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     if title_line:
         rows = rows.where("line_no > 0")
-    return rows.select(key, "line_no", T.strip(F.col("line")).alias("line"))
+    # A generator of one row: the optimizer would copy the stripping into every test of the line.
+    return rows.select(key, "line_no", F.explode(F.array(T.strip(F.col("line")))).alias("line"))
 
 
 def bucket(path: Column, title: Column) -> Column:
@@ -46,18 +47,30 @@ def bucket(path: Column, title: Column) -> Column:
     )
 
 
-def junk_reason(line: Column) -> Column:
-    """Why a line is no text, or null; the first reason that holds."""
+#: Fixed parts of EDITORIAL, one of which every line has that it matches.
+EDITORIAL_PARTS = ("§", "teks asli", "kurang satu", "lebih satu", "kirang sa", "langkung sa", "prayoginipun", "kembali)", "sambungan", "citra", "judul", "tanggal masehi", "lingkup pencarian", "teks pencarian", "filter pencarian")
+
+
+def junk_reason(line: Column, words: Column | None = None) -> Column:
+    """Why a line, stripped, is no text, or null; the first reason that holds. Cheap tests go before the patterns that they bound."""
+    low = F.lower(line)
+    editorial = F.lit(False)
+    for part in EDITORIAL_PARTS:
+        editorial = editorial | low.contains(part)
+    starts_with_digit = F.substring(line, 1, 1).rlike(r"(?U)^\d")
     return (
-        F.when(line == "", "blank").when(line.rlike(PAGE_MARK), "page").when(line.rlike(NUMBERS_ONLY), "numbers").when(line.isin("[", "]"), "bracket")
-        .when(line.rlike(EDITORIAL), "editorial").when(line.rlike(CANTO_HEAD), "canto").when(T.is_notation(line), "notation")
+        F.when(line == "", "blank").when(line.startswith("---") & line.rlike(PAGE_MARK), "page").when(line.rlike(NUMBERS_ONLY), "numbers").when(line.isin("[", "]"), "bracket")
+        .when(editorial & line.rlike(EDITORIAL), "editorial").when(starts_with_digit & line.rlike(CANTO_HEAD), "canto").when(T.is_notation(line, words), "notation")
     )
 
 
 def clean_lines(lines: DataFrame) -> DataFrame:
     """Lines of text only, without broken words and footnote marks. Runs before language scoring."""
-    inline = F.regexp_replace(F.regexp_replace("line", BROKEN_WORD, " "), FOOTNOTE, " ")
-    return lines.where(junk_reason(F.col("line")).isNull()).withColumn("line", inline)
+    line = F.col("line")
+    inline = F.when(line.contains("["), F.regexp_replace(F.regexp_replace("line", BROKEN_WORD, " "), FOOTNOTE, " ")).otherwise(line)
+    # A generator of one row: the optimizer would copy the words into every place that reads them.
+    rows = lines.select("*", F.explode(F.array(T.words_of_line(line))).alias("_words"))
+    return rows.where(junk_reason(line, F.col("_words")).isNull()).drop("_words").withColumn("line", inline)
 
 
 def score_languages(lines: DataFrame, lexicon: dict[str, list[str]], target: str, shared_with: tuple[str, ...] = ()) -> DataFrame:
