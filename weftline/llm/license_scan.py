@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, Workspace
+from .similar import sized_broadcast
 
 #: Short notices by which works state a licence, with SPDX identifiers.
 NOTICES = (
@@ -200,7 +201,8 @@ def scan_blocks(docs: DataFrame, key: str, text: str, templates, match: int, ws:
     grams = _document_bigrams(has_any(tagged, "text", needles(tuple(templates), match)))
     pairs = grams.select("uid", "gram").join(hint(marks), "gram").groupBy("uid", "template_id").agg(F.count_distinct("gram").alias("c"))
     pairs = ws.save(pairs.join(hint(table.select("template_id", "need", "m", "license")), "template_id").where("c >= need").drop("c"))
-    found = ws.save(_document_bigrams(tagged.join(pairs.select("uid").distinct(), "uid", "left_semi").dropDuplicates(["uid"])))
+    wanted = ws.save(pairs.select("uid").distinct())
+    found = ws.save(_document_bigrams(tagged.join(sized_broadcast(wanted), "uid", "left_semi").dropDuplicates(["uid"])))
     found = ws.save(found.withColumn("prev", F.coalesce(F.lag("p").over(Window.partitionBy("uid", "gram").orderBy("p")), F.lit(-1))))
     hits = found.join(hint(marks), "gram").join(pairs, ["uid", "template_id"])
     starts = hits.groupBy("doc_id", "uid", "template_id", "license", "m", "need", "unit", F.col("line").alias("line_no"), "first").agg(F.count("*").alias("h"))

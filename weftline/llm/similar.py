@@ -102,8 +102,8 @@ class Entries:
         self.parts.append((key, node, sketch))
         self.size += len(key)
 
-    def fold(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorts and folds what is held; gives (a, b) for every b that a now stands for."""
+    def fold(self, last: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Sorts and folds what is held; gives (a, b) for every b that a now stands for. The `last` time, keys that came once go."""
         key, node, sketch = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
         order = np.argsort(key)
         key = key[order]
@@ -111,6 +111,8 @@ class Entries:
         again[1:] = key[1:] == key[:-1]
         many = again.copy()
         many[:-1] |= again[1:]
+        if last:
+            order, key, again, many = order[many], key[many], again[many], many[many]
         at = np.flatnonzero(many)
         if len(at):
             order[at] = order[at][np.lexsort((order[at], sketch[order[at]], key[at]))]
@@ -229,7 +231,7 @@ def meeting(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                     held.add(words[:n], words[n:2 * n].view(np.int64), words[2 * n:])
                     if held.size >= 2 * HELD_KEYS + 2 * held.folded:
                         yield from rows(_distinct(*held.fold()), True)
-        yield from rows(_distinct(*held.fold()), True)
+        yield from rows(_distinct(*held.fold(last=True)), True)
         yield from rows(_distinct(*bucket_groups(*held.parts[0], limit)), False)
 
     return run
