@@ -121,3 +121,12 @@ def test_separated_solution_is_near_the_exact_variance():
     p, rounds, change = s.solve()
     assert rounds > 0 and change < 1e-3
     assert abs(s.variance(p)[-1] / 1.894 - 1) < 0.1
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
+    words = spark.createDataFrame(rows, "word long, vec array<double>")
+    whole = sorted(tuple(r) for r in vectors.nearest(words.where("word < 30"), words, 3).collect())
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    assert sorted(tuple(r) for r in vectors.nearest(words.where("word < 30"), words, 3).collect()) == whole and len(whole) == 90

@@ -87,7 +87,7 @@ def root_candidates(freq: DataFrame, known: DataFrame, least: int = 30, shortest
     nasal = (
         F.when(first.isin(*vowels), F.concat(F.lit("ng"), w)).when(first == "t", F.concat(F.lit("n"), rest)).when(first.isin("p", "w"), F.concat(F.lit("m"), rest))
         .when(first == "k", F.concat(F.lit("ng"), rest)).when(first.isin("s", "c"), F.concat(F.lit("ny"), rest)).when(first == "b", F.concat(F.lit("m"), w)).when(first == "d", F.concat(F.lit("n"), w))
-        .when(first == "g", F.concat(F.lit("ng"), w)).when(first == "j", F.concat(F.lit("n"), w))
+        .when(first == "g", F.concat(F.lit("ngg"), w)).when(first == "j", F.concat(F.lit("nj"), w))
     )
     ends = F.when(last.isin(*vowels), F.array(*map(F.lit, ("ne", "nipun", "kake")))).otherwise(F.array(*map(F.lit, ("e", "ipun", "ake"))))
     forms = F.array_distinct(F.array_compact(F.concat(

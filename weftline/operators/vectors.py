@@ -97,15 +97,26 @@ def as_dictionary(spark, terms: list[str], vectors: np.ndarray) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"word": terms, "vec": [v.tolist() for v in vectors]}), "word string, vec array<double>")
 
 
+#: Queries that are broadcast at once.
+QUERY_BLOCK = 10_000
+
+
 def nearest(queries: DataFrame, words: DataFrame, k: int = 8, key: str = "word", vec: str = "vec") -> DataFrame:
     """(query, rank, key, cosine) of the k words nearest to each query, without itself.
 
-    Queries, a stated and small set, are broadcast in full; each task keeps k rows a query before the shuffle.
+    Queries are a stated set. They are compared in blocks of about QUERY_BLOCK, each of which is broadcast by itself, so the broadcast has a bound
+    however many there are; each task keeps k rows a query before the shuffle.
     """
-    q = F.broadcast(queries.select(F.col(key).alias("query"), F.col(vec).alias("_q")))
-    pairs = words.select(key, F.col(vec).alias("_v")).join(q, F.col(key) != F.col("query")).select("query", key, F.round(V.cosine(F.col("_q"), F.col("_v")), 6).alias("cosine"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    q = queries.select(F.col(key).alias("query"), F.col(vec).alias("_q"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_block"))
+    words = words.select(key, F.col(vec).alias("_v"))
     order = Window.partitionBy("query").orderBy(F.desc("cosine"), key)
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    out = None
+    for i in range(blocks):
+        pairs = words.join(F.broadcast(q.where(F.col("_block") == i).drop("_block")), F.col(key) != F.col("query")).select("query", key, F.round(V.cosine(F.col("_q"), F.col("_v")), 6).alias("cosine"))
+        best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        out = best if out is None else out.union(best)
+    return out
 
 
 def pair_cosine(pairs: DataFrame, words: DataFrame, key: str = "word", vec: str = "vec") -> DataFrame:

@@ -282,7 +282,12 @@ def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.extract_pages(_t(spark, sf_dir, "pages")).select("page_id", "title", "body")
 
 
-@query()
+@query("""with recursive links as (select distinct url, unnest(regexp_extract_all(html, '(?i)href="([^"]*)"', 1)) as target from pages),
+r(url, depth, path) as (
+  select min(url), 0, [min(url)] from pages
+  union all select target, depth + 1, list_append(path, target) from r join links using (url) where not list_contains(path, target)
+)
+select url, min(depth)::int as depth from r group by url""")
 def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _t(spark, sf_dir, "pages")
     links = pages.select("url", F.explode(T.html_links(F.col("html"))).alias("target"))
