@@ -91,7 +91,10 @@ def crawl(start: DataFrame, links: DataFrame, most_rounds: int | None = None) ->
     fails when pages are still new after so many. Each round is a table in spark.checkpoint.dir, as are the links, so plans stay short.
     """
     spark = start.sparkSession
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='weftline-')}/crawl-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    root = f"{shared or tempfile.mkdtemp(prefix='weftline-')}/crawl-{uuid.uuid4().hex}"
 
     def save(df: DataFrame, path: str) -> DataFrame:
         df.write.parquet(path)
