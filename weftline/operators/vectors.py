@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.tables import SharedTables
 
 #: Fixed value: terms are two characters or more, lower-case letters first.
 TERM = "[a-z][a-z0-9-]+"
@@ -49,31 +50,33 @@ def truncated_svd(weights: DataFrame, k: int, key: str = "doc_id", rounds: int =
     """Terms in order, the k largest singular values, and the word vectors (terms x k): right singular vectors times values.
 
     Subspace iteration: the driver holds terms x (k + 8) numbers, bounded by MOST_TERMS; each round sums the rows' products
-    over the executors, column by column, so nothing grows with the number of documents. Signs are arbitrary.
+    over the executors, column by column, so nothing grows with the number of documents. Signs are arbitrary. The rounds read
+    documents as arrays of term numbers and weights, written once to spark.checkpoint.dir and deleted at the end.
     """
     spark = weights.sparkSession
+    tables = SharedTables(spark, "svd")
+    weights = tables.save(weights.select(key, "term", "weight"), "weights")
     terms = [r[0] for r in weights.select("term").distinct().orderBy("term").limit(MOST_TERMS + 1).collect()]
     docs = weights.select(key).distinct().count()
     if len(terms) > MOST_TERMS:
         raise ValueError("too many terms; raise min_df")
     if not 0 < k < min(len(terms), docs):
         raise ValueError("k must be positive and below both dimensions")
-    index = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    index = spark.createDataFrame(pd.DataFrame({"term": terms, "i": np.arange(len(terms), dtype=np.int32)}), "term string, i int")
     width = min(k + 8, len(terms))
     columns = [f"q{j}" for j in range(width)]
-    rows = weights.groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("w"))
+    pairs = weights.join(F.broadcast(index), "term").groupBy(key).agg(F.collect_list(F.struct("i", "weight")).alias("w"))
+    rows = tables.save(pairs.select(F.col("w.i").alias("i"), F.col("w.weight").alias("w")), "rows")
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(terms), width)))[0]
 
     def gram(q: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast(q)
 
         def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            at, basis = index.value, shared.value
+            basis = shared.value
             out = np.zeros_like(basis)
             for pdf in batches:
-                for w in pdf["w"]:
-                    i = np.array([at[x["term"]] for x in w])
-                    v = np.array([x["weight"] for x in w])
+                for i, v in zip(pdf["i"], pdf["w"], strict=True):
                     out[i] += np.outer(v, v @ basis[i])
             used = np.flatnonzero(out.any(1))
             yield pd.DataFrame(out[used], columns=columns).assign(i=used)
@@ -87,6 +90,7 @@ def truncated_svd(weights: DataFrame, k: int, key: str = "doc_id", rounds: int =
     for _ in range(rounds):
         q = np.linalg.qr(gram(q))[0]
     values, turn = np.linalg.eigh(q.T @ gram(q))
+    tables.delete()
     order = np.argsort(-values)[:k]
     sigma = np.sqrt(np.maximum(values[order], 0))
     return terms, sigma, (q @ turn[:, order]) * sigma
@@ -177,14 +181,18 @@ def cbow(sentences: DataFrame, dim: int = 100, window: int = 5, min_count: int =
 
     Every partition trains on its sentences from the same parameters; words' parameters are averaged after each epoch, weighted
     by how often a partition saw them. `start` (word, vec) continues an earlier training. The vocabulary, cut by
-    `min_count` alone, is what the driver holds: beyond MOST_TERMS words it fails. `sentences` has tokens.
+    `min_count` alone, is what the driver holds: beyond MOST_TERMS words it fails. `sentences` has tokens; they are
+    written once to spark.checkpoint.dir for all epochs, and deleted at the end.
     """
     spark = sentences.sparkSession
+    tables = SharedTables(spark, "cbow")
+    sentences = tables.save(sentences.select("tokens"), "sentences")
     counts = sentences.select(F.explode("tokens").alias("word")).groupBy("word").count().where(F.col("count") >= min_count).orderBy(F.desc("count"), "word").limit(MOST_TERMS + 1).collect()
     if len(counts) > MOST_TERMS:
         raise ValueError("too many words; raise min_count")
     words = [r[0] for r in counts]
     if not words:
+        tables.delete()
         return spark.createDataFrame([], "word string, vec array<float>")
     rng = np.random.default_rng(seed)
     inner, outer = ((rng.random((len(words), dim)) - 0.5) / dim).astype(np.float32), np.zeros((len(words), dim), np.float32)
@@ -222,10 +230,11 @@ def cbow(sentences: DataFrame, dim: int = 100, window: int = 5, min_count: int =
             used = np.flatnonzero(seen)
             yield pd.DataFrame({"i": used, "n": seen[used], "u": list((u[used] * seen[used, None]).astype(float)), "v": list((v[used] * seen[used, None]).astype(float))})
 
-        parts = sentences.select("tokens").mapInPandas(train, "i long, n double, u array<double>, v array<double>")
+        parts = sentences.mapInPandas(train, "i long, n double, u array<double>, v array<double>")
         sums = [F.sum(F.try_element_at(c, F.lit(j + 1))).alias(f"{c}{j}") for c in ("u", "v") for j in range(dim)]
         total = parts.groupBy("i").agg(F.sum("n").alias("n"), *sums).toPandas()
         at, n = total["i"].to_numpy(), total["n"].to_numpy()[:, None]
         inner[at] = total[[f"u{j}" for j in range(dim)]].to_numpy() / n
         outer[at] = total[[f"v{j}" for j in range(dim)]].to_numpy() / n
+    tables.delete()
     return spark.createDataFrame(pd.DataFrame({"word": words, "vec": [x.tolist() for x in inner]}), "word string, vec array<float>")

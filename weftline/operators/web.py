@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import SharedTables
 
 #: Layouts of the extractors, in the order in which they are tried: where the content starts and ends.
 LIBRARY_LAYOUTS = (
@@ -91,22 +90,14 @@ def crawl(start: DataFrame, links: DataFrame, most_rounds: int | None = None) ->
     fails when pages are still new after so many. Each round is a table in spark.checkpoint.dir, as are the links, so plans stay short.
     """
     spark = start.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    root = f"{shared or tempfile.mkdtemp(prefix='weftline-')}/crawl-{uuid.uuid4().hex}"
-
-    def save(df: DataFrame, path: str) -> DataFrame:
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    links = save(links.select("url", "target").distinct(), f"{root}/links")
-    front = save(start.select("url").distinct().withColumn("depth", F.lit(0)), f"{root}/seen/round=0")
+    tables = SharedTables(spark, "crawl")
+    links = tables.save(links.select("url", "target").distinct(), "links")
+    front = tables.save(start.select("url").distinct().withColumn("depth", F.lit(0)), "seen/round=0")
     # The rounds are folders of one table: the plan doesn't grow with their number.
-    seen = lambda: spark.read.schema(front.schema).parquet(f"{root}/seen/round=*")
+    seen = lambda: spark.read.schema(front.schema).parquet(f"{tables.root}/seen/round=*")
     for depth in itertools.count(1):
         new = front.join(links, "url").select(F.col("target").alias("url")).distinct().join(seen().select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))
-        front = save(new, f"{root}/seen/round={depth}")
+        front = tables.save(new, f"seen/round={depth}")
         if front.isEmpty():
             return seen()
         if most_rounds is not None and depth >= most_rounds:

@@ -431,7 +431,11 @@ def vector_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Lemmas.
 
 def _lemmatiser(spark: SparkSession, sf_dir: str) -> lemma.Lemmatiser:
-    freq = {r[0]: r[1] for r in lexicon.word_frequency(_words(spark, sf_dir), least=3).collect()}
+    """A lexicon whose roots are the frequent words. The driver holds the vocabulary, so it fails where that is too large."""
+    counted = lexicon.word_frequency(_words(spark, sf_dir), least=3).limit(lemma.MOST_WORDS + 1).collect()
+    if len(counted) > lemma.MOST_WORDS:
+        raise ValueError("too many words; raise the least count")
+    freq = {r[0]: r[1] for r in counted}
     return lemma.build_lexicon([w for w, n in freq.items() if n >= 500 and w.isalpha()], freq)
 
 
@@ -482,10 +486,10 @@ def mc_delay_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with r as (
-  select n, sum((-0.0002) ** k * list_product([1::double] || [(n - 3000 * k - j)::double / (j + 1) for j in range(k)])) as x
+  select n, sum((-0.0002::double) ** k * list_product([1::double] || [(n - 3000 * k - j)::double / (j + 1) for j in range(k)])) as x
   from range(30001) a(n), range(11) b(k) where n - 3000 * k >= k group by n
 )
-select 1::bigint as run_id, round(n * 0.0002, 6) as t, round(v, 9) as variance from (select n, sum(x * x) over (order by n) * 2 * 0.0002 as v from r) where n % 50 = 0""")
+select 1::bigint as run_id, round(n * 0.0002::double, 6) as t, round(v, 9) as variance from (select n, sum(x * x) over (order by n) * 2 * 0.0002::double as v from r) where n % 50 = 0""")
 def exact_delay_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The response in SQL is the closed form of its recurrence: a sum over the delays that fit, with binomials as products."""
     return numeric.exact_delay_variance(spark.sql(_DELAY)).withColumns({"t": F.round("t", 6), "variance": F.round("variance", 9)})
