@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, knn, language_id, license_scan, line_dedup, near_dup, packing, sharding, toxicity, url_filter
+from . import chat, decontaminate, filter_audit, knn, language_id, license_scan, line_dedup, merkle, near_dup, packing, sharding, toxicity, url_filter
 
 #: The rules of op6_url_filter.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -81,7 +81,29 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest("item_ids").alias("items_sha256"), "contaminated")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_minhash_dedup, op3_packing, op4_topk_search, op5_line_dedup, op6_url_filter, op7_sharding, op8_language_id, op9_decontamination, op10_toxicity)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five text filters remove in every order, for each language."""
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, roots and proof, and the root that a tampered row leads to."""
+    proofs = merkle.manifest(_read(spark, sf_dir, "documents"), merkle.one_more_character)
+    return proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+#: The conversation that op13_chat_format adds.
+CONTROL_TURNS = ((-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as training windows, and what a reader gets back from those."""
+    rows = ", ".join(f"({c}L, {t}L, '{r}', '{x}')" for c, t, r, x in CONTROL_TURNS)
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(spark.sql(f"select * from values {rows} as t(conv_id, turn, role, text)"))
+    return chat.read_back(chat.format_windows(turns, tokenizer_path()))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_minhash_dedup, op3_packing, op4_topk_search, op5_line_dedup, op6_url_filter, op7_sharding, op8_language_id, op9_decontamination, op10_toxicity, op11_filter_audit, op12_merkle_manifest, op13_chat_format)}
 
 
 def _sql_text(x: str) -> str:
@@ -163,4 +185,68 @@ select query_id, row_number() over (partition by query_id order by score desc, v
 qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_minhash_dedup": _OP2_SQL, "op4_topk_search": _OP4_SQL, "op9_decontamination": _OP9_SQL, "op1_license_scan": _OP1_SQL, "op6_url_filter": _OP6_SQL}
+_OP11_SQL = """
+with t as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
+), l as (
+  select doc_id, max((quality is not distinct from 1)::int) as good, max((toxic is not distinct from 1)::int) as toxic from labels where doc_id is not null group by doc_id
+), c as (select text, min(doc_id) as first from t group by text),
+f as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+    {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+     'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > first, false)} as x
+  from t join c using (text) left join l using (doc_id)
+), cells as (select part, good, toxic, x, count(*) as n from f group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as l),
+orders as (
+  select a.l || b.l || c.l || d.l || e.l as filter_order from letters a join letters b on b.l <> a.l join letters c on c.l not in (a.l, b.l) join letters d on d.l not in (a.l, b.l, c.l) join letters e on e.l not in (a.l, b.l, c.l, d.l)
+), steps as (select filter_order, step, filter_order[step] as letter, filter_order[1:step - 1] as before from orders, range(1, 6) r(step)),
+fails as (select part, good, toxic, n, array_to_string(list_filter(['A', 'B', 'C', 'D', 'E'], lambda k: case k when 'A' then x.A when 'B' then x.B when 'C' then x.C when 'D' then x.D else x.E end), '') as failed from cells),
+m as (
+  select part, filter_order, step, letter, n, good, toxic, failed, contains(failed, letter) as own, regexp_matches(failed, '[' || before || '_]') as gone, regexp_matches(failed, '[' || before || letter || ']') as hit from fails, steps
+), r as (
+  select part, filter_order, step, letter, coalesce(sum(n) filter (not hit), 0)::bigint as kept, coalesce(sum(n) filter (own and not gone), 0)::bigint as removed, coalesce(sum(n) filter (own and gone), 0)::bigint as redundant,
+    coalesce(sum(n) filter (failed = letter), 0)::bigint as unique_fails, coalesce(sum(n) filter (own and not gone and good = 1), 0)::bigint as good_lost, coalesce(sum(n) filter (own and not gone and toxic = 1), 0)::bigint as toxic_lost
+  from m group by part, filter_order, step, letter
+)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, letter))::bigint as shapley from r
+"""
+
+_FIELD = "case when {0} is null then '-' else strlen({1}) || ':' || {1} end"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c, f"({v})::varchar") for c, v in (("doc_id", "doc_id"), ("source", "source"), ("lang", "lang"), ("n_chars", "n_chars + {0}"), ("text", "text"))) + ")"
+_TREE = """{0}(tree, level, idx, n, node) as (
+  select tree, 0, pos, n, node from {1}
+  union all
+  select tree, any_value(level) + 1, idx // 2, any_value((n + 1) // 2), sha256(string_agg(node, '' order by idx)) from {0} where n > 1 group by tree, idx // 2
+)"""
+_FOLD = """{0}(uid, tree, level, idx, node) as (
+  select uid, tree, 0, pos, node from {1}
+  union all
+  select f.uid, f.tree, f.level + 1, f.idx // 2, sha256(case when f.idx % 2 = 1 then s.node || f.node else f.node || coalesce(s.node, '') end)
+  from {0} f join (select distinct tree, level, n from {2}) l on l.tree = f.tree and l.level = f.level and l.n > 1
+    left join {2} s on s.tree = f.tree and s.level = f.level and s.idx = xor(f.idx, 1)
+)"""
+#: crc32 of the decimal id, which DuckDB lacks: bit by bit over the digits' bytes.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::ubigint)),
+  lambda crc, b: list_reduce(list_prepend(xor(crc, b), list_transform(range(8), lambda k: 0::ubigint)), lambda x, k: case when x % 2 = 1 then xor(x // 2, 3988292384::ubigint) else x // 2 end)), 4294967295::ubigint)"""
+_OP12_SQL = f"""
+with recursive d as (
+  select row_number() over () as uid, doc_id, coalesce('s' || lang, '') as tree, {_LEAF.format(0)} as node, case when {_CRC32} % 7 = 0 and n_chars is not null then {_LEAF.format(1)} end as altered from documents
+), a as (select *, row_number() over (partition by tree order by doc_id nulls first, node) - 1 as pos, count(*) over (partition by tree) as n from d),
+{_TREE.format("t", "a")},
+sub as (select tree as own, node, 'all' as tree, row_number() over (order by tree) - 1 as pos, count(*) over () as n from t where n = 1),
+{_TREE.format("u", "sub")},
+root as (select node as root from u where n = 1),
+low as (select a.uid, t.level, t.node from a join t on t.tree = a.tree and t.idx = xor(a.pos >> t.level, 1)),
+up as (select s.own, u.level, u.node from sub s join u on u.idx = xor(s.pos >> u.level, 1)),
+proof as (select uid, string_agg(node, '' order by tier, level) as p from (select uid, 0 as tier, level, node from low union all select uid, 1, level, up.node from up join a on a.tree = up.own) group by uid),
+begun as (select uid, tree, pos, coalesce(altered, node) as node from a),
+{_FOLD.format("f", "begun", "t")},
+half as (select uid, 'all' as tree, s.pos, arg_max(f.node, f.level) as node from f join sub s on s.own = f.tree group by uid, s.pos),
+{_FOLD.format("g", "half", "u")},
+folded as (select uid, arg_max(node, level) as folded_root from g group by uid)
+select doc_id, a.node as leaf, s.node as subroot, root, sha256(coalesce(p, '')) as proof_sha256, folded_root, folded_root = root as verified
+from a join sub s on s.own = a.tree join folded using (uid) left join proof using (uid) cross join root
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_merkle_manifest": _OP12_SQL, "op11_filter_audit": _OP11_SQL, "op2_minhash_dedup": _OP2_SQL, "op4_topk_search": _OP4_SQL, "op9_decontamination": _OP9_SQL, "op1_license_scan": _OP1_SQL, "op6_url_filter": _OP6_SQL}
