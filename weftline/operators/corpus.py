@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,6 +148,16 @@ def head_zone(lines: DataFrame, furniture: Column, key: str = "doc_id", zone: in
     return lines.withColumn("_seen", seen).where((F.col("_seen") == 1) | (F.col("line_no") >= zone) | ~furniture).drop("_seen")
 
 
+def sweep_head(text: Column, furniture: Callable[[Column], Column], zone: int = 40) -> Column:
+    """A text behind its title line without the furniture lines before the first other line that is not blank, in the first `zone` lines only. Runs on a document where it stands."""
+    lines = F.split(text, "\n")
+    body = F.slice(lines, 2, F.size(lines))
+    content = F.filter(F.transform(body, lambda x, i: F.when(~furniture(x) & (T.strip(x) != ""), i)), lambda i: i.isNotNull())
+    until = F.least(F.coalesce(F.try_element_at(content, F.lit(1)), F.size(body)), F.lit(zone))
+    kept = F.concat(F.filter(F.slice(body, 1, until), lambda x: ~furniture(x)), F.slice(body, until + 1, F.size(body)))
+    return F.array_join(F.concat(F.slice(lines, 1, 1), kept), "\n")
+
+
 def trim_prefix(lines: DataFrame, furniture: Column, key: str = "doc_id") -> DataFrame:
     """Drops the unbroken run of furniture lines at the start."""
     still = F.min(F.when(furniture, 1).otherwise(0)).over(Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))

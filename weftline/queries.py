@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import vectors as V
-from .operators import corpus, lemma, lexicon, numeric, vectors, web
+from .operators import corpus, extract, lemma, lexicon, numeric, vectors, web
 from .plans import corpus as plans
-from .sources import writers
+from .sources import folders, writers
+from .sources.tables import SharedTables
+from .sources.versions import VersionedTable
 from .streaming import words as streams
+from .streaming import worker
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -311,6 +314,90 @@ def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.crawl(pages.select(F.min("url").alias("url")), links)
 
 
+#: Rules of every kind for the pages at hand: French ones are cut by lines of one word, short ones and a marker; the others begin and end at lines with certain letters.
+PAGE_LAYOUTS = (
+    extract.Layout("french", '<html lang="fr"[^>]*>', None, ("<footer", "</article>"), (
+        extract.Rule("after last", "^[^ ]+$", 40), extract.Rule("drop while", "^[^\\n]{1,70}$", title=True), extract.Rule("after first", " et ", 3), extract.Rule("drop while", "^[A-E]"))),
+    extract.Layout("english", '<html lang="en"[^>]*>', "</article>", (), (extract.Rule("after first", " the ", 9, needed=True), extract.Rule("from first", "^(Th|An)"), extract.Rule("until", "^In"))),
+    extract.Layout("german", '<html lang="de"[^>]*>', None, ("<footer",), (extract.Rule("after first", "", 1), extract.Rule("after first", " und ", 8, then=extract.Rule("after first", " die ", 4, short=True), unless="ch"))),
+)
+_FIRST = lambda lines, test: f"list_position([{test} for x in {lines}], true)"
+
+
+@query(rf"""with b as (
+  select page_id, regexp_extract(html, '<html lang="(fr|en|de)"', 1) as lang, {_DECODED.format(_STRIP.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} as title, regexp_extract(html, '(?s)<html lang="(?:fr|en|de)"[^>]*>(.*)', 1) as rest from pages
+), c as (
+  select page_id, lang, title, case lang when 'fr' then split_part(split_part(rest, '<footer', 1), '</article>', 1) when 'en' then split_part(rest, '</article>', 1) else split_part(rest, '<footer', 1) end as block from b
+), l as (
+  select page_id, lang, title, list_filter([{_STRIP.format("regexp_replace(l, '[ ' || chr(9) || ']+', ' ', 'g')")} for l in string_split({_DECODED.format(_BARE)}, chr(10))], lambda l: l <> '') as l from c
+), f1 as (
+  select *, len(l[:40]) - coalesce(nullif({_FIRST("list_reverse(l[:40])", "regexp_matches(x, '^[^ ]+$')")}, 0), len(l[:40]) + 1) + 1 as cut from l where lang = 'fr'
+), f2 as (select page_id, lang, title, l[cut + 1:] as l from f1),
+f3 as (select page_id, lang, title, l[coalesce(nullif({_FIRST("l", "not (length(x) <= 70 or x = title)")}, 0), len(l) + 1):] as l from f2),
+f4 as (select page_id, lang, title, l[coalesce(nullif({_FIRST("l[:3]", "contains(x, ' et ')")}, 0), 0) + 1:] as l from f3),
+f5 as (select page_id, lang, title, l[coalesce(nullif({_FIRST("l", "not regexp_matches(x, '^[A-E]')")}, 0), len(l) + 1):] as l from f4),
+e1 as (select page_id, lang, title, case when coalesce({_FIRST("l[:9]", "regexp_matches(x, ' the ')")}, 0) = 0 then [] else l[{_FIRST("l[:9]", "regexp_matches(x, ' the ')")} + 1:] end as l from l where lang = 'en'),
+e2 as (select page_id, lang, title, l[coalesce(nullif({_FIRST("l", "regexp_matches(x, '^(Th|An)')")}, 0), 1):] as l from e1),
+e3 as (select page_id, lang, title, l[:coalesce(nullif({_FIRST("l", "regexp_matches(x, '^In')")}, 0), len(l) + 1) - 1] as l from e2),
+g1 as (select page_id, lang, title, l[2:] as l from l where lang = 'de'),
+g2 as (select *, coalesce({_FIRST("l[:8]", "contains(x, ' und ')")}, 0) as cut from g1),
+g3 as (select page_id, lang, title, l[cut + 1:] as l, cut > 0 and not contains(l[cut], 'ch') as again from g2),
+g4 as (select *, coalesce({_FIRST("l[:4]", "contains(x, ' die ')")}, 0) as cut from g3),
+g5 as (select page_id, lang, title, case when not again then l when cut > 0 then l[cut + 1:] when len(l) < 4 then [] else l end as l from g4)
+select page_id, case lang when 'fr' then 'french' when 'en' then 'english' else 'german' end as layout, title, len(l)::int as lines, md5(array_to_string(l, chr(10))) as digest
+from (select * from f5 union all select * from e3 union all select * from g5)
+union all select page_id, null, title, null, null from b where lang = ''""")
+def extract_layered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of rule over whole pages; pages in other languages have no layout."""
+    rows = extract.extract(_t(spark, sf_dir, "pages"), PAGE_LAYOUTS)
+    lines = F.when(F.col("body") == "", 0).otherwise(F.size(F.split("body", "\n")))
+    return rows.select("page_id", "layout", "title", F.when(F.col("body").isNotNull(), lines).alias("lines"), F.md5("body").alias("digest"))
+
+
+@query(rf"""with p as (select url, max(page_id) as ts, arg_max(html, page_id) as html from pages group by url),
+b as (select url, ts, html, coalesce(length(html) > 2000, false) as long, length(url) % 6 as busy, {_BLOCK} as block from p),
+x as (select url, ts, case when long and busy < 4 then busy + 1 else 4 end as attempts, case when busy < 4 then 200 else 503 end as code,
+  case when long and busy < 4 then array_to_string(list_filter([{_STRIP.format("l")} for l in string_split({_DECODED.format(_BARE)}, chr(10))], lambda l: l <> ''), chr(10)) end as text from b)
+select url, ts, attempts::int as attempts, code::int as code, coalesce(length(text) > 200, false) as saved, case when length(text) > 200 then md5(text) end as digest from x""")
+def crawl_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest page of every URL, fetched by the worker from an archive that is busy for the first attempts, as many as the URL's length says."""
+    tables = SharedTables(spark, "worker")
+    work = tables.save(web.newest_per_key(_t(spark, sf_dir, "pages").select("url", F.col("page_id").alias("ts"), "html"), ["url"], "ts", "ts"), "work")
+    stream = spark.readStream.schema(work.schema).parquet(f"{tables.root}/work")
+    archive = lambda item, attempt: (503, None) if attempt <= len(item["url"]) % 6 else (200, item["html"])
+    out = f"{tables.root}/attempts"
+    run = worker.start(stream, "url", archive, out, f"{tables.root}/checkpoint", worker.Policy(busy_wait=1, other_wait=1), carry=("url", "ts"))
+    worker.finish(spark, run, out, "url")
+    saved, failed = worker.results(spark, out, web.extract_pages)
+    shape = lambda df, good: df.select("url", "ts", F.col("attempt").alias("attempts"), "code", F.lit(good).alias("saved"), F.md5("text" if good else F.lit(None).cast("string")).alias("digest"))
+    return shape(saved, True).union(shape(failed, False))
+
+
+_PLAIN_PAGE = rf"""select page_id, {_STRIP.format(f"regexp_replace(regexp_replace(regexp_replace({_UNESCAPED}, '[ ' || chr(9) || ']+', ' ', 'g'), ' ?' || chr(10) || ' ?', chr(10), 'g'), chr(10) || '{{3,}}', chr(10) || chr(10), 'g')")} as text
+from (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', '', 'g'), '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</p>', chr(10) || chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g') as x from pages)"""
+
+
+@query(f"with t as ({_PLAIN_PAGE}) select 'pages__' || page_id || '.txt' as name, strlen(text) as bytes, md5(text) as md5 from t")
+def folder_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every page as a file of its own, and what the folder's manifest says."""
+    pages = _t(spark, sf_dir, "pages")
+    path = f"{SharedTables(spark, 'folder').root}/texts"
+    folders.write_folder(pages.select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".txt")).alias("name"), T.html_to_text(F.col("html"), decode=False).alias("text")), path)
+    return folders.manifest(spark, path).select("name", "bytes", "md5")
+
+
+@query(r"""with l as (select doc_id, string_split(text, chr(10)) as l from documents),
+b as (select doc_id, l[1] as title, l[2:] as b from l),
+u as (select *, least(coalesce(nullif(list_position([not regexp_matches(x, '^[A-M]') and regexp_replace(x, '^\s+|\s+$', '', 'g') <> '' for x in b], true), 0) - 1, len(b)), 40) as n from b)
+select doc_id, md5(array_to_string(list_concat([title], list_filter(b[:n], lambda x: not regexp_matches(x, '^[A-M]')), b[n + 1:]), chr(10))) as digest from u""")
+def furniture_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents swept in place: a new version of a table, without the lines at their heads that begin with certain letters."""
+    table = VersionedTable(spark, SharedTables(spark, "sweep").root)
+    table.create(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+    table.update({"text": corpus.sweep_head(F.col("text"), lambda x: x.rlike("^[A-M]"))})
+    return table.read().select("doc_id", F.md5("text").alias("digest"))
+
+
 # Term weights and word vectors.
 
 _TF = f"tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '{vectors.TERM}')) as term from documents) group by 1, 2)"
