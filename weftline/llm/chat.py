@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, small_batches
+from .common import Workspace, columns_of, slices, small_batches
 from .merkle import numbered
+from .packing import Encoder
 from .similar import sized_broadcast
 
 #: Control strings of usual chat templates; none of them is left whole in a turn's text.
@@ -93,16 +93,6 @@ def spans(sizes: np.ndarray, system: int, budget: Budget) -> list[tuple[int, int
     return out
 
 
-def counter(tokenizer_json: str):
-    """Numbers of tokens of texts; control strings count as ordinary text."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_str(tokenizer_json)
-    tokenizer.encode_special_tokens = True
-    return lambda texts: np.array([len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], np.int64)
-
-
 def chunks(turns: DataFrame, ws: Workspace, chunk_bytes: int) -> DataFrame:
     """(conv_id, bounds) of conversations beyond `chunk_bytes`: the (turn, tie) at which each chunk begins, in order.
 
@@ -157,30 +147,49 @@ def format_windows(turns: DataFrame, tokenizer_path: str, budget: Budget = Budge
     heads = placed.where((F.size("bounds") > 1) & (F.col("role") == "system") & (key == F.col("bounds")[0])).dropDuplicates(["conv_id"])
     dealt = dealt.union(heads.select("conv_id", F.explode(F.sequence(F.lit(1).cast("long"), (F.size("bounds") - 1).cast("long"))).alias("chunk"), "turn", "tie", "role", "text", F.lit(False)))
 
-    def run(table: pa.Table) -> pa.Table:
-        held = tokenizer.value  # stays with the Python worker
-        if "count" not in held:
-            held["count"] = counter(held["json"])
-        table = table.take(pa.compute.sort_indices(table, [("own", "ascending"), ("turn", "ascending"), ("tie", "ascending"), ("role", "ascending"), ("text", "ascending")], null_placement="at_start"))
-        chunk, roles, texts = table["chunk"][0].as_py(), table["role"].to_pylist(), table["text"].to_pylist()
-        system = roles[0] == "system" and (chunk == 0 or not table["own"][0].as_py())
-        said = [turn_text(r, t) for r, t in zip(roles, texts, strict=True)]
-        n_head = int(system)
+    schema = pa.schema([("conv_id", table_type(kind)), ("chunk", pa.int64()), ("window", pa.int32()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("first_new", pa.int32()), ("tokens", pa.int64())])
+
+    def windows(conv_id, chunk: int, own: bool, roles: list[str], said: list[tuple[str, int, int]], sizes: np.ndarray) -> Iterator[dict]:
+        """The windows of a chunk, whose turns are in order; `own` tells whether its first one is its own or the head of the conversation."""
+        n_head = int(roles[0] == "system" and (chunk == 0 or not own))
         head, body, roles = said[:n_head], said[n_head:], roles[n_head:]
-        sizes = held["count"]([t for t, _, _ in said])
         n_system, sizes = int(sizes[:n_head].sum()), sizes[n_head:]
-        out = []
         for w, (first, new, end) in enumerate(spans(sizes, n_system, budget) or [(0, 0, 0)]):
             parts = [*head, *body[first:end]]
             at = np.concatenate([[0], np.cumsum([len(t) for t, _, _ in parts])]).tolist()
             # A conversation of a system turn alone has one window, in which that turn is new.
             repeats = (n_head if w or chunk else 0) + new - first
             loss = [{"start": at[n_head + i - first] + body[i][1], "end": at[n_head + i - first] + body[i][2]} for i in range(new, end) if roles[i] == "assistant"]
-            out.append({"conv_id": table["conv_id"][0].as_py(), "chunk": chunk, "window": w, "text": "".join(t for t, _, _ in parts), "loss": loss, "first_new": repeats, "tokens": n_system + int(sizes[first:end].sum())})
-        return pa.Table.from_pylist(out, schema)
+            yield {"conv_id": conv_id, "chunk": chunk, "window": w, "text": "".join(t for t, _, _ in parts), "loss": loss, "first_new": repeats, "tokens": n_system + int(sizes[first:end].sum())}
 
-    schema = pa.schema([("conv_id", table_type(kind)), ("chunk", pa.int64()), ("window", pa.int32()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("first_new", pa.int32()), ("tokens", pa.int64())])
-    return dealt.groupBy("conv_id", "chunk").applyInArrow(run, f"conv_id {kind}, {WINDOW}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = tokenizer.value  # stays with the Python worker, and so does what it has learned
+        if "encoder" not in held:
+            held["encoder"] = Encoder(held["json"])
+        key, turns = None, ([], [], [], [])  # the chunk at hand, and whether its turns are its own, their roles, texts and sizes
+        for batch in batches:
+            ids, chunk, own, role, text = columns_of(batch, ["conv_id", "chunk", "own", "role", "text"])
+            said = [turn_text(r, t) for r, t in zip(role.to_pylist(), text.to_pylist(), strict=True)]
+            formatted, sizes = pa.array([t for t, _, _ in said], pa.string()), []
+            for lo, hi in slices(formatted):
+                sizes += [len(x) for x in held["encoder"].encode(formatted.slice(lo, hi - lo))]
+            out = []
+            for now, *turn in zip(zip(ids.to_pylist(), chunk.to_pylist(), strict=True), own.to_pylist(), role.to_pylist(), said, sizes, strict=True):
+                if now != key:
+                    if turns[0]:
+                        out += windows(*key, turns[0][0], *turns[1:3], np.array(turns[3], np.int64))
+                    key, turns = now, ([], [], [], [])
+                for column, x in zip(turns, turn, strict=True):
+                    column.append(x)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+        if turns[0]:
+            yield pa.RecordBatch.from_pylist(list(windows(*key, turns[0][0], *turns[1:3], np.array(turns[3], np.int64))), schema)
+
+    # A task gets whole chunks in order, so it holds one of them and one batch of rows.
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "chunk", "own", "turn", "tie", "role", "text")]
+    ordered = dealt.repartition("conv_id", "chunk").sortWithinPartitions(*order)
+    return ordered.select("conv_id", "chunk", "own", "role", "text").mapInArrow(run, f"conv_id {kind}, {WINDOW}")
 
 
 def table_type(kind: str) -> pa.DataType:
