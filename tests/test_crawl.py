@@ -8,14 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import corpus, extract, web
-from weftline.sources import folders
+from weftline.sources import archive, folders
 from weftline.sources.versions import Conflict, VersionedTable
 from weftline.streaming import worker
 
 BODY = "<html><title>t</title><body>" + "words of a page " * 200 + "</body></html>"
 
 
-def archive():
+def site():
     """Answers by the item's name: busy or missing for some attempts, short, without text, or failing."""
     body, bare = BODY, "<html><body>" + "<br>" * 900 + "</body></html>"
 
@@ -32,7 +32,7 @@ def archive():
 
 def start(spark, path, items, out, checkpoint, policy=worker.Policy(busy_wait=1, other_wait=1)):
     stream = spark.readStream.schema("url string, ts long").option("maxFilesPerTrigger", 2).parquet(items)
-    return worker.start(stream, "url", archive(), f"{path}/{out}", f"{path}/{checkpoint}", policy)
+    return worker.start(stream, "url", site(), f"{path}/{out}", f"{path}/{checkpoint}", policy)
 
 
 def results(spark, path, out):
@@ -66,6 +66,14 @@ def test_worker_restarts_where_it_was(spark, tmp_path):
     assert sorted(map(tuple, worker.attempts(spark, f"{tmp_path}/two").select("url", "attempt", "code", "final").collect())) == sorted(map(tuple, log.select("url", "attempt", "code", "final").collect()))
 
 
+def test_archive(spark, tmp_path):
+    rows = [(i, None if i == 3 else "" if i == 4 else f"é{i}" * i * 50) for i in range(40)]
+    pages = spark.createDataFrame(rows, "i int, html string").repartition(3)
+    archive.pack(pages, "html", str(tmp_path / "a")).write.parquet(str(tmp_path / "index"))
+    read = archive.reader(str(tmp_path / "a"))
+    assert {r.i: read(r.asDict()) for r in spark.read.parquet(str(tmp_path / "index")).collect()} == dict(rows)
+
+
 def test_waits():
     p = worker.Policy()
     assert [p.wait(503, n) for n in (1, 2, 3)] == [20_000, 40_000, 60_000] and p.wait(404, 3) == 3_000 and p.wait(0, 1) == 20_000

@@ -98,3 +98,35 @@ def test_streamed_counts_equal_batch(spark, tmp_path):
     key = lambda rows: sorted(map(tuple, rows))
     assert key(spark.table("counts").collect()) == key(streams.windowed_counts(spark.read.parquet(str(tmp_path / "e"))).collect())
     assert streams.sessions(spark.read.parquet(str(tmp_path / "e"))).count() > 0
+
+
+def test_small_writers_and_names(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from weftline.functions import text as T
+    from weftline.operators import corpus
+
+    docs = spark.createDataFrame([("a/x.txt", "k", "one\ntwo"), ("y.txt", None, "")], "rel_path string, bucket string, body string")
+    writers.bucketed_texts(docs, str(tmp_path / "b"))
+    assert {(r.name, r.bucket) for r in spark.read.parquet(str(tmp_path / "b")).collect()} == {("a__x.txt", "k"), ("y.txt", None)}
+    assert [r.body for r in corpus.single_line_corpus(docs, "body").collect()] == ["one two", ""]
+    stats = spark.createDataFrame([("s", 10, 7), ("a", 2, 1)], "bucket string, before long, after long")
+    lines = writers.stats_lines(stats)
+    assert [r.line for r in lines.collect()] == ["a_vocab: 2->1", "s_vocab: 10->7"]
+    lines.write.text(str(tmp_path / "s"))
+    assert {tuple(r) for r in readers.bucket_stats(spark, str(tmp_path / "s")).collect()} == {("s", 10, 7), ("a", 2, 1)}
+    writers.frequency_table(spark.createDataFrame([("b", 3), ("a", 3), ("c", 9), ("d", 2)], "word string, cnt long"), str(tmp_path / "f"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "f")).collect()] == ["c\t9", "a\t3", "b\t3"]
+    log = spark.createDataFrame([("u", 503)], "url string, code int")
+    writers.tsv(log, str(tmp_path / "t"))
+    writers.tsv(log, str(tmp_path / "t"), "append")
+    assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "t")).count() == 2
+    urls = spark.createDataFrame([("HTTP://www.Site.org:80/A/b?x#y",), ("site.org",)], "u string")
+    assert [r.k for r in urls.select(web.url_key(F.col("u")).alias("k")).collect()] == ["site.org/A/b", "site.org"]
+    files = spark.createDataFrame([("12-a.txt",), ("12-b.txt",), ("x.txt",)], "file_name string")
+    assert [r.item_id for r in web.existing_ids(files).collect()] == ["12"]
+    assert [r.t for r in urls.select(T.digits_to_zero(F.lit("a 12 b3")).alias("t")).collect()] == ["a 0 b0"] * 2
+    tagged = spark.createDataFrame([(1, 0, "He", "he", "PRON"), (1, 1, "ran", "run", "VERB"), (1, 2, ".", ".", "PUNCT"), (1, 3, "two", "two", "NUM")], "doc_id int, tok_no int, token string, lemma string, pos string")
+    assert corpus.tagged_text(tagged).first().body == "PRON1 run ORDINAL1"
+    (tmp_path / "i3").write_text("key 2011 http://x\nno fields\n")
+    assert [tuple(r) for r in readers.url_index(spark, str(tmp_path / "i3"), 3).collect()] == [("key", "2011", "http://x")]

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from weftline.operators import numeric, vectors
+from weftline.operators import vectors
 
 
 def corpus(spark):
@@ -78,51 +78,6 @@ def test_cbow_keeps_every_word_or_fails(spark, tmp_path, monkeypatch):
         queries.cbow_vectors(spark, str(tmp_path))
 
 
-def test_shooting(spark):
-    params = spark.createDataFrame([(p, 0.002) for p in numeric.PROBLEMS], "problem string, h double")
-    for r in numeric.errors(numeric.solve_problems(params)).collect():
-        assert r.converged and r.max_error < 1e-8
-
-
-def test_trapezoid(spark):
-    rows = spark.createDataFrame([("a", i / 100, (i / 100) ** 2) for i in range(101)], "k string, x double, y double")
-    assert abs(numeric.trapezoid(rows, "k", "x", "y").first().integral - 1 / 3) < 1e-4
-
-
-def test_bratu_peaks_rise(spark):
-    rows = sorted((r.lam, r.peak) for r in numeric.bratu(spark.createDataFrame([(1.0,), (3.0,), (6.0,)], "lam double"), step=0.02).collect())
-    assert rows[0][1] < rows[1][1] < rows[2][1]
-
-
-def test_fokker_planck_keeps_mass(spark):
-    params = spark.sql("select 1L run_id, 0.2D d, -3D left, 3D right, 100 cells, 1D t_end, 0D mean, 0.18D sigma")
-    mass: dict = {}
-    for r in numeric.fokker_planck(params, every=500).collect():
-        assert r.p >= 0
-        mass[r.t] = mass.get(r.t, 0) + r.p * 6 / 99
-    assert all(abs(m - 1) < 1e-9 for m in mass.values()) and len(mass) > 1
-
-
-def test_delay_variance(spark):
-    params = spark.sql("select 1L run_id, 'linear' phi, 0.6D tau, 3D t_end, 0.01D h, 1D d, 1D gamma")
-    exact = {round(r.t, 6): r.variance for r in numeric.exact_delay_variance(params).collect()}
-    got = numeric.delay_monte_carlo(params, paths=20_000, block=4_000).where("abs(t - 3) < 1e-9").first()
-    assert got.paths == 20_000 and abs(got.variance / exact[3.0] - 1) < 0.05
-    assert abs(exact[0.5] / (2 * 0.5) - 1) < 0.01
-
-
-def test_matrix_exponential():
-    a = np.array([[0.0, 1.0], [-1.0, 0.0]])
-    assert np.allclose(numeric.matrix_exponential(a * 0.7), [[np.cos(0.7), np.sin(0.7)], [-np.sin(0.7), np.cos(0.7)]])
-
-
-def test_separated_solution_is_near_the_exact_variance():
-    s = numeric.Separated(numeric.FORCES["linear"], 0.6, 3, 3.0, nodes=301, dt=0.03)
-    p, rounds, change = s.solve()
-    assert rounds > 0 and change < 1e-3
-    assert abs(s.variance(p)[-1] / 1.894 - 1) < 0.1
-
-
 def test_nearest_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
@@ -130,3 +85,67 @@ def test_nearest_in_blocks(spark, monkeypatch):
     whole = sorted(tuple(r) for r in vectors.nearest(words.where("word < 30"), words, 3).collect())
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
     assert sorted(tuple(r) for r in vectors.nearest(words.where("word < 30"), words, 3).collect()) == whole and len(whole) == 90
+
+
+def test_reduced_vectors_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 6)) @ rng.normal(size=(6, 6)) + 1
+    words = spark.createDataFrame([(f"w{i}", v.tolist()) for i, v in enumerate(x)] + [("none", None)], "word string, vec array<float>").repartition(3)
+    got = {r.word: r.vec for r in vectors.reduce_dimension(words, 3).collect()}
+    assert got.pop("none") is None
+    y = np.array([got[f"w{i}"] for i in range(200)])
+    values, directions = np.linalg.eigh(np.cov(x.T))
+    want = x @ directions[:, np.argsort(-values)[:3]]
+    assert np.allclose(np.abs(y), np.abs(want), atol=1e-3)
+    with pytest.raises(ValueError):
+        vectors.reduce_dimension(words, 7)
+
+
+def test_npy_shards(spark, tmp_path):
+    from weftline.sources import npy
+
+    rng = np.random.default_rng(4)
+    rows = [("" if i == 5 else "日本" * (i % 3) + f"w {i}", rng.normal(size=7).astype(np.float32).tolist()) for i in range(9000)]
+    words = spark.createDataFrame(rows, "word string, vec array<float>").repartition(3)
+    path = str(tmp_path / "v")
+    npy.write_vectors(words, path)
+    for size in (npy.RANGE_ROWS, 100, 1):
+        if size > 1:
+            got = npy.read_vectors(spark, path, size)
+            assert {r.word: r.vec for r in got.collect()} == dict(rows)
+    assert got.rdd.getNumPartitions() >= 90
+    # The shards are arrays for numpy, and what numpy saves is read.
+    shard = next(p for p in (tmp_path / "v").glob("*.npy") if not p.name.endswith(".ends.npy"))
+    assert np.load(shard).shape[1] == 7
+    np.save(tmp_path / "v" / "part-x.npy", np.ones((2, 7)))
+    np.save(tmp_path / "v" / "part-x.ends.npy", np.array([1, 3]))
+    (tmp_path / "v" / "part-x.words").write_text("abc")
+    more = npy.read_vectors(spark, path).where("vec[0] = 1 and vec[6] = 1").collect()
+    assert {r.word: r.vec for r in more} == {"a": [1.0] * 7, "bc": [1.0] * 7}
+    npy.write_vectors(words.limit(0), path)
+    assert npy.read_vectors(spark, path).count() == 0
+    with pytest.raises(Exception, match="one length"):
+        npy.write_vectors(spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], "word string, vec array<float>").coalesce(1), path)
+    assert not list((tmp_path / "v").glob("_staging*"))
+
+
+def test_histogram(spark):
+    from weftline.operators import histogram
+
+    rng = np.random.default_rng(6)
+    values = {"a": rng.normal(size=3000) * 1e3, "b": np.array([7.25]), None: rng.random(50), "big": np.array([1e300, -1e300, 0.0]), "same": np.zeros(9), "": np.array([1.0, 2.0])}
+    rows = [(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("a", float("nan")), ("a", float("inf")), ("empty", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    for parts in (1, 7):
+        got: dict = {}
+        for r in histogram.histogram(df.repartition(parts), "x", "k", 16).collect():
+            got.setdefault(r.by, []).append((r.low, r.high, r.n, r.density))
+        assert got.keys() == values.keys()
+        for k, v in values.items():
+            found = sorted(got[k])
+            width = found[0][1] - found[0][0]
+            assert sum(n for _, _, n, _ in found) == len(v) and abs(sum(d * (h - lo) for lo, h, _, d in found) - 1) < 1e-9
+            for lo, h, n, _ in found:
+                assert n == ((v >= lo) & (v < h)).sum() and h - lo == width and lo % width == 0
+            spread = lambda w: np.floor(v.max() / w) - np.floor(v.min() / w)  # noqa: B023, E731
+            assert spread(width) < 16 and (spread(width / 2) >= 16 or width <= 2.0**histogram.FINEST * max(1, np.abs(v).max() / 2.0**20))

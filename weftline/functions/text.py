@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -156,10 +155,3 @@ def markdown_to_text(page: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(text, r"(?m)^#{1,6}\s*", ""), r"(?m)^(\*\s*\*\s*\*|-{3,}|={3,})\s*$", "")
     text = strip(F.regexp_replace(text, "\n{3,}", "\n\n"))
     return F.when(page.rlike(r"(?i)^\s*(title:\s*)?(404|error|not found)"), F.lit("")).otherwise(text)
-
-
-def contractions_in_python(text: str) -> str:
-    """What expand_contractions() gives, for tests."""
-    for old, new in CONTRACTIONS:
-        text = text.replace(old, new)
-    return " ".join(map(str.capitalize, re.sub(r"\s+", " ", re.sub(r"[^\w]", " ", text)).split(" ")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,10 +19,13 @@ REFERENCE_TITLES = (
 PAGE_MARK = r"^---\s*.+?\s*---$"
 CANTO_HEAD = r"(?U)^\d+\.?\s+[A-Za-zÀ-ÿê]+\s*$"
 NUMBERS_ONLY = r"(?U)^[\d\s.\-:()\[\]]+$"
-EDITORIAL = (
-    r"(?iu)^§|teks asli\s*:|kurang satu|lebih satu|kirang sa|langkung sa|prayoginipun|kembali\)|^sambungan$|^citra$|^judul$|tanggal masehi|"
-    r"^lingkup pencarian|^teks pencarian|^filter pencarian"
-)
+EDITORIAL_PATTERNS = (
+    "^§", r"teks asli\s*:", "kurang satu", "lebih satu", "kirang sa", "langkung sa", "prayoginipun", r"kembali\)", "^sambungan$", "^citra$", "^judul$", "tanggal masehi",
+    "^lingkup pencarian", "^teks pencarian", "^filter pencarian",
+)
+EDITORIAL = "(?iu)" + "|".join(EDITORIAL_PATTERNS)
+#: A fixed part of each of them, which every line has that it matches.
+EDITORIAL_PARTS = tuple(re.sub(r"^\^|\$$|\\s\*:|\\", "", p) for p in EDITORIAL_PATTERNS)
 BROKEN_WORD = r"\[[^\]\[]*\.\.\.[^\]\[]*\]"
 FOOTNOTE = r"(?U)\[\s*\d+\s*\]"
 #: Letters of a word when languages are scored.
@@ -49,10 +53,6 @@ def bucket(path: Column, title: Column) -> Column:
     )
 
 
-#: Fixed parts of EDITORIAL, one of which every line has that it matches.
-EDITORIAL_PARTS = ("§", "teks asli", "kurang satu", "lebih satu", "kirang sa", "langkung sa", "prayoginipun", "kembali)", "sambungan", "citra", "judul", "tanggal masehi", "lingkup pencarian", "teks pencarian", "filter pencarian")
-
-
 def junk_reason(line: Column, words: Column | None = None) -> Column:
     """Why a line, stripped, is no text, or null; the first reason that holds. Cheap tests go before the patterns that they bound."""
     low = F.lower(line)

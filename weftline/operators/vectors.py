@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -170,6 +171,43 @@ def principal_components(words: DataFrame, k: int = 2, vec: str = "vec") -> Data
     return model.transform(rows).withColumn("pc", F.zip_with(vector_to_array("_y"), F.array(*map(F.lit, shift.tolist())), lambda y, s: y - s)).drop("_x", "_y")
 
 
+def reduce_dimension(words: DataFrame, dim: int, vec: str = "vec") -> DataFrame:
+    """Replaces vec by its projection on the `dim` principal directions of all vectors, the vectors themselves uncentred. Signs are arbitrary.
+
+    Every partition adds up its vectors' products; the driver gets one matrix of components x components, however many words there are.
+    """
+    spark = words.sparkSession
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, product = 0, None, None
+        for batch in batches:
+            known = batch.column(0).drop_null()
+            if len(known):
+                x = known.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(known), -1)
+                total, product = (x.sum(0), x.T @ x) if total is None else (total + x.sum(0), product + x.T @ x)
+                n += len(x)
+        if n:
+            rows = np.vstack([product, total])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array([n] * len(rows), pa.int64()), pa.array(list(rows))], ["i", "n", "x"])
+
+    parts = words.select(vec).mapInArrow(add_up, "i long, n long, x array<double>")
+    sums = parts.select("i", "n", F.posexplode("x").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toPandas()
+    size = int(sums["j"].max()) + 1 if len(sums) else 0
+    if not 0 < dim <= size:
+        raise ValueError("dim must be positive and at most the vectors' length")
+    table = np.zeros((size + 1, size))
+    table[sums["i"], sums["j"]] = sums["x"]
+    n = int(sums["n"].iloc[0])
+    values, directions = np.linalg.eigh(table[:size] / n - np.outer(table[size], table[size]) / n**2)
+    shared = spark.sparkContext.broadcast(directions[:, np.argsort(-values)[:dim]])
+
+    def project(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(lambda x: None if x is None else (np.asarray(x, float) @ shared.value).tolist())
+
+    return words.withColumn(vec, F.pandas_udf(project, "array<double>")(vec).cast("array<float>"))
+
+
 def skip_gram(sentences: DataFrame, dim: int = 100, window: int = 5, min_count: int = 5, seed: int = 0) -> DataFrame:
     """(word, vec) by skip-gram."""
     model = Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, seed=seed, inputCol="tokens", outputCol="_v").fit(sentences)

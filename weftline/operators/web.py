@@ -4,23 +4,13 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import SharedTables
 
-#: Layouts of the extractors, in the order in which they are tried: where the content starts and ends.
-LIBRARY_LAYOUTS = (
-    (r'<div[^>]*class="[^"]*com-content-article__body[^"]*"[^>]*>', r'<div[^>]*class="[^"]*pager|<nav|</article>'),
-    (r'<article[^>]*class="[^"]*uk-article[^"]*"[^>]*>', r"</article>"),
-    (r'<div[^>]*id="ja-content"[^>]*>', r'<div[^>]*id="ja-(?:footer|right)'),
-)
-PERIODICAL_LAYOUTS = (
-    (r'<div[^>]*class="[^"]*single_post[^"]*"[^>]*>', r'<div[^>]*class="[^"]*(?:related|comments)'),
-    (r'<div[^>]*class="[^"]*detail_bar2[^"]*"[^>]*>', r'<div[^>]*class="[^"]*(?:footer|sidebar)'),
-)
-PORTAL_LAYOUTS = ((r'<div[^>]*class="[^"]*item-page[^"]*"[^>]*>', r'<ul[^>]*class="[^"]*pager|<div[^>]*id="(?:right|footer)'),)
+#: Where the content of a page starts and ends, in the order in which layouts are tried.
 ARTICLE_LAYOUTS = ((r"<article[^>]*>", r"</article>"), (r"<main[^>]*>", r"</main>"), (r"<body[^>]*>", r"</body>"))
 
 
@@ -136,11 +126,6 @@ def extract_pages(pages: DataFrame, page: str = "html", layouts=ARTICLE_LAYOUTS,
     return pages.withColumn("title", T.unescape(title)).withColumn("_lines", lines).withColumn("body", F.array_join(lines_col, "\n")).drop("_lines")
 
 
-def byline(body: Column) -> tuple[Column, Column]:
-    """(category, author) that a periodical's page states in lines `Kategori: ...` and `Dening: ...`."""
-    return tuple(F.nullif(F.regexp_extract(body, rf"(?im)^{label}\s*:\s*(.+)$", 1), F.lit("")) for label in ("kategori", "dening"))
-
-
 def existing_ids(files: DataFrame, name: str = "file_name") -> DataFrame:
     """Distinct ids that file names begin with."""
     return files.select(F.nullif(F.regexp_extract(name, r"^(\d+)-", 1), F.lit("")).alias("item_id")).where("item_id is not null").distinct()
@@ -150,7 +135,3 @@ def per_host_newest(pages: DataFrame) -> DataFrame:
     """The page with the largest page_id of each host."""
     rows = url_fields(pages.select("page_id", "url")).select("page_id", "url", "host").withColumn("seq", F.lit(0))
     return newest_per_key(rows, ["host"], "page_id", "seq").drop("seq")
-
-
-def line_rank(lines: DataFrame, key: str) -> DataFrame:
-    return lines.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("line_no")))

@@ -8,24 +8,32 @@ from pyspark.sql import functions as F
 from ..operators import corpus
 
 #: Frequent words by which lines are told apart.
-STOP_WORDS: dict[str, list[str]] = {
-    "en": "the of and to in is was for with that this are be or from by an not his her".split(),
-    "nl": "de het van en een der den te dat die met voor zijn aan op is niet ook naar worden wordt deze bij uit over tot".split(),
+STOP_WORDS: dict[str, tuple[str, ...]] = {
+    "en": (
+        "the", "of", "and", "to", "in", "is", "was", "for", "with", "that", "this", "are", "be", "or", "from", "by", "an", "not", "his", "her",
+    ),
+    "nl": (
+        "de", "het", "van", "en", "een", "der", "den", "te", "dat", "die", "met", "voor", "zijn", "aan", "op", "is", "niet", "ook", "naar", "worden",
+        "wordt", "deze", "bij", "uit", "over", "tot",
+    ),
     "id": (
-        "yang dengan tidak dari untuk pada adalah dalam dan akan sudah telah bisa karena mereka kita saya anda tersebut sebagai juga atau itu ini oleh "
-        "ke di secara tetapi namun agar supaya jika kalau saat ketika sehingga kemudian yaitu ialah bahwa para merupakan terhadap seperti antara banyak lebih"
-    ).split(),
+        "yang", "dengan", "tidak", "dari", "untuk", "pada", "adalah", "dalam", "dan", "akan", "sudah", "telah", "bisa", "karena", "mereka", "kita", "saya",
+        "anda", "tersebut", "sebagai", "juga", "atau", "itu", "ini", "oleh", "ke", "di", "secara", "tetapi", "namun", "agar", "supaya", "jika", "kalau",
+        "saat", "ketika", "sehingga", "kemudian", "yaitu", "ialah", "bahwa", "para", "merupakan", "terhadap", "seperti", "antara", "banyak", "lebih",
+    ),
     "jv": (
-        "ing kang iku ora lan saka karo wis ana iki kanthi dening marang sing ingkang punika menika wonten boten mboten sampun dhateng saking ugi inggih "
-        "kaliyan dene yen menawa menawi nanging amarga amargi supaya supados banjur lajeng uga apa punapa kados kaya sarta tuwin utawi utawa datan tan "
-        "kalawan miwah ingsun sira dadya dadi dados arsa badhe bakal wus maring aneng neng ono iso isa ake dhumateng kagem dhewe piyambak malih maneh "
-        "sanget banget mawi tanpa sajroning salebeting"
-    ).split(),
+        "ing", "kang", "iku", "ora", "lan", "saka", "karo", "wis", "ana", "iki", "kanthi", "dening", "marang", "sing", "ingkang", "punika", "menika",
+        "wonten", "boten", "mboten", "sampun", "dhateng", "saking", "ugi", "inggih", "kaliyan", "dene", "yen", "menawa", "menawi", "nanging", "amarga",
+        "amargi", "supaya", "supados", "banjur", "lajeng", "uga", "apa", "punapa", "kados", "kaya", "sarta", "tuwin", "utawi", "utawa", "datan", "tan",
+        "kalawan", "miwah", "ingsun", "sira", "dadya", "dadi", "dados", "arsa", "badhe", "bakal", "wus", "maring", "aneng", "neng", "ono", "iso", "isa",
+        "ake", "dhumateng", "kagem", "dhewe", "piyambak", "malih", "maneh", "sanget", "banget", "mawi", "tanpa", "sajroning", "salebeting",
+    ),
 }
 #: Pronouns that become one class token.
 PRONOUNS = (
-    "aku kula kawula ingsun ingwang kowe sira sampeyan panjenengan panjenenganipun dheweke dheke piyambakipun kita awakmu awakku slirane sliramu"
-).split()
+    "aku", "kula", "kawula", "ingsun", "ingwang", "kowe", "sira", "sampeyan", "panjenengan", "panjenenganipun", "dheweke", "dheke", "piyambakipun",
+    "kita", "awakmu", "awakku", "slirane", "sliramu",
+)
 
 
 def words(docs: DataFrame, text: str = "text") -> DataFrame:

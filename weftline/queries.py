@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import vectors as V
-from .operators import corpus, extract, lemma, lexicon, numeric, vectors, web
+from .operators import corpus, extract, histogram, lemma, lexicon, vectors, web
 from .plans import corpus as plans
-from .sources import folders, writers
+from .sources import archive, folders, npy, writers
 from .sources.tables import SharedTables
 from .sources.versions import VersionedTable
 from .streaming import words as streams
@@ -362,11 +362,13 @@ select url, ts, attempts::int as attempts, code::int as code, coalesce(length(te
 def crawl_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest page of every URL, fetched by the worker from an archive that is busy for the first attempts, as many as the URL's length says."""
     tables = SharedTables(spark, "worker")
-    work = tables.save(web.newest_per_key(_t(spark, sf_dir, "pages").select("url", F.col("page_id").alias("ts"), "html"), ["url"], "ts", "ts"), "work")
+    pages = web.newest_per_key(_t(spark, sf_dir, "pages").select("url", F.col("page_id").alias("ts"), "html"), ["url"], "ts", "ts")
+    work = tables.save(archive.pack(pages, "html", f"{tables.root}/archive"), "work")
     stream = spark.readStream.schema(work.schema).parquet(f"{tables.root}/work")
-    archive = lambda item, attempt: (503, None) if attempt <= len(item["url"]) % 6 else (200, item["html"])
+    body = archive.reader(f"{tables.root}/archive")
+    answer = lambda item, attempt: (503, None) if attempt <= len(item["url"]) % 6 else (200, body(item))
     out = f"{tables.root}/attempts"
-    run = worker.start(stream, "url", archive, out, f"{tables.root}/checkpoint", worker.Policy(busy_wait=1, other_wait=1), carry=("url", "ts"))
+    run = worker.start(stream, "url", answer, out, f"{tables.root}/checkpoint", worker.Policy(busy_wait=1, other_wait=1), carry=("url", "ts"))
     worker.finish(spark, run, out, "url")
     saved, failed = worker.results(spark, out, web.extract_pages)
     shape = lambda df, good: df.select("url", "ts", F.col("attempt").alias("attempts"), "code", F.lit(good).alias("saved"), F.md5("text" if good else F.lit(None).cast("string")).alias("digest"))
@@ -517,76 +519,60 @@ def vector_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Lemmas.
 
-def _lemmatiser(spark: SparkSession, sf_dir: str) -> lemma.Lemmatiser:
-    """A lexicon whose roots are the frequent words. The driver holds the vocabulary, so it fails where that is too large."""
-    counted = lexicon.word_frequency(_words(spark, sf_dir), least=3).limit(lemma.MOST_WORDS + 1).collect()
-    if len(counted) > lemma.MOST_WORDS:
-        raise ValueError("too many words; raise the least count")
-    freq = {r[0]: r[1] for r in counted}
-    return lemma.build_lexicon([w for w, n in freq.items() if n >= 500 and w.isalpha()], freq)
+def _lexicon(spark: SparkSession, sf_dir: str) -> lemma.Lexicon:
+    """A lexicon whose dictionary is the frequent words of the documents; pronouns and stop words are roots as they are."""
+    freq = lexicon.word_frequency(_words(spark, sf_dir), least=3)
+    dictionary = freq.where((F.col("cnt") >= 500) & F.col("word").rlike(r"^\p{L}+$"))
+    return lemma.build_lexicon(dictionary, freq, (*plans.PRONOUNS, *plans.STOP_WORDS["jv"]))
 
 
 @query()
 def lemmatize_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _words(spark, sf_dir).select("lang", F.col("word").alias("token"))
-    return lemma.lemmatise(tokens, _lemmatiser(spark, sf_dir)).groupBy("lang", "lemma").agg(F.count("*").alias("cnt"))
+    tokens = _words(spark, sf_dir).groupBy("lang", F.col("word").alias("token")).agg(F.count("*").alias("n"))
+    return lemma.lemmatise(tokens, _lexicon(spark, sf_dir)).groupBy("lang", "lemma").agg(F.sum("n").alias("cnt"))
 
 
 @query()
 def vocab_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _words(spark, sf_dir).select("lang", F.col("word").alias("token"))
-    return lexicon.vocabulary_reduction(lemma.lemmatise(tokens, _lemmatiser(spark, sf_dir)), "lang")
+    tokens = _words(spark, sf_dir).select("lang", F.col("word").alias("token")).distinct()
+    return lexicon.vocabulary_reduction(lemma.lemmatise(tokens, _lexicon(spark, sf_dir)), "lang")
 
 
 @query()
 def lemma_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = lemma.Lemmatiser(["tulis", "omah", "inum", "laku", "kali"])
-    gold = spark.createDataFrame([("ditulis", "tulis"), ("nulis", "tulis"), ("tulisan", "tulis"), ("omahe", "omah"), ("lakon", "laku"), ("sapa", "apa")], "form string, lemma string")
-    return lemma.evaluation(lemma.outcomes(gold, own))
-
-
-# Equations.
-
-@query()
-def shooting_bvp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    params = spark.createDataFrame([(p, 0.001) for p in numeric.PROBLEMS], "problem string, h double")
-    return numeric.errors(numeric.solve_problems(params))
-
-
-@query()
-def bratu_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numeric.bratu(spark.range(60).select((0.2 + F.col("id") * (6.7 - 0.2) / 59).alias("lam")), step=0.01)
-
-
-@query()
-def fokker_planck_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    params = spark.sql("select 1L run_id, 0.2D d, -3D left, 3D right, 300 cells, 8D t_end, 0D mean, 0.18D sigma")
-    return numeric.fokker_planck(params, every=2000)
-
-
-_DELAY = "select 1L run_id, 'linear' phi, 0.6D tau, 6D t_end, 0.01D h, 1D d, 1D gamma"
-
-
-@query()
-def mc_delay_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numeric.delay_monte_carlo(spark.sql(_DELAY), paths=20_000)
-
-
-@query("""with r as (
-  select n, sum((-0.0002::double) ** k * list_product([1::double] || [(n - 3000 * k - j)::double / (j + 1) for j in range(k)])) as x
-  from range(30001) a(n), range(11) b(k) where n - 3000 * k >= k group by n
-)
-select 1::bigint as run_id, round(n * 0.0002::double, 6) as t, round(v, 9) as variance from (select n, sum(x * x) over (order by n) * 2 * 0.0002::double as v from r) where n % 50 = 0""")
-def exact_delay_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The response in SQL is the closed form of its recurrence: a sum over the delays that fit, with binomials as products."""
-    return numeric.exact_delay_variance(spark.sql(_DELAY)).withColumns({"t": F.round("t", 6), "variance": F.round("variance", 9)})
-
-
-@query()
-def kantorovich_rank_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    solved = numeric.kantorovich(spark.sql("select 'linear' phi, id + 1 rank, 0.6D tau, 6D t_end, 301 nodes, 0.03D dt from range(3)"))
-    last = numeric.exact_delay_variance(spark.sql(_DELAY)).agg(F.max_by("variance", "t").alias("reference"))
-    return numeric.rank_table(solved, last.select(F.lit("linear").alias("phi"), "reference"))
+    """The lemmatiser against a gold table of all words of the documents: a word's lemma is what is left without `ing` where that is a word too, else the word."""
+    words = _words(spark, sf_dir).select("word").distinct()
+    stem = F.when(F.col("word").endswith("ing"), F.expr("left(word, length(word) - 3)"))
+    gold = words.withColumn("stem", stem).join(words.select(F.col("word").alias("stem"), F.lit(True).alias("is")), "stem", "left")
+    gold = gold.select(F.col("word").alias("form"), F.when(F.col("is"), F.col("stem")).otherwise(F.col("word")).alias("lemma"))
+    return lemma.evaluation(lemma.outcomes(gold, _lexicon(spark, sf_dir)))
+
+
+@query(f"""with {_W}, v as (select distinct word from w), a as (select unnest({_list(lemma.Rules().inflection_suffixes)}) as affix, 'suffix' as kind union all select unnest({_list(lemma.Rules().inflection_prefixes)}), 'prefix')
+select affix, kind, count(*) as forms, count(b.word) as known from v join a on length(v.word) >= length(affix) + 3 and case kind when 'suffix' then ends_with(v.word, affix) else starts_with(v.word, affix) end
+  left join v b on b.word = case kind when 'suffix' then left(v.word, length(v.word) - length(affix)) else substr(v.word, length(affix) + 1) end group by 1, 2""")
+def affix_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many distinct words have each inflection affix, and how many of their stems are words too."""
+    return lemma.affix_counts(_words(spark, sf_dir).select("word").distinct())
+
+
+# Values and arrays.
+
+@query("""with x as (select event_type as by, value as x from events where value is not null and isfinite(value)),
+e as (select by, min(e) as e, any_value(n) as n from (select by, min(x) as lo, max(x) as hi, count(*) as n from x group by by), range(-40, 60) r(e) where floor(hi / pow(2.0, e)) - floor(lo / pow(2.0, e)) < 32 group by by),
+k as (select x.by, e, n, floor(x / pow(2.0, e)) as k from x join e on x.by is not distinct from e.by)
+select by, k * pow(2.0, e) as low, (k + 1) * pow(2.0, e) as high, count(*) as n, count(*) / (any_value(n) * pow(2.0, e)) as density from k group by by, e, k""")
+def value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normalised histogram of the values of each type of event, in one pass."""
+    return histogram.histogram(_t(spark, sf_dir, "events"), "value", "event_type", 32)
+
+
+@query("select vec_id::varchar as word, list_transform(embedding, lambda x: x::double) as vec from embeddings where embedding is not null")
+def npy_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors written as shards of arrays and read back by ranges of rows."""
+    path = f"{SharedTables(spark, 'npy').root}/vectors"
+    npy.write_vectors(_t(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("vec")), path)
+    return npy.read_vectors(spark, path).select("word", F.col("vec").cast("array<double>").alias("vec"))
 
 
 # Streams, as batches.
