@@ -236,13 +236,11 @@ def brute_top(rows, k, every):
     width = max(len(v) for _, v in vectors)
     padded = [(i, np.pad(v, (0, width - len(v)))) for i, v in vectors]
     out = []
-    for q in sorted({i for i, _ in padded if i % every == 0}):
-        best: dict = {}
-        for i, v in padded:
-            if i != q:
-                best[i] = max(max(int(v @ u) for j, u in padded if j == q), best.get(i, -(10**18)))
-        out += [(q, n, i, s) for n, (i, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k], 1)]
-    return out
+    for n, (q, v) in enumerate(padded):
+        if q % every == 0:
+            best = sorted(((-int(v @ u), i) for m, (i, u) in enumerate(padded) if m != n))[:k]
+            out += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("spread", [0.05, 1.0])
@@ -262,6 +260,12 @@ def test_top_k_of_few_and_large(spark):
     assert sorted(tuple(r) for r in knn.top_k(df).collect()) == brute_top(rows, 5, 50)
     huge = spark.createDataFrame([(0, [1e12]), (1, [1e300]), (2, [-1e12])], "vec_id long, embedding array<double>")
     assert [r.vec_id for r in knn.top_k(huge).orderBy("rank").collect()] == [1, 2]
+    # Beyond a long scores are shown as its ends, and still compared as they are.
+    huge = spark.createDataFrame([(0, [1e12]), (1, [1e13]), (2, [1e14]), (3, [-1e13]), (4, [-1e14]), (5, [1.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in knn.top_k(huge, task_rows=2).orderBy("rank").collect()] == [(2, 2**63 - 1), (1, 2**63 - 1), (5, 65536000000000000), (3, 1 - 2**63), (4, 1 - 2**63)]
+    same = spark.createDataFrame([(0, [1.0]), (0, [2.0]), (3, [1.0]), (3, [1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in knn.top_k(same).collect())
+    assert got == brute_top([(0, [1.0]), (0, [2.0]), (3, [1.0]), (3, [1.0])], 5, 50) and len(got) == 6
     assert knn.top_k(df.limit(0)).count() == 0 and knn.top_k(df.where("vec_id = 0")).count() == 0
     assert knn.top_k(df.where("vec_id > 0")).count() == 0
 
@@ -269,5 +273,5 @@ def test_top_k_of_few_and_large(spark):
 def test_pruning_sends_clusters_only_where_needed():
     pivots = np.array([[100.0, 0.0], [0.0, 100.0], [-100.0, 0.0]])
     counts = np.array([50.0, 50.0, 50.0])
-    group, needs = knn.plan(pivots, counts, np.full(3, 1.0), np.array([2.0, 0.0, 0.0]), np.full(3, 1.0), 0, 5)
+    group, needs = knn.plan(pivots, counts, np.full(3, 1.0), np.array([2.0, 0.0, 0.0]), np.full(3, 1.0), 5)
     assert group.tolist() == [0, -1, -1] and needs == [{0}]

@@ -30,11 +30,11 @@ _UNESCAPE = re.compile("|".join(rf"(?<={re.escape(c[0])})\\(?=\\*{re.escape(c[1:
 
 def escape(text: str) -> str:
     """The text without whole control strings; unescape() gives it back."""
-    return _ESCAPE.sub(lambda m: "\\" + m[0], text)
+    return _ESCAPE.sub(lambda m: "\\" + m[0], text) if "<" in text or "[" in text else text
 
 
 def unescape(text: str) -> str:
-    return _UNESCAPE.sub("", text)
+    return _UNESCAPE.sub("", text) if "\\" in text else text
 
 
 def escape_role(role: str) -> str:
@@ -212,8 +212,7 @@ def read_back(windows: DataFrame) -> DataFrame:
 
         now, begun = None, False
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
+            for row in batch.to_pylist():
                 if not begun or row["conv_id"] != now:
                     if begun:
                         yield result()

@@ -159,9 +159,13 @@ def scan_texts(texts: DataFrame, text: str = "text", templates=TEMPLATES, match:
     return found.select(*keep, F.struct((2 * F.col("_common") / F.col("_both")).alias("dice"), (-F.col("_id")).alias("less"), F.col("_license").alias("license")).alias("_hit"))
 
 
+def best_hit(hits: DataFrame, keys: list[str]) -> DataFrame:
+    return hits.groupBy(*keys).agg(F.max("_hit").alias("_hit"))
+
+
 def best_hits(hits: DataFrame, keys: list[str]) -> DataFrame:
     """The best template for each key of what scan_texts() returns."""
-    return hits.groupBy(*keys).agg(F.max("_hit").alias("_hit")).select(*keys, F.col("_hit.license").alias("license"), (-F.col("_hit.less")).alias("template_id"), F.col("_hit.dice").alias("dice"))
+    return best_hit(hits, keys).select(*keys, F.col("_hit.license").alias("license"), (-F.col("_hit.less")).alias("template_id"), F.col("_hit.dice").alias("dice"))
 
 
 def scan_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, match: int = MATCH, texts=TEXTS) -> DataFrame:
@@ -169,63 +173,88 @@ def scan_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", templat
 
     Returns doc_id, line_no (from 0), license, template_id and dice: a row for each line that matches, and one at its
     first line for each block of scan_blocks() that is a better match than all lines and other blocks that it shares
-    lines with (rows of `docs` with the same key and line count once). `texts` are templates for blocks only. Null texts have no lines.
+    lines with. Rows of `docs` are documents each, whether or not they share an id or a text. `texts` are templates for blocks only. Null texts have no lines.
     """
-    few = has_any(docs.select(key, text), text, needles(tuple(templates), match))
-    lines = few.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("uid"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     ws = Workspace(docs.sparkSession, "license-scan")
-    single = ws.save(scan_texts(lines, "line", templates, match).groupBy("doc_id", "uid", "line_no").agg(F.max("_hit").alias("_hit")))
-    blocks = scan_blocks(docs, key, text, (*templates, *texts), match, ws)
-    shape = lambda df, last, whole: df.select("doc_id", "uid", F.struct(F.col("_hit.dice").alias("dice"), F.lit(whole).alias("whole"), (-F.col("line_no")).alias("less"), F.col(last).alias("last"), F.col("_hit").alias("hit")).alias("x"))
-    # The best first; a block stays if it shares no line with what stays already.
-    both = shape(single.join(blocks.select("uid").distinct(), "uid", "left_semi"), "line_no", True).union(shape(blocks, "last_line", False))
+    tagged = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    # The only scan of all texts. Equal rows are looked at once and counted.
+    few = has_any(tagged, "text", needles((*templates, *texts), match)).groupBy("doc_id", "text").agg(F.count("*").alias("rows"))
+    few = ws.save(few.select("doc_id", "rows", F.monotonically_increasing_id().alias("uid"), "text"))
+    lines = few.select("uid", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    single = ws.save(best_hit(scan_texts(lines, "line", templates, match), ["uid", "line_no"]))
+    blocks = scan_blocks(few.select("uid", "text"), (*templates, *texts), match, ws)
+    x = lambda df, last, whole: df.select("uid", F.struct(F.col("_hit.dice").alias("dice"), F.lit(whole).alias("whole"), (-F.col("line_no")).alias("less"), F.col(last).alias("last"), F.col("_hit").alias("hit")).alias("x"))
+    both = x(single.join(blocks.select("uid").distinct(), "uid", "left_semi"), "line_no", True).union(x(blocks, "last_line", False))
+    # Sorted by their first lines, hits that share lines, if by way of others, are runs; in each the best come first, and a block stays if it shares no line with what stays already.
+    order = Window.partitionBy("uid").orderBy(F.desc("x.less"), "x.last")
+    begins = F.when(-F.col("x.less") > F.coalesce(F.max("x.last").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)), 1).otherwise(0)
+    runs = both.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     pick = F.expr("aggregate(array_sort(collect_list(x), (a, b) -> case when a > b then -1 when a < b then 1 else 0 end), cast(array() as array<%s>), (acc, h) -> if(h.whole or not exists(acc, a -> -a.less <= h.last and -h.less <= a.last), concat(acc, array(h)), acc))" % dict(both.dtypes)["x"])
-    stay = both.groupBy("doc_id", "uid").agg(pick.alias("xs")).select("doc_id", F.explode("xs").alias("x")).where("not x.whole")
-    return best_hits(single.select("doc_id", "line_no", "_hit").union(stay.select("doc_id", (-F.col("x.less")).alias("line_no"), "x.hit")), ["doc_id", "line_no"])
+    stay = runs.groupBy("uid", "run").agg(pick.alias("xs")).select("uid", F.explode("xs").alias("x")).where("not x.whole")
+    found = best_hit(single.union(stay.select("uid", (-F.col("x.less")).alias("line_no"), "x.hit")), ["uid", "line_no"])
+    rows = found.join(few.select("uid", "doc_id", "rows"), "uid").select("doc_id", "line_no", "_hit", F.explode(F.expr("sequence(1, rows)")))
+    return rows.select("doc_id", "line_no", F.col("_hit.license").alias("license"), (-F.col("_hit.less")).alias("template_id"), F.col("_hit.dice").alias("dice"))
 
 
-def scan_blocks(docs: DataFrame, key: str, text: str, templates, match: int, ws: Workspace) -> DataFrame:
-    """doc_id, uid (a hash of id and text), line_no, last_line and _hit: for each sentence the best match of a run that begins there.
+def scan_blocks(docs: DataFrame, templates, match: int, ws: Workspace) -> DataFrame:
+    """uid, line_no, last_line and _hit, from documents (uid, text): for each sentence the best match of a run that begins there.
 
     Runs are all those of consecutive sentences, whose ends are newlines and . ; : ! ? before white space: wrapped notices,
     paragraphs, whole texts, a notice inside a line. A run that matches has a template's bigram in its first sentence
     if it is the best one, as it would be better without that sentence else; so runs begin only there. Documents that have fewer
-    of a template's bigrams than a match needs aren't looked at further: only the rest are shuffled, as bigrams.
+    of a template's bigrams than a match needs aren't looked at further.
+
+    A run with more distinct bigrams than the size bound allows can't match, and one that has all of the template's bigrams that follow its start gets no better by going on.
+    So each start is looked at over twice the bound's number of words, and only where neither has come true over eight times more, and so on.
     """
     table = template_table(docs.sparkSession, templates).select("template_id", "license", F.size("template").alias("m"), F.transform("template", lambda g: F.xxhash64(g)).alias("grams"))
-    table = ws.save(table.withColumn("need", F.expr(f"cast(ceil(m * {match} / {200 - match}) as int)")))
-    small = sum(len(b) for _, b in templates) <= BROADCAST_BYTES
-    hint = F.broadcast if small else lambda df: df
+    table = ws.save(table.withColumn("need", F.expr(f"cast(ceil(m * {match} / {200 - match}) as int)")).withColumn("most", F.expr(f"cast(floor(m * {200 - match} / {match}) as int)")))
+    hint = F.broadcast if sum(len(b) for _, b in templates) <= BROADCAST_BYTES else lambda df: df
     marks = table.select("template_id", F.explode("grams").alias("gram"))
-    tagged = docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("uid"), F.col(text).alias("text"))
-    grams = _document_bigrams(has_any(tagged, "text", needles(tuple(templates), match)))
+    grams = ws.save(_document_bigrams(docs))
     pairs = grams.select("uid", "gram").join(hint(marks), "gram").groupBy("uid", "template_id").agg(F.count_distinct("gram").alias("c"))
-    pairs = ws.save(pairs.join(hint(table.select("template_id", "need", "m", "license")), "template_id").where("c >= need").drop("c"))
-    wanted = ws.save(pairs.select("uid").distinct())
-    found = ws.save(_document_bigrams(tagged.join(sized_broadcast(wanted), "uid", "left_semi").dropDuplicates(["uid"])))
-    found = ws.save(found.withColumn("prev", F.coalesce(F.lag("p").over(Window.partitionBy("uid", "gram").orderBy("p")), F.lit(-1))))
+    pairs = ws.save(pairs.join(hint(table.select("template_id", "need", "most", "m", "license")), "template_id").where("c >= need").drop("c"))
+    own = Window.partitionBy("uid", "gram")
+    found = grams.join(sized_broadcast(pairs.select("uid").distinct()), "uid", "left_semi")
+    found = ws.save(found.withColumn("prev", F.coalesce(F.lag("p").over(own.orderBy("p")), F.lit(-1))).withColumn("ends", F.lead("p").over(own.orderBy("p")).isNull()))
+    # h: how many of the template's bigrams occur from a sentence on.
     hits = found.join(hint(marks), "gram").join(pairs, ["uid", "template_id"])
-    starts = hits.groupBy("doc_id", "uid", "template_id", "license", "m", "need", "unit", F.col("line").alias("line_no"), "first").agg(F.count("*").alias("h"))
+    starts = hits.groupBy("uid", "template_id", "license", "m", "need", "most", "unit", F.col("line").alias("line_no"), "first").agg(F.count_if("ends").alias("h"))
     after = Window.partitionBy("uid", "template_id").orderBy(F.desc("unit"))
-    starts = ws.save(starts.withColumn("h", F.sum("h").over(after)).where("h >= need").drop("h", "need"))
-    rest = found.select(F.col("uid").alias("_uid"), "p", "prev", "gram", "end_unit", "end_line")
-    inside = starts.join(rest, (F.col("uid") == F.col("_uid")) & (F.col("p") >= F.col("first")) & (F.col("prev") < F.col("first"))).drop("_uid")
+    starts = ws.save(starts.withColumn("h", F.sum("h").over(after)).where("h >= need").drop("need").withColumn("bits", F.ceil(F.log2(2 * F.col("most") + 2)).cast("int")))
+    length = found.groupBy("uid").agg(F.max("p").alias("end"))
     known = hint(marks.select("gram", "template_id", F.lit(1).alias("is")))
-    run = ["doc_id", "uid", "template_id", "license", "m", "unit", "line_no"]
-    ends = inside.join(known, ["gram", "template_id"], "left").groupBy(*run, "end_unit", "end_line").agg(F.count("*").alias("n"), F.count("is").alias("c"))
-    up_to = Window.partitionBy("uid", "template_id", "unit").orderBy("end_unit")
-    ends = ends.select(*run, "end_line", F.sum("n").over(up_to).alias("n"), F.sum("c").over(up_to).alias("c")).where(f"200 * c >= {match} * (n + m)")
-    hit = F.struct((2 * F.col("c") / (F.col("n") + F.col("m"))).alias("dice"), (-F.col("template_id")).alias("less"), F.col("license"))
-    best = ends.withColumn("_hit", hit).groupBy("doc_id", "uid", "unit", "line_no").agg(F.max(F.struct("_hit", -F.col("end_line"))).alias("b"))
-    return ws.save(best.select("doc_id", "uid", "line_no", (-F.col("b.col2")).alias("last_line"), "b._hit"))
+    run = ["uid", "template_id", "license", "m", "most", "h", "bits", "unit", "line_no", "first"]
+    best = None
+    while True:
+        # A start meets the words of its stretch of 2 ** bits, and of the next one, as far as that many words behind it.
+        lengths = starts.select("uid", "bits").distinct()
+        placed = found.join(lengths, "uid").select("uid", "bits", F.expr("shiftright(p, bits)").alias("stretch"), "p", "prev", "gram", "end_unit", "end_line")
+        met = starts.withColumn("stretch", F.explode(F.expr("array(shiftright(first, bits), shiftright(first, bits) + 1)"))).join(placed, ["uid", "bits", "stretch"])
+        inside = met.where((F.col("p") >= F.col("first")) & (F.col("p") < F.col("first") + F.expr("shiftleft(1L, bits)")) & (F.col("prev") < F.col("first")))
+        ends = inside.join(known, ["gram", "template_id"], "left").groupBy(*run, "end_unit").agg(F.min("end_line").alias("end_line"), F.count("*").alias("n"), F.count("is").alias("c"))
+        up_to = Window.partitionBy("uid", "template_id", "unit").orderBy("end_unit")
+        ends = ends.withColumn("n", F.sum("n").over(up_to)).withColumn("c", F.sum("c").over(up_to))
+        hit = F.struct((2 * F.col("c") / (F.col("n") + F.col("m"))).alias("dice"), (-F.col("template_id")).alias("less"), F.col("license"))
+        good = F.expr(f"200 * c >= {match} * (n + m)")
+        reached = ends.groupBy(*run).agg(F.max(F.when(good, F.struct(hit.alias("_hit"), (-F.col("end_line")).alias("less_line")))).alias("b"), F.max("n").alias("n"), F.max("c").alias("c"))
+        reached = ws.save(reached)
+        some = reached.where("b is not null").select("uid", "unit", "line_no", "b")
+        best = some if best is None else best.union(some)
+        starts = reached.where("n <= most and c < h").join(length, "uid").where("first + shiftleft(1L, bits) <= end").select(*run).withColumn("bits", F.least(F.col("bits") + 3, F.lit(40)))
+        if starts.isEmpty():
+            break
+        starts = ws.save(starts)
+    out = best.groupBy("uid", "unit", "line_no").agg(F.max("b").alias("b"))
+    return ws.save(out.select("uid", "line_no", (-F.col("b.less_line")).alias("last_line"), "b._hit"))
 
 
 def _document_bigrams(docs: DataFrame) -> DataFrame:
-    """A row for each two words in a row of (doc_id, uid, text): position p, 64-bit hash gram, unit, line and first position of the first word's sentence, end_unit and end_line of the second word's."""
+    """A row for each two words in a row of (uid, text): position p, 64-bit hash gram, unit, line and first position of the first word's sentence, end_unit and end_line of the second word's."""
     units = F.expr(r"flatten(transform(split(text, '\n'), (x, i) -> transform(split(x, '(?<=[.;:!?])\\s+'), y -> struct(i as line, y as body))))")
     word = lambda u, k: F.transform(F.filter(normalised_words(u["body"]), lambda w: w != ""), lambda w, i: F.struct(w.alias("w"), i.alias("i"), k.alias("unit"), u["line"].alias("line")))
-    words = docs.select("doc_id", "uid", F.explode(F.array(units)).alias("u")).select("doc_id", "uid", F.explode(F.array(F.flatten(F.transform("u", word)))).alias("u")).where("size(u) > 1")
+    words = docs.select("uid", F.explode(F.array(units)).alias("u")).select("uid", F.explode(F.array(F.flatten(F.transform("u", word)))).alias("u")).where("size(u) > 1")
     two = F.zip_with(F.slice("u", 1, F.size("u") - 1), F.slice("u", 2, F.size("u") - 1), lambda a, b: F.struct(
         F.xxhash64(F.concat(a["w"], F.lit(" "), b["w"])).alias("gram"), a["unit"].alias("unit"), a["line"].alias("line"), a["i"].alias("i"), b["unit"].alias("end_unit"), b["line"].alias("end_line")))
-    rows = words.select("doc_id", "uid", F.posexplode(two).alias("p", "g"))
-    return rows.select("doc_id", "uid", "p", "g.gram", "g.unit", "g.line", (F.col("p") - F.col("g.i")).alias("first"), "g.end_unit", "g.end_line")
+    rows = words.select("uid", F.posexplode(two).alias("p", "g"))
+    return rows.select("uid", "p", "g.gram", "g.unit", "g.line", (F.col("p") - F.col("g.i")).alias("first"), "g.end_unit", "g.end_line")

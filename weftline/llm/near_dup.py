@@ -150,7 +150,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                     sent = (sent if len(sent) < MEMO_WORDS else set()) | fresh
                     yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.int64()), pa.array([sets[x].tobytes() for x in fresh], pa.binary())], ["node", "payload"])
 
-        return once(slim.select(F.xxhash64("doc_id"), "text").mapInArrow(shingle, "node long, payload binary"), ws)
+        return once(slim.select(F.xxhash64("doc_id"), "text").mapInArrow(shingle, "node long, payload binary"), n, ws)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

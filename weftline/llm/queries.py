@@ -119,14 +119,14 @@ with t as (
   select template_id, license, {_GRAMS} as g
   from (select template_id, license, {_NORM.format("body")} as w from (values {", ".join(f"({i}, {_sql_text(n)}, {_sql_text(b)})" for i, (n, b) in enumerate(license_scan.TEMPLATES))}) v(template_id, license, body))
 ), l as (
-  select doc_id, line_no, {_GRAMS} as g
-  from (select doc_id, line_no, {_NORM.format("line")} as w from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents where text is not null))
+  select uid, doc_id, line_no, {_GRAMS} as g
+  from (select uid, doc_id, line_no, {_NORM.format("line")} as w from (select row_number() over () as uid, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents where text is not null))
 ), p as (
-  select doc_id, line_no, license, template_id, 2 * len(list_intersect(l.g, t.g))::double / (len(l.g) + len(t.g)) as dice, 200 * len(list_intersect(l.g, t.g)) >= {license_scan.MATCH} * (len(l.g) + len(t.g)) as hit
+  select uid, doc_id, line_no, license, template_id, 2 * len(list_intersect(l.g, t.g))::double / (len(l.g) + len(t.g)) as dice, 200 * len(list_intersect(l.g, t.g)) >= {license_scan.MATCH} * (len(l.g) + len(t.g)) as hit
   from l join t on 2 * least(len(l.g), len(t.g)) * 100 >= {license_scan.MATCH} * (len(l.g) + len(t.g))
 )
 select doc_id, line_no::int as line_no, license, template_id::int as template_id, dice from p where hit
-qualify row_number() over (partition by doc_id, line_no order by dice desc, template_id) = 1
+qualify row_number() over (partition by uid, line_no order by dice desc, template_id) = 1
 """
 
 _OP6_SQL = f"""
@@ -175,14 +175,14 @@ select s.doc_id, len(s.s) as n_shingles, component_id, s.doc_id = component_id a
 
 _OP4_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  select row_number() over () as uid, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
-  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+  select q.uid as asked, c.uid, q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and q.uid <> c.uid
 )
-select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s
-qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5
+select query_id, row_number() over (partition by asked order by score desc, vec_id, uid)::int as rank, vec_id, score from s
+qualify row_number() over (partition by asked order by score desc, vec_id, uid) <= 5
 """
 
 _OP11_SQL = """

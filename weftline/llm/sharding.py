@@ -21,7 +21,7 @@ def _empty_text(text):
 def interleave(docs: DataFrame, shards: int = 8, seed: str = "weftline", text: str = "text", source: str = "source", key: str = "doc_id", group_rows: int = GROUP_ROWS) -> DataFrame:
     """Puts every row of `docs` into one of `shards` shards, each with the mixture of sources of the whole.
 
-    Rows of a source are shuffled by the MD5 of seed and key; row k of n (from 1) has the fractional rank
+    Rows of a source are shuffled by the MD5 of seed, key, checksum and size; row k of n (from 1) has the fractional rank
     (2k - 1) / 2n. All rows are ordered by it and cut into equal runs, so shard sizes differ by one row at most and
     every source has its share of each shard, but for rows of equal rank that a cut divides: one a source at most.
 
@@ -32,8 +32,8 @@ def interleave(docs: DataFrame, shards: int = 8, seed: str = "weftline", text: s
 
     Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, law `rows`, shard, slot (from 0, without gaps) and
     grown_shard (null: this law does not keep rows in place when shards are added).
-    A null text counts as empty (size 1, checksum 0). A null source is a source of its own. A null or repeated key
-    is shuffled by the text's checksum and size next; rows alike in all of these are interchangeable. An empty table
+    A null text counts as empty (size 1, checksum 0). A null source is a source of its own. Rows with a null key
+    are shuffled by their place in the table as well; rows alike in key and text are interchangeable. An empty table
     gives no rows; other columns of `docs` are ignored.
     """
     if shards < 1 or group_rows < 1:
@@ -42,10 +42,12 @@ def interleave(docs: DataFrame, shards: int = 8, seed: str = "weftline", text: s
     slim = docs.select(
         F.col(key).alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(F.encode(raw, "UTF-8")).alias("text_crc32"),
         F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("")).alias("src"),
-        F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))).alias("h"),
     )
-    # Key alone orders rows; the checksum also spreads rows that repeat a key over groups' ends.
-    per_source = Workspace(docs.sparkSession, "sharding").save(slim.groupBy("src").agg(F.count("*").alias("n")))
+    # Checksum and size spread rows that repeat a key; a written row has a number of its own, which spreads those without a key.
+    ws = Workspace(docs.sparkSession, "sharding")
+    slim = ws.save(slim.withColumn("uid", F.monotonically_increasing_id()))
+    slim = slim.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), F.when(F.col("doc_id").isNull(), F.col("uid").cast("string")), "text_crc32", "size")))
+    per_source = ws.save(slim.groupBy("src").agg(F.count("*").alias("n")))
     total = docs.count()  # from the file footers
     groups = max(1, -(-total // group_rows))
     unit = F.conv(F.substring("h", 1, 8), 16, 10).cast("long")

@@ -24,6 +24,8 @@ HELD_KEYS, ENTRY_BYTES = 1 << 20, 24
 PART_BYTES = 32 << 20
 #: Rows of a table of a few numbers that may be broadcast; as a hashed relation they take 50 MB at most or so.
 BROADCAST_ROWS = 1 << 19
+#: Nodes that a task remembers, and pairs of one node that one task gets.
+SEEN_NODES, HUB_PAIRS = 1 << 19, 1024
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _PAIRS = np.uint64(0x5555555555555555)
 
@@ -245,8 +247,8 @@ def meet(rows: DataFrame, entries: Callable, keys: int, limit: int, ws: Workspac
     return ws.save(sent.repartitionById(parts, "part").mapInArrow(meeting(limit), "a long, b long, folded boolean"))
 
 
-def once(found: DataFrame, ws: Workspace) -> DataFrame:
-    """(node, payload), written, each node once; a node that many rows repeat should come once from each task."""
+def once(found: DataFrame, n: int, ws: Workspace) -> DataFrame:
+    """(node, payload), written, each node once; a node that many rows repeat should come once from each task. There are `n` nodes at most, so a task remembers SEEN_NODES of them or so."""
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -257,7 +259,7 @@ def once(found: DataFrame, ws: Workspace) -> DataFrame:
                     fresh.append(i)
             yield batch.take(pa.array(fresh, pa.int64()))
 
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // SEEN_NODES))
     return ws.save(found.repartition(parts, "node").mapInArrow(first, "node long, payload binary"))
 
 
@@ -277,7 +279,7 @@ def link(met: DataFrame, payloads_of: Callable[[DataFrame, int], DataFrame], dec
     met = ws.save(met.distinct())
     pairs = met.select("a", "b")
     payloads = payloads_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), 2 * pairs.count())
-    links = ws.save(_confirm(pretest(pairs), payloads, decode, least))
+    links = ws.save(_confirm(pretest(pairs), payloads, decode, least, ws))
     roots = components(links, ws)
     small = sized_broadcast(roots)
     label = lambda df, c: df.join(small.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
@@ -384,8 +386,11 @@ def _shareable(payloads: DataFrame, decode) -> DataFrame:
     return own.groupBy("node").agg(F.max(F.when(F.col("size"), F.col("n"))).alias("n"), F.count_if(~F.col("size")).alias("u")).select("node", "n", (F.col("n") - F.col("u")).alias("m"))
 
 
-def _confirm(pairs: DataFrame, payloads: DataFrame, decode, least: int) -> DataFrame:
-    """The pairs (a, b) whose full sets pass. A node that is in many pairs of a batch is decoded once."""
+def _confirm(pairs: DataFrame, payloads: DataFrame, decode, least: int, ws: Workspace) -> DataFrame:
+    """The pairs (a, b) whose full sets pass. A node that is in many pairs of a batch is decoded once.
+
+    Sets of b are joined first, each pair's own; those of an a with many pairs are then sent to as many tasks as its pairs fill, HUB_PAIRS each.
+    """
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo, hi in slices(whole.column(2), DECODED_BYTES):
@@ -405,5 +410,14 @@ def _confirm(pairs: DataFrame, payloads: DataFrame, decode, least: int) -> DataF
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
     side = lambda c: payloads.select(F.col("node").alias(c), F.col("payload").alias(f"s{c}"))
-    wide = pairs.join(side("a"), "a").join(side("b"), "b")
+    pairs = ws.save(pairs)
+    hubs = ws.save(pairs.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > HUB_PAIRS).select("a", F.ceil(F.col("c") / HUB_PAIRS).cast("int").alias("shares")))
+    wide, of_a = pairs.join(side("b"), "b"), side("a")
+    if hubs.isEmpty():
+        wide = wide.join(of_a, "a")
+    else:
+        share = F.coalesce(F.pmod(F.xxhash64("b"), F.col("shares")).cast("int"), F.lit(0)).alias("share")
+        wide = wide.join(sized_broadcast(hubs), "a", "left").select("a", "b", "sb", share)
+        of_a = of_a.join(sized_broadcast(hubs), "a", "left").select("a", "sa", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("share"))
+        wide = wide.join(of_a, ["a", "share"])
     return wide.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
