@@ -139,7 +139,7 @@ def test_histogram(spark):
     for parts in (1, 7):
         got: dict = {}
         for r in histogram.histogram(df.repartition(parts), "x", "k", 16).collect():
-            got.setdefault(r.by, []).append((r.low, r.high, r.n, r.density))
+            got.setdefault(r.kind, []).append((r.low, r.high, r.n, r.density))
         assert got.keys() == values.keys()
         for k, v in values.items():
             found = sorted(got[k])

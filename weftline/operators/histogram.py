@@ -22,7 +22,7 @@ def _fit(places: np.ndarray, counts: np.ndarray, exponent: int, bins: int) -> tu
 
 
 def histogram(rows: DataFrame, value: str, by: str, bins: int = 64) -> DataFrame:
-    """by, low, high, n and density (n over all values of the class and the width) of the bins that have values.
+    """kind, low, high, n and density (n over all values of the class and the width) of the bins that have values.
 
     A bin is [k * 2**e, (k + 1) * 2**e), with the least e (from FINEST) for which the values of a class lie in `bins` bins. Each task keeps at most `bins` counts of a class and widens them as values come;
     what tasks found is widened to the widest and added. So the result doesn't depend on how rows are dealt. Nulls, infinities and NaN are left out; numbers beyond 2**20 * `bins` begin with wider bins.
@@ -50,16 +50,16 @@ def histogram(rows: DataFrame, value: str, by: str, bins: int = 64) -> DataFrame
                 held[k] = _fit(places, counts, exponent, bins)
         for k, (places, counts, e) in held.items():
             name = None if k == "None" else k[1:]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(places), pa.string()), pa.array(places), pa.array(counts), pa.array([e] * len(places), pa.int32())], ["by", "place", "n", "e"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(places), pa.string()), pa.array(places), pa.array(counts), pa.array([e] * len(places), pa.int32())], ["kind", "place", "n", "e"])
 
-    parts = rows.select(F.col(by).cast("string").alias("by"), F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull()).mapInArrow(count, "by string, place long, n long, e int")
+    parts = rows.select(F.col(by).cast("string").alias("kind"), F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull()).mapInArrow(count, "kind string, place long, n long, e int")
     # At most `bins` rows of a class and task: widened to the widest, then as far as their common range asks for.
-    widest = parts.groupBy("by", "e").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.sum("n").alias("n"))
-    widest = widest.groupBy("by").agg(F.max("e").alias("top"), F.collect_list(F.struct("e", "lo", "hi")).alias("ends"), F.sum("n").alias("total"))
+    widest = parts.groupBy("kind", "e").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.sum("n").alias("n"))
+    widest = widest.groupBy("kind").agg(F.max("e").alias("top"), F.collect_list(F.struct("e", "lo", "hi")).alias("ends"), F.sum("n").alias("total"))
     lows, highs = (F.expr(f"{f}(transform(ends, x -> shiftright(x.{c}, top - x.e)))") for f, c in (("array_min", "lo"), ("array_max", "hi")))
     more = F.expr(f"element_at(filter(sequence(0, 62), d -> shiftright(hi, d) - shiftright(lo, d) < {bins}), 1)")
-    widest = widest.select("by", "top", "total", lows.alias("lo"), highs.alias("hi")).select(F.col("by").alias("_by"), "total", "top", more.alias("more"))
-    wide = parts.join(widest, F.col("by").eqNullSafe(F.col("_by"))).withColumn("e2", F.col("top") + F.col("more"))
-    out = wide.groupBy("by", "e2", "total", F.expr("shiftright(place, e2 - e)").alias("k")).agg(F.sum("n").alias("n"))
+    widest = widest.select("kind", "top", "total", lows.alias("lo"), highs.alias("hi")).select(F.col("kind").alias("_kind"), "total", "top", more.alias("more"))
+    wide = parts.join(widest, F.col("kind").eqNullSafe(F.col("_kind"))).withColumn("e2", F.col("top") + F.col("more"))
+    out = wide.groupBy("kind", "e2", "total", F.expr("shiftright(place, e2 - e)").alias("k")).agg(F.sum("n").alias("n"))
     width = F.pow(F.lit(2.0), F.col("e2"))
-    return out.select("by", (F.col("k") * width).alias("low"), ((F.col("k") + 1) * width).alias("high"), "n", (F.col("n") / (F.col("total") * width)).alias("density"))
+    return out.select("kind", (F.col("k") * width).alias("low"), ((F.col("k") + 1) * width).alias("high"), "n", (F.col("n") / (F.col("total") * width)).alias("density"))

@@ -558,10 +558,11 @@ def affix_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Values and arrays.
 
-@query("""with x as (select event_type as by, value as x from events where value is not null and isfinite(value)),
-e as (select by, min(e) as e, any_value(n) as n from (select by, min(x) as lo, max(x) as hi, count(*) as n from x group by by), range(-40, 60) r(e) where floor(hi / pow(2.0, e)) - floor(lo / pow(2.0, e)) < 32 group by by),
-k as (select x.by, e, n, floor(x / pow(2.0, e)) as k from x join e on x.by is not distinct from e.by)
-select by, k * pow(2.0, e) as low, (k + 1) * pow(2.0, e) as high, count(*) as n, count(*) / (any_value(n) * pow(2.0, e)) as density from k group by by, e, k""")
+@query("""with x as (select event_type as kind, value as x from events where value is not null and isfinite(value)),
+r as (select kind, min(x) as lo, max(x) as hi, count(*) as n from x group by kind),
+e as (select kind, min(e) as e, any_value(n) as n from r, range(-40, 60) w(e) where floor(hi / pow(2.0, e)) - floor(lo / pow(2.0, e)) < 32 group by kind),
+k as (select x.kind, e, n, floor(x / pow(2.0, e)) as k from x join e on x.kind is not distinct from e.kind)
+select kind, k * pow(2.0, e) as low, (k + 1) * pow(2.0, e) as high, count(*) as n, count(*) / (any_value(n) * pow(2.0, e)) as density from k group by kind, e, k""")
 def value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The normalised histogram of the values of each type of event, in one pass."""
     return histogram.histogram(_t(spark, sf_dir, "events"), "value", "event_type", 32)
