@@ -45,6 +45,26 @@ def test_stages(spark, tmp_path):
     assert seen["packing"].keys() == seen["decontamination"].keys()
 
 
+def test_near_copies_that_share_lines(spark, tmp_path):
+    """Of near copies whose lines are mostly repeats, what line dedup leaves goes too, while the first document of each group stays, and so do others that share a line."""
+    rng = random.Random(9)
+    line = lambda n: " ".join("".join(rng.choice("abcdeghkmnor") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    docs = [(i, "\n".join(line(12) for _ in range(10)), "en", "s", 1) for i in range(40)]
+    shared = line(12)
+    for i in range(10):  # one line of ten is another one
+        docs.append((100 + i, docs[i][1].rsplit("\n", 1)[0] + "\n" + line(12), "en", "s", 1))
+        docs.append((200 + i, "\n".join([shared] + [line(12) for _ in range(9)]), "en", "s", 1))
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    now = spark.createDataFrame(docs, kind)
+    now.write.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+    left = [{r.doc_id for r in spark.read.parquet(str(tmp_path / name)).collect()} for name in ("line_dedup", "minhash_dedup")]
+    assert {100 + i for i in range(10)} <= left[0]
+    assert left[1] == {*range(40), *range(200, 210)}
+
+
 def test_run_gives_packed_pieces(spark):
     from pathlib import Path
 
@@ -61,6 +81,7 @@ def test_odd_rows(spark, tmp_path):
     rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, None, None, None, None), (3, "", "en", None, 0), (None, "some words without an id stay where they are", None, "s", None), (4, " \n ", "en", "s", 3), (5, "long " * 30_000, "en", "s", 150_000)]
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "documents.parquet"))
     for docs, want in ((spark.createDataFrame(rows, kind), len(rows)), (spark.createDataFrame([], kind), 0)):
         docs = docs.withColumns({c: F.lit("own") for c in ("row", "kept", "node", "score", "_lost", "n_words")})
         for name, stage in corpus_pipeline.STAGES[:-1]:
