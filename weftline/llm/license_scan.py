@@ -211,26 +211,28 @@ def scan_blocks(docs: DataFrame, templates, match: int, ws: Workspace) -> DataFr
     table = ws.save(table.withColumn("need", F.expr(f"cast(ceil(m * {match} / {200 - match}) as int)")).withColumn("most", F.expr(f"cast(floor(m * {200 - match} / {match}) as int)")))
     hint = F.broadcast if sum(len(b) for _, b in templates) <= BROADCAST_BYTES else lambda df: df
     marks = table.select("template_id", F.explode("grams").alias("gram"))
-    grams = ws.save(_document_bigrams(docs))
+    grams = _document_bigrams(docs)
     pairs = grams.select("uid", "gram").join(hint(marks), "gram").groupBy("uid", "template_id").agg(F.count_distinct("gram").alias("c"))
     pairs = ws.save(pairs.join(hint(table.select("template_id", "need", "most", "m", "license")), "template_id").where("c >= need").drop("c"))
+    # Words of a document are dealt to stretches of 2 ** bits, twice the bound of its longest template.
+    wanted = ws.save(pairs.groupBy("uid").agg(F.ceil(F.log2(2 * F.max("most") + 2)).cast("int").alias("bits")))
     own = Window.partitionBy("uid", "gram")
-    found = grams.join(sized_broadcast(pairs.select("uid").distinct()), "uid", "left_semi")
+    found = _document_bigrams(docs.join(sized_broadcast(wanted.select("uid")), "uid", "left_semi"))
     found = ws.save(found.withColumn("prev", F.coalesce(F.lag("p").over(own.orderBy("p")), F.lit(-1))).withColumn("ends", F.lead("p").over(own.orderBy("p")).isNull()))
     # h: how many of the template's bigrams occur from a sentence on.
     hits = found.join(hint(marks), "gram").join(pairs, ["uid", "template_id"])
-    starts = hits.groupBy("uid", "template_id", "license", "m", "need", "most", "unit", F.col("line").alias("line_no"), "first").agg(F.count_if("ends").alias("h"))
+    starts = hits.groupBy("uid", "template_id", "license", "m", "need", "most", "unit", F.col("line").alias("line_no"), "first").agg(F.count_if("ends").alias("h")).join(sized_broadcast(wanted), "uid")
     after = Window.partitionBy("uid", "template_id").orderBy(F.desc("unit"))
-    starts = ws.save(starts.withColumn("h", F.sum("h").over(after)).where("h >= need").drop("need").withColumn("bits", F.ceil(F.log2(2 * F.col("most") + 2)).cast("int")))
+    starts = ws.save(starts.withColumn("h", F.sum("h").over(after)).where("h >= need").drop("need"))
     length = found.groupBy("uid").agg(F.max("p").alias("end"))
     known = hint(marks.select("gram", "template_id", F.lit(1).alias("is")))
     run = ["uid", "template_id", "license", "m", "most", "h", "bits", "unit", "line_no", "first"]
-    best = None
+    best, wider = None, 0
     while True:
-        # A start meets the words of its stretch of 2 ** bits, and of the next one, as far as that many words behind it.
-        lengths = starts.select("uid", "bits").distinct()
-        placed = found.join(lengths, "uid").select("uid", "bits", F.expr("shiftright(p, bits)").alias("stretch"), "p", "prev", "gram", "end_unit", "end_line")
-        met = starts.withColumn("stretch", F.explode(F.expr("array(shiftright(first, bits), shiftright(first, bits) + 1)"))).join(placed, ["uid", "bits", "stretch"])
+        # A start meets the words of its stretch and of the next one, as far as a stretch's length behind it.
+        placed = found.join(sized_broadcast(wanted.withColumn("bits", F.least(F.col("bits") + wider, F.lit(40)))), "uid")
+        placed = placed.select("uid", F.expr("shiftright(cast(p as bigint), bits)").alias("stretch"), "p", "prev", "gram", "end_unit", "end_line")
+        met = starts.withColumn("stretch", F.explode(F.expr("array(shiftright(cast(first as bigint), bits), shiftright(cast(first as bigint), bits) + 1)"))).join(placed, ["uid", "stretch"])
         inside = met.where((F.col("p") >= F.col("first")) & (F.col("p") < F.col("first") + F.expr("shiftleft(1L, bits)")) & (F.col("prev") < F.col("first")))
         ends = inside.join(known, ["gram", "template_id"], "left").groupBy(*run, "end_unit").agg(F.min("end_line").alias("end_line"), F.count("*").alias("n"), F.count("is").alias("c"))
         up_to = Window.partitionBy("uid", "template_id", "unit").orderBy("end_unit")
@@ -242,6 +244,7 @@ def scan_blocks(docs: DataFrame, templates, match: int, ws: Workspace) -> DataFr
         some = reached.where("b is not null").select("uid", "unit", "line_no", "b")
         best = some if best is None else best.union(some)
         starts = reached.where("n <= most and c < h").join(length, "uid").where("first + shiftleft(1L, bits) <= end").select(*run).withColumn("bits", F.least(F.col("bits") + 3, F.lit(40)))
+        wider += 3
         if starts.isEmpty():
             break
         starts = ws.save(starts)
