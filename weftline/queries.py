@@ -368,7 +368,7 @@ def crawl_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = archive.reader(f"{tables.root}/archive")
     answer = lambda item, attempt: (503, None) if attempt <= len(item["url"]) % 6 else (200, body(item))
     out = f"{tables.root}/attempts"
-    run = worker.start(stream, "url", answer, out, f"{tables.root}/checkpoint", worker.Policy(busy_wait=1, other_wait=1), carry=("url", "ts"))
+    run = worker.start(stream, "url", answer, out, f"{tables.root}/checkpoint", worker.Policy(busy_wait=1, other_wait=1), "2 seconds", ("url", "ts"))
     worker.finish(spark, run, out, "url")
     saved, failed = worker.results(spark, out, web.extract_pages)
     shape = lambda df, good: df.select("url", "ts", F.col("attempt").alias("attempts"), "code", F.lit(good).alias("saved"), F.md5("text" if good else F.lit(None).cast("string")).alias("digest"))

@@ -38,25 +38,27 @@ class Policy:
 
 
 class Fetcher(StatefulProcessor):
-    """State of a key: the item while it waits for its next attempt, with a timer; afterwards a mark that it is done."""
+    """State of a key: the item with its last attempt and whether it is done; while it isn't, there is a timer for the next attempt.
 
-    def __init__(self, columns: list[str], waiting: ty.StructType, transport: Transport, policy: Policy):
-        self.columns, self.waiting, self.transport, self.policy = columns, waiting, transport, policy
+    One state of a few columns, as each call on a state is a message to the JVM.
+    """
+
+    def __init__(self, columns: list[str], kept: ty.StructType, transport: Transport, policy: Policy):
+        self.columns, self.kept, self.transport, self.policy = columns, kept, transport, policy
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getValueState("pending", self.waiting)
-        self.done = handle.getValueState("done", "code int")
+        self.state = handle.getValueState("item", self.kept)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         item = None
         for row in rows:
             item = item or row  # the first one; the same item again is skipped
-        if not self.done.exists() and not self.pending.exists():
+        if not self.state.exists():
             yield self._try([item[c] for c in self.columns], 1, timerValues)
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        *item, attempt = self.pending.get()
+        *item, attempt, _ = self.state.get()
         yield self._try(item, attempt + 1, timerValues)
 
     def _try(self, item: list, attempt: int, now: TimerValues) -> Row:
@@ -66,11 +68,9 @@ class Fetcher(StatefulProcessor):
             code, body = 0, None
         good = self.policy.answered(code, body)
         final = good or attempt >= self.policy.attempts
-        if final:
-            self.pending.clear()
-            self.done.update((code,))
-        else:
-            self.pending.update((*item, attempt))
+        # Of an item that is done the key alone matters.
+        self.state.update((*([None] * len(item) if final else item), attempt, final))
+        if not final:
             self.handle.registerTimer(now.getCurrentProcessingTimeInMs() + self.policy.wait(code, attempt))
         return Row(**dict(zip(self.columns, item, strict=True)), attempt=attempt, code=code, final=final, body=body if good else None)
 
@@ -78,6 +78,12 @@ class Fetcher(StatefulProcessor):
         pass
 
 
+#: The state store of a worker: changes are written after each batch, not the whole store, and the last few batches are kept.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.minBatchesToRetain": "3",
+}
 ATTEMPT = (ty.StructField("attempt", ty.IntegerType()), ty.StructField("code", ty.IntegerType()), ty.StructField("final", ty.BooleanType()), ty.StructField("body", ty.StringType()))
 
 
@@ -91,19 +97,17 @@ def start(items: DataFrame, key: str, transport: Transport, out: str, checkpoint
     spark = items.sparkSession
     columns = items.columns
     schema = ty.StructType([*items.schema.fields, *ATTEMPT])
-    waiting = ty.StructType([ty.StructField(f"_{f.name}", f.dataType, True) for f in items.schema.fields] + [ty.StructField("attempt", ty.IntegerType())])
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kept = ty.StructType([ty.StructField(f"_{f.name}", f.dataType, True) for f in items.schema.fields] + [ty.StructField("attempt", ty.IntegerType()), ty.StructField("done", ty.BooleanType())])
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():
+        spark.conf.set(name, value)  # a query keeps what the session has when it starts
     try:
-        rows = items.groupBy(key).transformWithState(Fetcher(columns, waiting, transport, policy), schema, "append", "ProcessingTime")
+        rows = items.groupBy(key).transformWithState(Fetcher(columns, kept, transport, policy), schema, "append", "ProcessingTime")
         rows = rows.select(*(carry or columns), *[f.name for f in ATTEMPT])
         return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def attempts(spark: SparkSession, out: str) -> DataFrame | None:
