@@ -84,7 +84,20 @@ def test_nearest_in_blocks(spark, monkeypatch):
     words = spark.createDataFrame(rows, "word long, vec array<double>")
     whole = sorted(tuple(r) for r in vectors.nearest(words.where("word < 30"), words, 3).collect())
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(vectors, "WORD_BLOCK", 11)
     assert sorted(tuple(r) for r in vectors.nearest(words.where("word < 30"), words, 3).collect()) == whole and len(whole) == 90
+    x = np.array([v for _, v in rows])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = np.round(unit @ unit.T, 6)
+    assert whole == sorted((q, i, near[q, i], rank) for q in range(30) for rank, i in enumerate(sorted((i for i in range(60) if i != q), key=lambda i: (-near[q, i], i))[:3], 1))
+
+
+def test_nearest_of_odd_vectors(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [2.0, 0.0]), ("d", [0.0, 0.0]), ("e", None), ("f", [-1.0, 0.0]), ("g", [0.0, 3.0])]
+    words = spark.createDataFrame(rows, "word string, vec array<float>").repartition(3)
+    got = [(r.query, r.word, r.cosine, r["rank"]) for r in vectors.nearest(words.where("word in ('a', 'd', 'e')"), words, 3).orderBy("query", "rank").collect()]
+    assert got == [("a", "b", 1.0, 1), ("a", "c", 1.0, 2), ("a", "g", 0.0, 3)]
+    assert vectors.nearest(words.limit(0), words, 3).count() == 0
 
 
 def test_reduced_vectors_against_numpy(spark):

@@ -84,6 +84,7 @@ def truncated_svd(weights: DataFrame, k: int, key: str = "doc_id", rounds: int =
 
         schema = ", ".join(f"{c} double" for c in columns) + ", i long"
         total = rows.mapInPandas(product, schema).groupBy("i").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
+        shared.destroy()
         out = np.zeros_like(q)
         out[total["i"].to_numpy()] = total[columns].to_numpy()
         return out
@@ -102,26 +103,70 @@ def as_dictionary(spark, terms: list[str], vectors: np.ndarray) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"word": terms, "vec": [v.tolist() for v in vectors]}), "word string, vec array<double>")
 
 
-#: Queries that are broadcast at once.
-QUERY_BLOCK = 10_000
+#: Queries that are broadcast at once, and vectors compared with them at once.
+QUERY_BLOCK, WORD_BLOCK = 10_000, 1_024
+
+
+def _units(lists: pa.Array) -> np.ndarray:
+    """Rows of vectors of one length divided by their norms; NaN where that is 0 or a component is missing."""
+    x = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.sqrt((x * x).sum(1))[:, None]
 
 
 def nearest(queries: DataFrame, words: DataFrame, k: int = 8, key: str = "word", vec: str = "vec") -> DataFrame:
-    """(query, rank, key, cosine) of the k words nearest to each query, without itself.
+    """(query, rank, key, cosine) of the k words nearest to each query, without itself; ties go to the smaller key.
 
-    Queries are a stated set. They are compared in blocks of about QUERY_BLOCK, each of which is broadcast by itself, so the broadcast has a bound
-    however many there are; each task keeps k rows a query before the shuffle.
+    Queries are a stated set. Their unit vectors are written once and broadcast in blocks of about QUERY_BLOCK; every task multiplies its words with a block and keeps the best k rows a query, so the
+    shuffle moves k rows a query and task. Null vectors take no part, and those without length have no cosine. All vectors must have the same length.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    q = queries.select(F.col(key).alias("query"), F.col(vec).alias("_q"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_block"))
-    words = words.select(key, F.col(vec).alias("_v"))
-    order = Window.partitionBy("query").orderBy(F.desc("cosine"), key)
+    spark = words.sparkSession
+    tables = SharedTables(spark, "nearest")
+    asked = tables.save(queries.where(F.col(vec).isNotNull()).select(F.col(key).alias("query"), F.col(vec).cast("array<double>").alias("v")), "queries")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    rows = words.where(F.col(vec).isNotNull()).select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("v"))
+    kind = dict(queries.dtypes)[key]
     out = None
     for i in range(blocks):
-        pairs = words.join(F.broadcast(q.where(F.col("_block") == i).drop("_block")), F.col(key) != F.col("query")).select("query", key, F.round(V.cosine(F.col("_q"), F.col("_v")), 6).alias("cosine"))
-        best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        out = best if out is None else out.union(best)
-    return out
+        table = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i).toArrow().combine_chunks()
+        shared = spark.sparkContext.broadcast((table["query"].combine_chunks(), _units(table["v"].combine_chunks()) if table.num_rows else None))
+
+        def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            held = None  # the best k of each query so far: keys in their order, and cosines
+            for batch in batches:
+                for lo in range(0, batch.num_rows if q is not None else 0, WORD_BLOCK):
+                    part = batch.slice(lo, WORD_BLOCK)
+                    near = np.round(q @ _units(part.column(1)).T, 6)
+                    keys = np.array(part.column(0).to_pylist(), object)
+                    at = {x: j for j, x in enumerate(keys.tolist())}
+                    own = np.array([at.get(n, -1) for n in names.to_pylist()])
+                    hit = np.flatnonzero(own >= 0)
+                    near[hit, own[hit]] = np.nan
+                    every = np.broadcast_to(keys, near.shape)
+                    if held is not None:
+                        every, near = np.concatenate([held[0], every], 1), np.concatenate([held[1], near], 1)
+                    held = _best(every, near, k)
+            if held is not None:
+                row, column = np.nonzero(~np.isnan(held[1]))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), pa.array(held[0][row, column].tolist(), names.type), pa.array(held[1][row, column])], ["query", "key", "cosine"])
+
+        found = rows.mapInArrow(compare, f"query {kind}, key {kind}, cosine double")
+        out = found if out is None else out.union(found)
+    order = Window.partitionBy("query").orderBy(F.desc("cosine"), "key")
+    ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query", F.col("key").alias(key), "cosine", "rank")
+
+
+def _best(keys: np.ndarray, cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest cosines of each row with their keys; of equal ones at the edge those with the smaller keys, NaN last."""
+    score = np.where(np.isnan(cosines), -np.inf, cosines)
+    n = min(k, score.shape[1])
+    pick = np.argpartition(-score, n - 1, axis=1)[:, :n]
+    edge = np.take_along_axis(score, pick, 1).min(1)
+    for r in np.flatnonzero((score >= edge[:, None]).sum(1) > n).tolist():  # ties at the edge
+        pick[r] = sorted(np.flatnonzero(score[r] >= edge[r]).tolist(), key=lambda j, r=r: (-score[r, j], keys[r, j]))[:n]
+    return np.take_along_axis(keys, pick, 1), np.take_along_axis(cosines, pick, 1)
 
 
 def pair_cosine(pairs: DataFrame, words: DataFrame, key: str = "word", vec: str = "vec") -> DataFrame:
@@ -271,6 +316,7 @@ def cbow(sentences: DataFrame, dim: int = 100, window: int = 5, min_count: int =
         parts = sentences.mapInPandas(train, "i long, n double, u array<double>, v array<double>")
         sums = [F.sum(F.try_element_at(c, F.lit(j + 1))).alias(f"{c}{j}") for c in ("u", "v") for j in range(dim)]
         total = parts.groupBy("i").agg(F.sum("n").alias("n"), *sums).toPandas()
+        shared.destroy()
         at, n = total["i"].to_numpy(), total["n"].to_numpy()[:, None]
         inner[at] = total[[f"u{j}" for j in range(dim)]].to_numpy() / n
         outer[at] = total[[f"v{j}" for j in range(dim)]].to_numpy() / n
