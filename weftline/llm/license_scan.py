@@ -220,7 +220,8 @@ def scan_blocks(docs: DataFrame, templates, match: int, ws: Workspace) -> DataFr
     found = _document_bigrams(docs.join(sized_broadcast(wanted.select("uid")), "uid", "left_semi"))
     found = ws.save(found.withColumn("prev", F.coalesce(F.lag("p").over(own.orderBy("p")), F.lit(-1))).withColumn("ends", F.lead("p").over(own.orderBy("p")).isNull()))
     # h: how many of the template's bigrams occur from a sentence on.
-    hits = found.join(hint(marks), "gram").join(pairs, ["uid", "template_id"])
+    # Joins of documents' own rows are by shuffle at every size, so that a small table's figures tell those of a large one.
+    hits = found.join(hint(marks), "gram").join(pairs.hint("merge"), ["uid", "template_id"])
     starts = hits.groupBy("uid", "template_id", "license", "m", "need", "most", "unit", F.col("line").alias("line_no"), "first").agg(F.count_if("ends").alias("h")).join(sized_broadcast(wanted), "uid")
     after = Window.partitionBy("uid", "template_id").orderBy(F.desc("unit"))
     starts = ws.save(starts.withColumn("h", F.sum("h").over(after)).where("h >= need").drop("need"))
@@ -232,7 +233,7 @@ def scan_blocks(docs: DataFrame, templates, match: int, ws: Workspace) -> DataFr
         # A start meets the words of its stretch and of the next one, as far as a stretch's length behind it.
         placed = found.join(sized_broadcast(wanted.withColumn("bits", F.least(F.col("bits") + wider, F.lit(40)))), "uid")
         placed = placed.select("uid", F.expr("shiftright(cast(p as bigint), bits)").alias("stretch"), "p", "prev", "gram", "end_unit", "end_line")
-        met = starts.withColumn("stretch", F.explode(F.expr("array(shiftright(cast(first as bigint), bits), shiftright(cast(first as bigint), bits) + 1)"))).join(placed, ["uid", "stretch"])
+        met = starts.withColumn("stretch", F.explode(F.expr("array(shiftright(cast(first as bigint), bits), shiftright(cast(first as bigint), bits) + 1)"))).join(placed.hint("merge"), ["uid", "stretch"])
         inside = met.where((F.col("p") >= F.col("first")) & (F.col("p") < F.col("first") + F.expr("shiftleft(1L, bits)")) & (F.col("prev") < F.col("first")))
         ends = inside.join(known, ["gram", "template_id"], "left").groupBy(*run, "end_unit").agg(F.min("end_line").alias("end_line"), F.count("*").alias("n"), F.count("is").alias("c"))
         up_to = Window.partitionBy("uid", "template_id", "unit").orderBy("end_unit")
