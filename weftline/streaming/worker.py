@@ -78,10 +78,11 @@ class Fetcher(StatefulProcessor):
         pass
 
 
-#: The state store of a worker: changes are written after each batch, not the whole store, and the last few batches are kept.
+#: The state store of a worker: changes are written after each batch, not the whole store; the last few batches are kept; many small stores set no space aside.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.minBatchesToRetain": "3",
 }
 ATTEMPT = (ty.StructField("attempt", ty.IntegerType()), ty.StructField("code", ty.IntegerType()), ty.StructField("final", ty.BooleanType()), ty.StructField("body", ty.StringType()))
