@@ -162,3 +162,32 @@ def test_histogram(spark):
                 assert n == ((v >= lo) & (v < h)).sum() and h - lo == width and lo % width == 0
             spread = lambda w: np.floor(v.max() / w) - np.floor(v.min() / w)  # noqa: B023, E731
             assert spread(width) < 16 and (spread(width / 2) >= 16 or width <= 2.0**histogram.FINEST * max(1, np.abs(v).max() / 2.0**20))
+
+
+def test_kmeans_gives_the_nearest_centre(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(4, 5)) * 20
+    x = np.array([centres[i % 4] + rng.normal(size=5) for i in range(200)])
+    words = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "word int, vec array<double>")
+    got = np.array([r.cluster for r in vectors.clusters(words, k=4).orderBy("word").collect()])
+    means = np.array([x[got == c].mean(0) for c in range(4)])
+    assert (np.argmin(((x[:, None] - means) ** 2).sum(2), 1) == got).all()
+    assert all(len(set(got[i::4])) == 1 for i in range(4)) and len(set(got)) == 4
+
+
+def test_principal_components_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(120, 6)) @ rng.normal(size=(6, 6)) + 3
+    words = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "word int, vec array<double>")
+    got = np.array([r.pc for r in vectors.principal_components(words).orderBy("word").collect()])
+    values, directions = np.linalg.eigh(np.cov(x.T))
+    want = (x - x.mean(0)) @ directions[:, np.argsort(-values)[:2]]
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-6)
+
+
+def test_skip_gram_brings_like_words_together(spark):
+    rng = np.random.default_rng(0)
+    rows = [(["x" + str(rng.integers(3)) if s else "y" + str(rng.integers(3)) for _ in range(8)],) for s in rng.integers(0, 2, 400)]
+    got = {r.word: np.array(r.vec) for r in vectors.skip_gram(spark.createDataFrame(rows, "tokens array<string>")).collect()}
+    cos = lambda a, b: got[a] @ got[b] / np.linalg.norm(got[a]) / np.linalg.norm(got[b])
+    assert cos("x0", "x1") > cos("x0", "y1") and {len(v) for v in got.values()} == {100}
