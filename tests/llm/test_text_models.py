@@ -240,3 +240,68 @@ def test_subwords_of_a_word_are_its_own():
     flat, n = toxicity.subwords([b"ab", "é".encode(), b"longer"])
     alone = [toxicity.subwords([w])[0].tolist() for w in (b"ab", "é".encode(), b"longer")]
     assert flat.tolist() == [x for a in alone for x in a] and n.tolist() == [len(a) for a in alone]
+
+
+def fewest_bins(lengths, capacity):
+    """The least number of bins, by trying every bin for the longest length left."""
+    lengths, best = sorted(lengths, reverse=True), [len(lengths)]
+
+    def place(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(bins)
+            return
+        for free in sorted({f for f in bins if f >= lengths[i]}):
+            at = bins.index(free)
+            place(i + 1, [*bins[:at], free - lengths[i], *bins[at + 1:]])
+        place(i + 1, [*bins, capacity - lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_packing_of_small_instances_is_near_the_fewest_bins():
+    import random
+
+    rng = random.Random(12)
+    worse = 0
+    for _ in range(150):
+        lengths = [rng.randint(1, 100) for _ in range(rng.randint(1, 11))]
+        bins, least = packing.pack_lengths(lengths, 100), fewest_bins(lengths, 100)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= 100 for b in bins)
+        assert len(bins) <= least + 1
+        worse += len(bins) > least
+    assert worse <= 7
+
+
+def test_toxicity_model_is_at_a_minimum_of_its_loss(monkeypatch):
+    """The trained log-odds of a tiny table are those of a softmax on averaged embeddings: moving any parameter against the numeric gradient of the loss gains next to nothing."""
+    import random
+
+    import numpy as np
+
+    from weftline.llm import toxicity
+
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(30)]
+    texts = [" ".join(rng.sample(words, 8) + ["nasty"] * (i % 2)) for i in range(60)]
+    labels = [i % 2 for i in range(60)]
+    model = toxicity.train(texts, labels)
+    values, bias = model.values()
+    bags = []
+    for t in texts:
+        pick = np.append(toxicity.subwords(sorted(set(toxicity.words_of(t))))[0], np.full(toxicity.END_TIMES, toxicity.END))
+        bags.append(pick)
+    odds = np.array([values[b].mean() + bias for b in bags])
+    loss = lambda shift: np.mean(np.log1p(np.exp(-(2 * np.array(labels) - 1) * (odds + shift))))
+    assert loss(0) < 0.1 and all(loss(d) > loss(0) - 0.01 for d in (-0.5, -0.1, 0.1, 0.5))
+    # A numeric gradient of the data term in one embedding against the analytic one: residual times weight times share.
+    nasty = toxicity.subwords(toxicity.words_of("nasty"))[0][0]
+    share = np.array([(b == nasty).mean() for b in bags])
+    residual = 1 / (1 + np.exp(-odds)) - np.array(labels)
+    w = model.weights[:, 1] - model.weights[:, 0]
+    step = 1e-4
+    for k in range(len(w)):
+        moved = lambda d, k=k: np.mean(np.log1p(np.exp(-(2 * np.array(labels) - 1) * (odds + d * share * w[k]))))
+        assert np.isclose((moved(step) - moved(-step)) / (2 * step), np.mean(residual * share * w[k]), atol=1e-5)
