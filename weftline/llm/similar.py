@@ -279,7 +279,7 @@ def link(met: DataFrame, payloads_of: Callable[[DataFrame, int], DataFrame], dec
     met = ws.save(met.distinct())
     pairs = met.select("a", "b")
     payloads = payloads_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), 2 * pairs.count())
-    links = ws.save(_confirm(pretest(pairs), payloads, decode, least, ws))
+    links = ws.save(_confirm(pretest(pairs), payloads, decode, least, _hubs(pairs, ws)))
     roots = components(links, ws)
     small = sized_broadcast(roots)
     label = lambda df, c: df.join(small.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
@@ -386,7 +386,12 @@ def _shareable(payloads: DataFrame, decode) -> DataFrame:
     return own.groupBy("node").agg(F.max(F.when(F.col("size"), F.col("n"))).alias("n"), F.count_if(~F.col("size")).alias("u")).select("node", "n", (F.col("n") - F.col("u")).alias("m"))
 
 
-def _confirm(pairs: DataFrame, payloads: DataFrame, decode, least: int, ws: Workspace) -> DataFrame:
+def _hubs(pairs: DataFrame, ws: Workspace) -> DataFrame:
+    """(a, shares), written, of each a that is in more than HUB_PAIRS pairs."""
+    return ws.save(pairs.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > HUB_PAIRS).select("a", F.ceil(F.col("c") / HUB_PAIRS).cast("int").alias("shares")))
+
+
+def _confirm(pairs: DataFrame, payloads: DataFrame, decode, least: int, hubs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets pass. A node that is in many pairs of a batch is decoded once.
 
     Sets of b are joined first, each pair's own; those of an a with many pairs are then sent to as many tasks as its pairs fill, HUB_PAIRS each.
@@ -410,12 +415,10 @@ def _confirm(pairs: DataFrame, payloads: DataFrame, decode, least: int, ws: Work
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
     side = lambda c: payloads.select(F.col("node").alias(c), F.col("payload").alias(f"s{c}"))
-    pairs = ws.save(pairs)
-    hubs = ws.save(pairs.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > HUB_PAIRS).select("a", F.ceil(F.col("c") / HUB_PAIRS).cast("int").alias("shares")))
-    wide, of_a = pairs.join(side("b"), "b"), side("a")
     if hubs.isEmpty():
-        wide = wide.join(of_a, "a")
+        wide = pairs.join(side("a"), "a").join(side("b"), "b")
     else:
+        wide, of_a = pairs.join(side("b"), "b"), side("a")
         share = F.coalesce(F.pmod(F.xxhash64("b"), F.col("shares")).cast("int"), F.lit(0)).alias("share")
         wide = wide.join(sized_broadcast(hubs), "a", "left").select("a", "b", "sb", share)
         of_a = of_a.join(sized_broadcast(hubs), "a", "left").select("a", "sa", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("share"))
