@@ -231,7 +231,9 @@ def scan_blocks(docs: DataFrame, templates, match: int, ws: Workspace) -> DataFr
     best, wider = None, 0
     while True:
         # A start meets the words of its stretch and of the next one, as far as a stretch's length behind it.
-        placed = found.join(sized_broadcast(wanted.withColumn("bits", F.least(F.col("bits") + wider, F.lit(40)))), "uid")
+        # Later rounds read the documents of the starts that are left.
+        placed = found.join(sized_broadcast(starts.select("uid").distinct()), "uid", "left_semi") if wider else found
+        placed = placed.join(sized_broadcast(wanted.withColumn("bits", F.least(F.col("bits") + wider, F.lit(40)))), "uid")
         placed = placed.select("uid", F.expr("shiftright(cast(p as bigint), bits)").alias("stretch"), "p", "prev", "gram", "end_unit", "end_line")
         met = starts.withColumn("stretch", F.explode(F.expr("array(shiftright(cast(first as bigint), bits), shiftright(cast(first as bigint), bits) + 1)"))).join(placed.hint("merge"), ["uid", "stretch"])
         inside = met.where((F.col("p") >= F.col("first")) & (F.col("p") < F.col("first") + F.expr("shiftleft(1L, bits)")) & (F.col("prev") < F.col("first")))
