@@ -362,8 +362,8 @@ select url, ts, attempts::int as attempts, code::int as code, coalesce(length(te
 def crawl_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest page of every URL, fetched by the worker from an archive that is busy for the first attempts, as many as the URL's length says."""
     tables = SharedTables(spark, "worker")
-    pages = web.newest_per_key(_t(spark, sf_dir, "pages").select("url", F.col("page_id").alias("ts"), "html"), ["url"], "ts", "ts")
-    work = tables.save(archive.pack(pages, "html", f"{tables.root}/archive"), "work")
+    index = tables.save(archive.pack(_t(spark, sf_dir, "pages").select("url", F.col("page_id").alias("ts"), "html"), "html", f"{tables.root}/archive"), "index")
+    work = tables.save(web.newest_per_key(index, ["url"], "ts", "ts"), "work")
     stream = spark.readStream.schema(work.schema).parquet(f"{tables.root}/work")
     body = archive.reader(f"{tables.root}/archive")
     answer = lambda item, attempt: (503, None) if attempt <= len(item["url"]) % 6 else (200, body(item))
