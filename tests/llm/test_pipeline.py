@@ -90,3 +90,34 @@ def test_odd_rows(spark, tmp_path):
             assert docs.where("row <> 'own' or kept <> 'own' or node <> 'own' or score <> 'own' or n_words <> 'own'").count() == 0
         packed = corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()
         assert len(packed) >= want and {r.doc_id for r in packed} == ({1, 2, 3, 4, 5, None} if want else set())
+
+
+def test_own_texts_are_not_compared(spark, tmp_path, monkeypatch):
+    """Near-dedup shuffles no text, and fetches no set of documents that met only their own other text; what goes is the same as when all texts are compared."""
+    from weftline.llm import near_dup
+
+    rng = random.Random(4)
+    line = lambda n: " ".join("".join(rng.choice("abcdeghkmnor") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    came = [(i, "\n".join(line(12) for _ in range(10))) for i in range(60)]
+    came += [(100 + i, came[i][1] + " " + line(3)) for i in range(5)] + [(200, None), (201, "few words"), (None, came[7][1])]
+    now = [(i, t.split("\n", 1)[-1] if i is not None and i % 3 else t) if t else (i, t) for i, t in came if i not in (11, 103)]
+    kind = "doc_id long, text string"
+    spark.createDataFrame(came, kind).write.parquet(str(tmp_path / "documents.parquet"))
+    docs, all_ = spark.createDataFrame(now, kind), spark.read.parquet(str(tmp_path / "documents.parquet"))
+    union = docs.union(all_.join(docs.select("doc_id"), "doc_id", "left_semi"))
+    gone = lambda df: {r.doc_id for r in df.where("not kept and doc_id is not null").collect()}
+    asked = []
+    inner = near_dup.link
+
+    def link(met, payloads_of, *rest):
+        def counted(nodes, n):
+            asked.append(nodes.distinct().count())
+            return payloads_of(nodes, n)
+
+        return inner(met, counted, *rest)
+
+    want = gone(near_dup.near_duplicates(union, width=5, least=80))
+    monkeypatch.setattr(near_dup, "link", link)
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in left.collect()} == want == {100, 101, 102, 104}
+    assert asked and max(asked) <= 24

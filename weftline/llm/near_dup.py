@@ -94,7 +94,7 @@ def decode(payloads: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in payloads]
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, least: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, least: int = 85, also: DataFrame | None = None) -> DataFrame:
     """Groups of documents whose shingle sets are alike: 100 * intersection >= least * union, directly or over others.
 
     Texts with equal sets form one class at once. Classes meet by their signatures: split into chunks, with one error
@@ -106,6 +106,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     Null, empty or wordless texts have 0 shingles and are linked with nothing: their component is their own id. A row
     without id takes part, but is never kept; a component without any id has a null component_id. Sets are compared
     and told apart by 64-bit hashes. `least` must be 80 or more, for which DISTANCE is laid out.
+
+    `also` has other texts of documents in `docs`: each that differs from its document's text gives one more row, and rows of other ids are left out;
+    no text is shuffled for that. A document's two texts that meet nothing else aren't compared with each other, so each may be a component of its own;
+    which documents have only kept rows doesn't depend on them.
     """
     if not 80 <= least <= 100 or width < 1:
         raise ValueError("least must be in 80..100 and width positive")
@@ -114,9 +118,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     ws = Workspace(spark, "near-dup")
     kind = dict(docs.dtypes)[key]
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch], among=None) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
+            if among is not None:
+                batch = batch.filter(pa.array(Members.test(among.value, batch.column(2).to_numpy())))
             sizes, nodes, signatures = [], [], []
             for lo, hi in slices(batch.column(1)):
                 for s in shingler.sets(raw(batch.column(1).slice(lo, hi - lo))):
@@ -126,8 +132,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "node", "signature"])
 
     slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    signed = ws.save(slim.mapInArrow(sign, f"doc_id {kind}, n_shingles long, node long, signature binary"))
-    classes = ws.save(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
+    row = f"doc_id {kind}, n_shingles long, node long, signature binary"
+    signed = slim.mapInArrow(sign, row)
+    if also is not None:
+        others = also.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+        digest = lambda df: df.select("doc_id", F.xxhash64("text").alias("h"))
+        both = digest(others).withColumn("o", F.lit(True)).union(digest(slim).withColumn("o", F.lit(False))).groupBy("doc_id", "h").agg(F.bool_or("o").alias("o"), F.bool_or(~F.col("o")).alias("d"))
+        changed = ws.save(both.groupBy("doc_id").agg(F.bool_or(F.col("o") & ~F.col("d")).alias("differs"), F.bool_or("d").alias("is")).where("differs and is").select("doc_id"))
+        among = spark.sparkContext.broadcast(Members(changed.select(F.xxhash64("doc_id").alias("h")), "h", changed.count()).map)
+        further = others.select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(lambda batches: sign(batches, among), row)
+        signed = signed.union(further.join(changed, "doc_id", "left_semi"))
+        slim = slim.union(others)
+    signed = ws.save(signed)
+    classes = ws.save(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
 
     def entries(batch: pa.RecordBatch, _: set) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         if batch.num_rows:
@@ -165,6 +182,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     # Signatures within DISTANCE have sketches within it, so the sketches lose no pair.
     met = meet(classes.select("node", "signature"), entries, classes.count() * POSITIONS, DISTANCE, ws)
+    if also is not None:
+        met = ws.save(met.join(_own_pairs(met, classes), "a", "left_anti"))
     _, roots = link(met, payloads_of, decode, least, ws, pretest)
     ws.clear(signed, classes, roots)
     rooted = classes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
@@ -175,6 +194,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def _own_pairs(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a) of pairs of two texts of one document, and of no other, that met each other and nothing else."""
+    pairs = met.select("a", "b").distinct()
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    single = ends.groupBy("node").agg(F.count("*").alias("c"), F.min("other").alias("other")).where("c = 1")
+    owner = classes.where("first = last").select("node", "first")
+    owned = single.join(owner, "node").select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y"), "node", "first")
+    alone = owned.groupBy("x", "y").agg(F.count("*").alias("c"), F.min("first").alias("f0"), F.max("first").alias("f1")).where("c = 2 and f0 = f1")
+    # Of both ends one is a.
+    return alone.select(F.explode(F.array("x", "y")).alias("a"))
+
+
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: int = 80) -> DataFrame:
     """`docs` without the documents of each component but the one with the smallest id; all columns stay.
 
