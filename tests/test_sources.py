@@ -130,3 +130,14 @@ def test_small_writers_and_names(spark, tmp_path):
     assert corpus.tagged_text(tagged).first().body == "PRON1 run ORDINAL1"
     (tmp_path / "i3").write_text("key 2011 http://x\nno fields\n")
     assert [tuple(r) for r in readers.url_index(spark, str(tmp_path / "i3"), 3).collect()] == [("key", "2011", "http://x")]
+
+
+def test_only_the_given_entities_are_decoded(spark):
+    """Where the SQL names its entities, one cut off or another one stays as it is; extraction decodes all by default."""
+    from weftline import queries
+
+    pages = spark.createDataFrame([(1, "<title>a &amp;&amp;&amp</title><article><p>b &amp;quot; &copy &lt;</p></article>")], "page_id int, html string")
+    row = web.extract_pages(pages, entities=queries.PAGE_ENTITIES).first()
+    assert (row.title, row.body) == ("a &&&amp", "b &quot; &copy &lt;")
+    row = web.extract_pages(pages).first()
+    assert (row.title, row.body) == ("a &&&", "b &quot; © <")

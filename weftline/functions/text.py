@@ -120,6 +120,15 @@ def basic_unescape(text: Column) -> Column:
     return text
 
 
+def decoded(text: Column, entities: tuple[tuple[str, str], ...] | None = None) -> Column:
+    """Entities as characters: all that HTML has, those without a semicolon too, or only `entities`, whole and in their order, in the JVM."""
+    if entities is None:
+        return unescape(text)
+    for old, new in entities:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
 def _no_scripts(text: Column) -> Column:
     return F.regexp_replace(text, r"(?is)<(script|style)\b.*?</(script|style)>", "")
 
@@ -133,10 +142,12 @@ def html_to_text(page: Column, decode: bool = True) -> Column:
     return strip(F.regexp_replace(text, "\n{3,}", "\n\n"))
 
 
-def tag_lines(block: Column) -> Column:
-    """Array of non-empty lines: scripts, styles and comments gone, every other tag a line end."""
+def tag_lines(block: Column, entities: tuple[tuple[str, str], ...] | None = None) -> Column:
+    """Array of non-empty lines: scripts, styles and comments gone, every other tag a line end. For `entities` see decoded(); with all of them a no-break space is a space."""
     text = F.regexp_replace(F.regexp_replace(_no_scripts(block), "(?s)<!--.*?-->", ""), "(?s)<[^>]+>", "\n")
-    text = F.replace(unescape(text), F.lit(" "), F.lit(" "))
+    text = decoded(text, entities)
+    if entities is None:
+        text = F.replace(text, F.lit(" "), F.lit(" "))
     return F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
 
 

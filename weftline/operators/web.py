@@ -109,12 +109,12 @@ def main_block(page: Column, layouts=ARTICLE_LAYOUTS) -> Column:
     return F.coalesce(*found)
 
 
-def extract_pages(pages: DataFrame, page: str = "html", layouts=ARTICLE_LAYOUTS, furniture: str | None = None, title_affix: str | None = None) -> DataFrame:
+def extract_pages(pages: DataFrame, page: str = "html", layouts=ARTICLE_LAYOUTS, furniture: str | None = None, title_affix: str | None = None, entities: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """Adds title and body of each page: the main block as lines, without leading furniture lines.
 
-    A page without any of the layouts isn't an article: its body is null.
+    A page without any of the layouts isn't an article: its body is null. `entities` are those that are decoded, all by default.
     """
-    lines = T.tag_lines(main_block(F.col(page), layouts))
+    lines = T.tag_lines(main_block(F.col(page), layouts), entities)
     if furniture:
         first = F.expr(f"try_element_at(filter(transform(_lines, (x, i) -> if(x rlike '{furniture}', null, i)), x -> x is not null), 1)")
         lines_col = F.slice("_lines", F.coalesce(first, F.size("_lines")) + 1, F.greatest(F.size("_lines"), F.lit(1)))
@@ -123,7 +123,7 @@ def extract_pages(pages: DataFrame, page: str = "html", layouts=ARTICLE_LAYOUTS,
     title = T.html_title(F.col(page))
     if title_affix:
         title = F.regexp_replace(title, title_affix, "")
-    return pages.withColumn("title", T.unescape(title)).withColumn("_lines", lines).withColumn("body", F.array_join(lines_col, "\n")).drop("_lines")
+    return pages.withColumn("title", T.decoded(title, entities)).withColumn("_lines", lines).withColumn("body", F.array_join(lines_col, "\n")).drop("_lines")
 
 
 def existing_ids(files: DataFrame, name: str = "file_name") -> DataFrame:
