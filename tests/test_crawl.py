@@ -221,3 +221,14 @@ def test_crawl_worker_decodes_as_its_sql(spark, tmp_path):
     spark.createDataFrame([(3, "http://a.b/c", f"<title>t</title><article><p>{text}</p></article>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     row = queries.crawl_worker(spark, str(tmp_path)).first()
     assert (row.saved, row.digest) == (True, hashlib.md5(text.encode()).hexdigest())
+
+
+def test_layouts_with_given_entities(spark):
+    from weftline import queries
+
+    pages = spark.createDataFrame([(1, "<title>a &amp;&amp</title><main><b>c &amp;&amp</b><p>d &copy; &copy</p>")], "i int, html string")
+    layout = (extract.Layout("m", "<main>", title="<b>(.*?)</b>"),)
+    row = extract.extract(pages, layout, entities=queries.PAGE_ENTITIES).first()
+    assert (row.title, row.body) == ("c &&amp", "c &&amp\nd © &copy")
+    assert extract.extract(pages.withColumn("html", F.replace("html", F.lit("main"), F.lit("none"))), layout, entities=queries.PAGE_ENTITIES).first().title == "a &&amp"
+    assert extract.extract(pages, layout).first().body == "c &&\nd © ©"

@@ -119,14 +119,14 @@ def _category(layout: Layout) -> Column:
     return F.coalesce(F.regexp_replace(F.concat_ws(" ", F.regexp_replace(above, "^[ ,]+|[ ,]+$", ""), own), "^[ ,]+|[ ,]+$", ""), F.lit(""))
 
 
-def extract(pages: DataFrame, layouts: tuple[Layout, ...], page: str = "html", affixes: str | None = None) -> DataFrame:
+def extract(pages: DataFrame, layouts: tuple[Layout, ...], page: str = "html", affixes: str | None = None, entities: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """Adds layout (the name of the first that the page has), title, category and body (lines) to the other columns of `pages`.
 
     Tags end lines; scripts, styles and comments go; white space is squeezed. A page without any of the layouts, or null, has null layout and body, and its own title.
-    `affixes` is a pattern that goes from the page's title. Everything but entities stays in the JVM; each rule is a fold over a page's lines.
+    `affixes` is a pattern that goes from the page's title; `entities` are those that are decoded, all by default. Everything but entities stays in the JVM; each rule is a fold over a page's lines.
     """
     found = [F.when(F.col(page).rlike(f"(?s){x.start}"), F.struct(F.lit(i).alias("i"), F.regexp_extract(page, f"(?s){x.start}(.*)", 1).alias("block"))) for i, x in enumerate(layouts)]
-    own = T.unescape(T.html_title(F.col(page)))
+    own = T.decoded(T.html_title(F.col(page)), entities)
     own = F.regexp_replace(own, affixes, "") if affixes else own
     drop = [c for c in pages.columns if c in ("layout", "title", "category", "body")]
     rows = _once(pages.drop(*drop), _found=F.coalesce(*found), title=own)
@@ -138,12 +138,12 @@ def extract(pages: DataFrame, layouts: tuple[Layout, ...], page: str = "html", a
             part = F.substring_index(part, marker, 1)
         cut = F.when(i == n, part).otherwise(cut)
     rows = _once(rows, _block=cut, _i=i).drop("_found")
-    lines = F.transform(T.tag_lines(F.col("_block")), lambda x: F.regexp_replace(x, "[ \\t]+", " "))
+    lines = F.transform(T.tag_lines(F.col("_block"), entities), lambda x: F.regexp_replace(x, "[ \\t]+", " "))
     rows = _once(rows, _all=lines)
     title, block = F.col("title"), F.col("_block")
     for n, x in enumerate(layouts):
         if x.title is not None:
-            title = F.when(F.col("_i") == n, F.coalesce(F.try_element_at("_all", F.lit(1)), F.lit("")) if x.title == "" else T.strip(T.unescape(F.regexp_extract(block, f"(?s){x.title}", 1)))).otherwise(title)
+            title = F.when(F.col("_i") == n, F.coalesce(F.try_element_at("_all", F.lit(1)), F.lit("")) if x.title == "" else T.strip(T.decoded(F.regexp_extract(block, f"(?s){x.title}", 1), entities))).otherwise(title)
     rows = _once(rows, title=title, _lines=F.col("_all")).drop("_block")
     for n, x in enumerate(layouts):
         for rule in x.rules:
