@@ -141,3 +141,9 @@ def test_only_the_given_entities_are_decoded(spark):
     assert (row.title, row.body) == ("a &&&amp", "b &quot; &copy &lt;")
     row = web.extract_pages(pages).first()
     assert (row.title, row.body) == ("a &&&", "b &quot; © <")
+
+
+def test_vector_lines_where_two_decimals_are_equally_near(spark):
+    """19/1024 lies half way between its two shortest decimals; the line has the exact one."""
+    rows = spark.createDataFrame([("w", [19 / 1024, 0.1, -19 / 1024, 1.5, 2.0**-12, 0.0])], "word string, vec array<float>")
+    assert writers.vector_lines(rows).collect()[1].line == "w 0.0185546875 0.1 -0.0185546875 1.5 2.44140625E-4 0.0"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,10 +23,17 @@ def frequency_table(freq: DataFrame, path: str, least: int = 3) -> None:
     rows.write.mode("overwrite").text(path)
 
 
+def decimal_of(x: Column) -> Column:
+    """The shortest decimal that a float is read back from; where two of them are equally near, the exact one, a digit longer."""
+    digits = lambda s: F.regexp_replace(F.regexp_replace(F.split_part(s, F.lit("E"), F.lit(1)), "[^0-9]", ""), "^0+|0+$", "")
+    short, exact = x.cast("string"), x.cast("double").cast("string")
+    return F.when((F.length(digits(exact)) == F.length(digits(short)) + 1) & digits(exact).endswith("5"), exact).otherwise(short)
+
+
 def vector_lines(words: DataFrame) -> DataFrame:
     """(line) of the text format of vectors: `N dim`, then a word and its numbers a line."""
     head = words.agg(F.concat_ws(" ", F.count("*").cast("string"), F.coalesce(F.max(F.size("vec")), F.lit(0)).cast("string")).alias("line"), F.lit(0).alias("ord"))
-    body = words.select(F.concat_ws(" ", "word", F.array_join(F.col("vec").cast("array<string>"), " ")).alias("line"), F.lit(1).alias("ord"))
+    body = words.select(F.concat_ws(" ", "word", F.array_join(F.transform("vec", decimal_of), " ")).alias("line"), F.lit(1).alias("ord"))
     return head.union(body).orderBy("ord", "line").select("line")
 
 
