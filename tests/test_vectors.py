@@ -191,3 +191,20 @@ def test_skip_gram_brings_like_words_together(spark):
     got = {r.word: np.array(r.vec) for r in vectors.skip_gram(spark.createDataFrame(rows, "tokens array<string>")).collect()}
     cos = lambda a, b: got[a] @ got[b] / np.linalg.norm(got[a]) / np.linalg.norm(got[b])
     assert cos("x0", "x1") > cos("x0", "y1") and {len(v) for v in got.values()} == {100}
+
+
+def test_svd_beyond_the_terms_of_the_driver(spark, monkeypatch):
+    """More terms than the driver may hold, in several blocks and tasks, against numpy."""
+    from weftline.operators import vectors as module
+
+    rng = np.random.default_rng(5)
+    w = np.where(rng.random((60, 45)) < 0.3, rng.random((60, 45)), 0)
+    rows = [(int(d), f"t{t:02}", float(w[d, t])) for d, t in zip(*w.nonzero(), strict=True)]
+    monkeypatch.setattr(module, "MOST_TERMS", 20)
+    monkeypatch.setattr(module, "TERM_BLOCK", 10)
+    monkeypatch.setattr(module, "TASK_DOCS", 16)
+    sigma, words = module.word_svd(spark.createDataFrame(rows, "doc_id int, term string, weight double"), 3, rounds=30)
+    _, s, vt = np.linalg.svd(w, full_matrices=False)
+    got = {r.word: r.vec for r in words.collect()}
+    found = np.array([got[f"t{t:02}"] for t in range(45)])
+    assert np.allclose(sigma, s[:3]) and np.allclose(found @ found.T, (vt[:3].T * s[:3] ** 2) @ vt[:3], atol=1e-5)

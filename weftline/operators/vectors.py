@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -47,55 +50,139 @@ def tf_idf(docs: DataFrame, key: str = "doc_id", text: str = "text", min_df: int
     return rows.withColumn("length", F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))).select(key, "term", (F.col("raw") / F.col("length")).alias("weight"))
 
 
-def truncated_svd(weights: DataFrame, k: int, key: str = "doc_id", rounds: int = 8, seed: int = 0) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Terms in order, the k largest singular values, and the word vectors (terms x k): right singular vectors times values.
+#: Terms in a block of the basis, and documents in a task, about.
+TERM_BLOCK, TASK_DOCS = 65_536, 32_768
+
+
+def _block(path: str, b: int) -> np.ndarray:
+    """A block of a basis, in the order of the terms' numbers."""
+    files, root = fs.FileSystem.from_uri(path)
+    table = pq.ParquetDataset(f"{root}/b={b}", filesystem=files, partitioning=None).read().sort_by("i")
+    return np.stack([c.to_numpy() for c in table.drop_columns("i").columns], 1)
+
 
-    Subspace iteration: the driver holds terms x (k + 8) numbers, bounded by MOST_TERMS; each round sums the rows' products
-    over the executors, column by column, so nothing grows with the number of documents. Signs are arbitrary. The rounds read
-    documents as arrays of term numbers and weights, written once to spark.checkpoint.dir and deleted at the end.
+def _numbers(batch: pa.RecordBatch, skip: int) -> np.ndarray:
+    return np.stack([batch.column(j).to_numpy() for j in range(skip, batch.num_columns)], 1)
+
+
+def word_svd(weights: DataFrame, k: int, key: str = "doc_id", rounds: int = 8, seed: int = 0) -> tuple[np.ndarray, DataFrame]:
+    """The k largest singular values, and (word, vec), written: right singular vectors times values. Signs are arbitrary.
+
+    Subspace iteration of k + 8 directions, for any number of terms: the basis is a table in blocks of about TERM_BLOCK terms. A task holds about TASK_DOCS documents
+    and reads one block at a time; the blocks' products are summed by a shuffle. The driver gets matrices of directions x directions only.
+    Tables are below spark.checkpoint.dir and deleted at the end, all but the result.
     """
     spark = weights.sparkSession
-    tables = SharedTables(spark, "svd")
+    tables, kept = SharedTables(spark, "svd"), SharedTables(spark, "svd-words")
     weights = tables.save(weights.select(key, "term", "weight"), "weights")
-    terms = [r[0] for r in weights.select("term").distinct().orderBy("term").limit(MOST_TERMS + 1).collect()]
-    docs = weights.select(key).distinct().count()
-    if len(terms) > MOST_TERMS:
-        raise ValueError("too many terms; raise min_df")
-    if not 0 < k < min(len(terms), docs):
+    count, docs = weights.select("term").distinct().count(), weights.select(key).distinct().count()
+    if not 0 < k < min(count, docs):
         raise ValueError("k must be positive and below both dimensions")
-    index = spark.createDataFrame(pd.DataFrame({"term": terms, "i": np.arange(len(terms), dtype=np.int32)}), "term string, i int")
-    width = min(k + 8, len(terms))
-    columns = [f"q{j}" for j in range(width)]
-    pairs = weights.join(F.broadcast(index), "term").groupBy(key).agg(F.collect_list(F.struct("i", "weight")).alias("w"))
-    rows = tables.save(pairs.select(F.col("w.i").alias("i"), F.col("w.weight").alias("w")), "rows")
-    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(terms), width)))[0]
-
-    def gram(q: np.ndarray) -> np.ndarray:
-        shared = spark.sparkContext.broadcast(q)
-
-        def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            basis = shared.value
-            out = np.zeros_like(basis)
-            for pdf in batches:
-                for i, v in zip(pdf["i"], pdf["w"], strict=True):
-                    out[i] += np.outer(v, v @ basis[i])
-            used = np.flatnonzero(out.any(1))
-            yield pd.DataFrame(out[used], columns=columns).assign(i=used)
+    blocks = -(-count // TERM_BLOCK)
+    place = Window.partitionBy("b").orderBy("term")
+    terms = tables.save(weights.select("term").distinct().withColumn("b", F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int")).withColumn("i", F.row_number().over(place) - 1), "terms")
+    pairs = weights.join(terms, "term").groupBy(key).agg(F.collect_list(F.struct("b", "i", "weight")).alias("w"))
+    parts = max(1, -(-docs // TASK_DOCS))
+    rows = tables.save(pairs.select(F.col("w.b").alias("b"), F.col("w.i").alias("i"), F.col("w.weight").alias("w")).repartition(parts), "rows")
+    width = min(k + 8, count)
+
+    def schema(n: int) -> str:
+        return ", ".join(f"q{j} double" for j in range(n))
+
+    def write(basis: DataFrame, name: str) -> str:
+        basis.repartition("b").write.partitionBy("b").parquet(path := f"{tables.root}/{name}")
+        return path
+
+    def start(group: pa.Table) -> pa.Table:
+        at = group.sort_by("i")
+        x = np.random.default_rng([seed, at["b"][0].as_py()]).normal(size=(at.num_rows, width))
+        return pa.table([at["b"], at["i"], *x.T], ["b", "i", *[f"q{j}" for j in range(width)]])
+
+    def multiply(path: str, n: int, gram: bool) -> DataFrame:
+        """Of a basis of n columns the products with the matrix and its transpose, one row for each task and term; or each task's n x n products of the documents' rows."""
+        def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [batch for batch in batches if batch.num_rows]
+            if not held:
+                return
+            table = pa.Table.from_batches(held)
+            sizes = pc.list_value_length(table["b"]).to_numpy()
+            b, i, w = (pc.list_flatten(table[c]).to_numpy() for c in ("b", "i", "w"))
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.argsort(b, kind="stable")  # inside a block documents stay together
+            b, i, w, doc = b[order], i[order], w[order], doc[order]
+            cut = np.searchsorted(b, np.arange(blocks + 1))
+            y = np.zeros((len(sizes), n))
+            for c in range(blocks):
+                basis = _block(path, c) if cut[c] < cut[c + 1] else None
+                for lo in range(cut[c], cut[c + 1], 1 << 16):
+                    hi = min(lo + (1 << 16), cut[c + 1])
+                    first = np.flatnonzero(np.append(True, doc[lo + 1:hi] != doc[lo:hi - 1]))
+                    y[doc[lo:hi][first]] += np.add.reduceat(basis[i[lo:hi]] * w[lo:hi, None], first)
+            if gram:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (y.T @ y).T], [f"q{j}" for j in range(n)])
+                return
+            for c in range(blocks):
+                by_term = cut[c] + np.argsort(i[cut[c]:cut[c + 1]], kind="stable")
+                ids, out = np.unique(i[by_term]), None
+                out = np.zeros((len(ids), n))
+                for lo in range(0, len(by_term), 1 << 16):
+                    at = by_term[lo:lo + (1 << 16)]
+                    first = np.flatnonzero(np.append(True, i[at][1:] != i[at][:-1]))
+                    out[np.searchsorted(ids, i[at][first])] += np.add.reduceat(y[doc[at]] * w[at, None], first)
+                for lo in range(0, len(ids), 10_000):
+                    some = out[lo:lo + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), c, np.int32)), pa.array(ids[lo:lo + 10_000].astype(np.int32)), *[pa.array(x) for x in some.T.copy()]], ["b", "i", *[f"q{j}" for j in range(n)]])
+
+        made = rows.mapInArrow(product, schema(n) if gram else f"b int, i int, {schema(n)}")
+        return made if gram else made.groupBy("b", "i").agg(*[F.sum(f"q{j}").alias(f"q{j}") for j in range(n)])
+
+    def turned(basis: DataFrame, turn: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x) for x in (_numbers(batch, 2) @ turn).T.copy()]], ["b", "i", *[f"q{j}" for j in range(turn.shape[1])]])
 
-        schema = ", ".join(f"{c} double" for c in columns) + ", i long"
-        total = rows.mapInPandas(product, schema).groupBy("i").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
-        shared.destroy()
-        out = np.zeros_like(q)
-        out[total["i"].to_numpy()] = total[columns].to_numpy()
-        return out
+        return basis.mapInArrow(run, f"b int, i int, {schema(turn.shape[1])}")
 
-    for _ in range(rounds):
-        q = np.linalg.qr(gram(q))[0]
-    values, turn = np.linalg.eigh(q.T @ gram(q))
-    tables.delete()
+    def triangles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = None
+        for batch in batches:
+            if batch.num_rows:
+                x = _numbers(batch, 0)
+                r = np.linalg.qr(x if r is None else np.vstack([r, x]), mode="r")
+        if r is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in r.T.copy()], [f"q{j}" for j in range(r.shape[1])])
+
+    def read(path: str, n: int) -> DataFrame:
+        return spark.read.schema(f"b int, i int, {schema(n)}").parquet(path).select("b", "i", *[f"q{j}" for j in range(n)])
+
+    path, n = write(terms.groupBy("b").applyInArrow(start, f"b int, i int, {schema(width)}"), "basis"), width
+    for t in range(rounds):
+        raw = read(write(multiply(path, n, False), f"product{t}"), n)
+        # The triangle of the tasks' triangles: the directions made orthonormal, dependent ones left out.
+        r = np.linalg.qr(raw.drop("b", "i").mapInArrow(triangles, schema(n)).toPandas().to_numpy(), mode="r")
+        _, sizes, turn = np.linalg.svd(r)
+        good = sizes > sizes[0] * 1e-13
+        path, n = write(turned(raw, turn[good].T / sizes[good]), f"basis{t}"), int(good.sum())
+    square = multiply(path, n, True).toPandas().to_numpy()
+    values, turn = np.linalg.eigh(square.reshape(-1, n, n).sum(0))
     order = np.argsort(-values)[:k]
-    sigma = np.sqrt(np.maximum(values[order], 0))
-    return terms, sigma, (q @ turn[:, order]) * sigma
+    sigma = np.zeros(k)
+    sigma[:len(order)] = np.sqrt(np.maximum(values[order], 0))
+    last = np.zeros((n, k))
+    last[:, :len(order)] = turn[:, order] * sigma[:len(order)]
+    words = turned(read(path, n), last).join(terms, ["b", "i"]).select(F.col("term").alias("word"), F.array(*[f"q{j}" for j in range(k)]).alias("vec"))
+    words = kept.save(words, "words")
+    tables.delete()
+    return sigma, words
+
+
+def truncated_svd(weights: DataFrame, k: int, key: str = "doc_id", rounds: int = 8, seed: int = 0) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Terms in order, the k largest singular values, and the word vectors (terms x k), of word_svd() on the driver: at most MOST_TERMS terms."""
+    sigma, words = word_svd(weights, k, key, rounds, seed)
+    found = words.orderBy("word").limit(MOST_TERMS + 1).collect()
+    if len(found) > MOST_TERMS:
+        raise ValueError("too many terms for the driver; use word_svd")
+    return [r.word for r in found], sigma, np.array([r.vec for r in found])
 
 
 def as_dictionary(spark, terms: list[str], vectors: np.ndarray) -> DataFrame:
