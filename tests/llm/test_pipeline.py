@@ -121,3 +121,25 @@ def test_own_texts_are_not_compared(spark, tmp_path, monkeypatch):
     left = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in left.collect()} == want == {100, 101, 102, 104}
     assert asked and max(asked) <= 24
+
+
+def test_near_dedup_shuffles_no_text_where_documents_go(spark, tmp_path, monkeypatch):
+    from weftline.llm import similar
+
+    rng = random.Random(8)
+    text = lambda: " ".join(str(rng.randrange(500)) for _ in range(60))
+    rows = [(i, text()) for i in range(20)]
+    rows += [(i + 100, rows[i][1] + " more") for i in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+        assert "BroadcastHashJoin" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" not in plan
+        assert sorted(r.doc_id for r in out.collect()) == list(range(20))
+        # Beyond the bound they are joined by a shuffle, with the same rows.
+        monkeypatch.setattr(similar, "BROADCAST_ROWS", 0)
+        assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()) == list(range(20))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
