@@ -187,6 +187,20 @@ def test_windows_end_with_their_lines():
             assert set(row.tolist()) <= set((s >> np.uint64(line_dedup.LINE_BITS)).astype(np.uint32).tolist()) and len(set(row.tolist())) > len(s) / 3
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 5, 6, 7])
+def test_minima_are_those_of_each_bin(width):
+    rng = random.Random(width)
+    lines = ["a", "ab", "\u00e9", "\u6f22\u5b57\u304b\u306a x \u6f22", "x\0y\0\0z\0", "abcde", "a" * 300] + ["".join(rng.choice("abcd efg\u00e9") for _ in range(rng.randint(1, 400))) for _ in range(40)]
+    for some in (lines, [x for x in lines if x.isascii()]):
+        raw = [x.encode() for x in some]
+        got = line_dedup.minima(raw, width)
+        for row, of_line in zip(got.tolist(), line_dedup.line_sets(raw, width), strict=True):
+            bins = {}
+            for v in of_line.tolist():
+                bins.setdefault(v >> 57, []).append(v >> line_dedup.LINE_BITS & (1 << 44) - 1)
+            assert all(row[b] == min(v) & 0xFFFFFFFF for b, v in bins.items()) and set(row) <= {row[b] for b in bins}
+
+
 def test_buckets_fall_into_groups_of_near_sketches():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**64, 40, np.uint64)
