@@ -78,6 +78,18 @@ def test_cbow_keeps_every_word_or_fails(spark, tmp_path, monkeypatch):
         queries.cbow_vectors(spark, str(tmp_path))
 
 
+def test_cbow_holds_no_vocabulary_on_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "WORD_ROWS", 16)
+    monkeypatch.setattr(vectors, "TASK_TOKENS", 400)
+    monkeypatch.setattr(type(spark.range(0)), "toPandas", lambda self: pytest.fail("parameters went to the driver"))
+    rng = np.random.default_rng(1)
+    rows = [([f"{'xy'[s]}{rng.integers(30)}" for _ in range(10)],) for s in rng.integers(0, 2, 200)]
+    df = spark.createDataFrame(rows, "tokens array<string>")
+    got = {r.word: np.array(r.vec) for r in vectors.cbow(df, dim=8, epochs=2, min_count=1, window=3, start=spark.createDataFrame([("x1", [9.0] * 8)], "word string, vec array<double>")).collect()}
+    assert got.keys() == {t for r in rows for t in r[0]} and all(np.isfinite(v).all() for v in got.values())
+    assert got["x1"].mean() > 8 > got["x2"].mean()
+
+
 def test_nearest_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]

@@ -21,8 +21,8 @@ from ..sources.tables import SharedTables
 
 #: Fixed value: terms are two characters or more, lower-case letters first.
 TERM = "[a-z][a-z0-9-]+"
-#: Terms whose vectors the driver may hold.
-MOST_TERMS = 200_000
+#: Terms whose vectors the driver may hold, and words that CBoW may train.
+DRIVER_TERMS, MOST_TERMS = 200_000, 1 << 31
 
 
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -177,10 +177,10 @@ def word_svd(weights: DataFrame, k: int, key: str = "doc_id", rounds: int = 8, s
 
 
 def truncated_svd(weights: DataFrame, k: int, key: str = "doc_id", rounds: int = 8, seed: int = 0) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Terms in order, the k largest singular values, and the word vectors (terms x k), of word_svd() on the driver: at most MOST_TERMS terms."""
+    """Terms in order, the k largest singular values, and the word vectors (terms x k), of word_svd() on the driver: at most DRIVER_TERMS terms."""
     sigma, words = word_svd(weights, k, key, rounds, seed)
-    found = words.orderBy("word").limit(MOST_TERMS + 1).collect()
-    if len(found) > MOST_TERMS:
+    found = words.orderBy("word").limit(DRIVER_TERMS + 1).collect()
+    if len(found) > DRIVER_TERMS:
         raise ValueError("too many terms for the driver; use word_svd")
     return [r.word for r in found], sigma, np.array([r.vec for r in found])
 
@@ -346,66 +346,156 @@ def skip_gram(sentences: DataFrame, dim: int = 100, window: int = 5, min_count:
     return model.getVectors().select("word", vector_to_array("vector").alias("vec"))
 
 
+#: Words in a block of parameters, tokens that a task trains on, negatives that it draws, and positions updated at once, about.
+WORD_ROWS, TASK_TOKENS, POOL, AT_ONCE = 16_384, 1 << 19, 1 << 16, 64
+
+
+def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds each row to the row of `to` at its place; places may repeat."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    to[at[first]] += np.add.reduceat(rows[order], first)
+
+
+def _train(u: np.ndarray, v: np.ndarray, ids: np.ndarray, sizes: np.ndarray, pool: np.ndarray, window: int, negative: int, rate: float, at_once: int, rng: np.random.Generator) -> np.ndarray:
+    """Trains u and v in place on sentences of `sizes` words, negatives from `pool`; how often each word was seen."""
+    seen = np.zeros(len(u))
+    ends = np.cumsum(sizes)
+    lo, hi = np.repeat(ends - sizes, sizes), np.repeat(ends, sizes)
+    steps = np.concatenate([np.arange(-window, 0), np.arange(1, window + 1)])
+    places = np.flatnonzero(hi - lo > 1)
+    for k in range(0, len(places), at_once):
+        p = places[k:k + at_once]
+        beside = p[:, None] + steps
+        ok = (np.abs(steps) <= rng.integers(1, window + 1, len(p))[:, None]) & (beside >= lo[p][:, None]) & (beside < hi[p][:, None])
+        near, n = ids[beside[ok]], ok.sum(1)
+        mean = np.add.reduceat(u[near], np.cumsum(n) - n) / n[:, None].astype(np.float32)
+        targets = np.concatenate([ids[p][:, None], pool[rng.integers(0, len(pool), (len(p), negative))]], 1)
+        out = v[targets]
+        g = -1 / (1 + np.exp(-np.clip(np.einsum("ptd,pd->pt", out, mean), -30, 30)))
+        g[:, 0] += 1
+        g[:, 1:][targets[:, 1:] == targets[:, :1]] = 0
+        g = (g * rate).astype(np.float32)
+        back = np.einsum("pt,ptd->pd", g, out) / n[:, None].astype(np.float32)
+        _add_rows(v, targets.ravel(), (g[:, :, None] * mean[:, None, :]).reshape(-1, u.shape[1]))
+        _add_rows(u, near, np.repeat(back, n, 0))
+        np.add.at(seen, near, 1)
+        np.add.at(seen, ids[p], 1)
+    return seen
+
+
 def cbow(sentences: DataFrame, dim: int = 100, window: int = 5, min_count: int = 5, epochs: int = 5, negative: int = 5, rate: float = 0.05, seed: int = 0, start: DataFrame | None = None) -> DataFrame:
-    """(word, vec) by continuous bag of words with negative sampling.
+    """(word, vec), written, by continuous bag of words with negative sampling.
 
-    Every partition trains on its sentences from the same parameters; words' parameters are averaged after each epoch, weighted
-    by how often a partition saw them. `start` (word, vec) continues an earlier training. The vocabulary, cut by
-    `min_count` alone, is what the driver holds: beyond MOST_TERMS words it fails. `sentences` has tokens; they are
-    written once to spark.checkpoint.dir for all epochs, and deleted at the end.
+    Every task trains on its sentences, about TASK_TOKENS words, from the same parameters; words' parameters are averaged after each epoch, weighted
+    by how often a task saw them. `start` (word, vec) continues an earlier training. The vocabulary is cut by `min_count` alone. Parameters are a table
+    in blocks of about WORD_ROWS words: a task reads the rows of its words and of POOL negatives drawn anew, one block at a time, and the driver gets one number a block.
+    Up to AT_ONCE positions are updated from the same parameters, fewer where a task has few words. Beyond MOST_TERMS words it fails.
+    Tables are below spark.checkpoint.dir and deleted at the end, all but the result.
     """
     spark = sentences.sparkSession
-    tables = SharedTables(spark, "cbow")
-    sentences = tables.save(sentences.select("tokens"), "sentences")
-    counts = sentences.select(F.explode("tokens").alias("word")).groupBy("word").count().where(F.col("count") >= min_count).orderBy(F.desc("count"), "word").limit(MOST_TERMS + 1).collect()
-    if len(counts) > MOST_TERMS:
+    tables, kept = SharedTables(spark, "cbow"), SharedTables(spark, "cbow-words")
+    tokens = tables.save(sentences.select("tokens"), "sentences")
+    counts = tables.save(tokens.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count), "counts")
+    size = counts.count()
+    if size > MOST_TERMS:
+        tables.delete()
         raise ValueError("too many words; raise min_count")
-    words = [r[0] for r in counts]
-    if not words:
+    if not size:
         tables.delete()
         return spark.createDataFrame([], "word string, vec array<float>")
-    rng = np.random.default_rng(seed)
-    inner, outer = ((rng.random((len(words), dim)) - 0.5) / dim).astype(np.float32), np.zeros((len(words), dim), np.float32)
-    index = {w: i for i, w in enumerate(words)}
-    if start is not None:
-        for w, v in start.collect():
-            if w in index:
-                inner[index[w]] = v
-    noise = np.cumsum(np.array([r[1] for r in counts], np.float64) ** 0.75)
-    noise /= noise[-1]
+    blocks = -(-size // WORD_ROWS)
+    place = Window.partitionBy("b").orderBy("word")
+    words = counts.withColumn("b", F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int")).withColumn("i", (F.row_number().over(place) - 1).cast("int"))
+    words = tables.save(words.withColumn("w", F.pow("n", F.lit(0.75))), "words")
+    words.select("b", "i", "w").repartition("b").write.partitionBy("b").parquet(noise := f"{tables.root}/noise")
+    shares = {r.b: r.w for r in words.groupBy("b").agg(F.sum("w").alias("w")).collect()}
+    share = np.array([shares.get(b, 0.0) for b in range(blocks)])
+    share /= share.sum()
+    # Numbered before they are exploded: in one select each word would get a number.
+    each = tokens.select(F.monotonically_increasing_id().alias("s"), "tokens").select("s", F.posexplode("tokens").alias("p", "word"))
+    coded = each.join(words.select("word", (F.shiftleft(F.col("b").cast("long"), 32) + F.col("i")).alias("id")), "word")
+    parts = max(1, -(-int(words.agg(F.sum("n")).first()[0]) // TASK_TOKENS))
+    coded = coded.groupBy("s").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "id"))), lambda x: x["id"]).alias("ids"))
+    coded = tables.save(coded.repartition(parts, "s").select(F.spark_partition_id().alias("part"), "ids"), "coded")
+    names = [f"q{j}" for j in range(2 * dim)]
+    schema = "b int, i int, " + ", ".join(f"{c} float" for c in names)
+
+    def table(b: int, i: np.ndarray, x: np.ndarray) -> pa.Table:
+        return pa.table([pa.array(np.full(len(i), b, np.int32)), pa.array(i.astype(np.int32)), *[pa.array(c) for c in x.astype(np.float32).T.copy()]], ["b", "i", *names])
+
+    def begin(group: pa.Table) -> pa.Table:
+        at = group.sort_by("i")
+        b = at["b"][0].as_py()
+        x = np.zeros((at.num_rows, 2 * dim), np.float32)
+        x[:, :dim] = (np.random.default_rng([seed, b]).random((at.num_rows, dim)) - 0.5) / dim
+        for row, vec in enumerate(at["vec"]):
+            if vec.is_valid:
+                x[row, :dim] = vec.as_py()
+        return table(b, at["i"].to_numpy(), x)
+
+    def write(rows: DataFrame, name: str) -> str:
+        rows.repartition("b").write.partitionBy("b").parquet(path := f"{tables.root}/{name}")
+        return path
+
+    before = start.select("word", F.col("vec").cast("array<float>").alias("vec")) if start is not None else spark.createDataFrame([], "word string, vec array<float>")
+    path = write(words.join(before, "word", "left").select("b", "i", "vec").groupBy("b").applyInArrow(begin, schema), "start")
+
     for epoch in range(epochs):
-        shared = spark.sparkContext.broadcast((index, inner, outer, noise, rate * (1 - epoch / epochs)))
-
-        def train(batches: Iterator[pd.DataFrame], epoch: int = epoch, shared=shared) -> Iterator[pd.DataFrame]:
-            index, u, v, noise, step = shared.value
-            u, v, seen = u.copy(), v.copy(), np.zeros(len(u))
-            rng = np.random.default_rng(seed + 1 + epoch)
-            for pdf in batches:
-                for tokens in pdf["tokens"]:
-                    ids = np.array([index[t] for t in tokens if t in index])
-                    for p in range(len(ids) if len(ids) > 1 else 0):
-                        w = rng.integers(1, window + 1)
-                        near = np.concatenate([ids[max(0, p - w):p], ids[p + 1:p + 1 + w]])
-                        mean = u[near].mean(0)
-                        targets = np.append(ids[p], np.searchsorted(noise, rng.random(negative)))
-                        z = 1 / (1 + np.exp(-np.clip(v[targets] @ mean, -30, 30)))
-                        g = -z
-                        g[0] += 1
-                        g[1:][targets[1:] == ids[p]] = 0
-                        back = g @ v[targets]
-                        np.add.at(v, targets, step * np.outer(g, mean))
-                        np.add.at(u, near, step * back / len(near))
-                        seen[near] += 1
-                        seen[ids[p]] += 1
-            used = np.flatnonzero(seen)
-            yield pd.DataFrame({"i": used, "n": seen[used], "u": list((u[used] * seen[used, None]).astype(float)), "v": list((v[used] * seen[used, None]).astype(float))})
-
-        parts = sentences.mapInPandas(train, "i long, n double, u array<double>, v array<double>")
-        sums = [F.sum(F.try_element_at(c, F.lit(j + 1))).alias(f"{c}{j}") for c in ("u", "v") for j in range(dim)]
-        total = parts.groupBy("i").agg(F.sum("n").alias("n"), *sums).toPandas()
-        shared.destroy()
-        at, n = total["i"].to_numpy(), total["n"].to_numpy()[:, None]
-        inner[at] = total[[f"u{j}" for j in range(dim)]].to_numpy() / n
-        outer[at] = total[[f"v{j}" for j in range(dim)]].to_numpy() / n
+        def train(group: pa.Table) -> pa.Table:
+            rng = np.random.default_rng([seed, epoch, group["part"][0].as_py()])
+            sizes = pc.list_value_length(group["ids"]).to_numpy().astype(np.int64)
+            ids = pc.list_flatten(group["ids"]).to_numpy()
+            pool = []
+            for b, n in enumerate(rng.multinomial(POOL, share).tolist()):
+                if n:
+                    sums = np.cumsum(_block(noise, b)[:, 0])
+                    pool.append((b << 32) + np.minimum(np.searchsorted(sums, rng.random(n) * sums[-1], side="right"), len(sums) - 1))
+            pool = np.concatenate(pool)
+            known = np.unique(np.concatenate([ids, pool]))
+            cut = np.searchsorted(known, np.arange(blocks + 1) << 32)
+            x = np.empty((len(known), 2 * dim), np.float32)
+            for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+                x[cut[b]:cut[b + 1]] = _block(path, b)[known[cut[b]:cut[b + 1]] & 0xFFFFFFFF]
+            u, v = x[:, :dim].copy(), x[:, dim:].copy()
+            own = np.searchsorted(known, ids)
+            seen = _train(u, v, own, sizes, np.searchsorted(known, pool), window, negative, rate * (1 - epoch / epochs), max(1, min(AT_ONCE, len(np.unique(own)) // 8)), rng)
+            out = []
+            for b in range(blocks):
+                at = cut[b] + np.flatnonzero(seen[cut[b]:cut[b + 1]])
+                if len(at):
+                    out.append((b, (known[at] & 0xFFFFFFFF).astype(np.int64).tobytes(), seen[at].tobytes(), np.concatenate([u[at], v[at]], 1).tobytes()))
+            return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)] if out else [pa.array([], pa.int32()), *[pa.array([], pa.binary())] * 3], ["b", "i", "n", "x"])
+
+        def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The blocks of a partition, one after another; words that no task saw keep their parameters."""
+            now, old = None, None
+            for batch in batches:
+                for b, i, n, x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    if b != now:
+                        if now is not None:
+                            yield from done(now, old, total, weight)
+                        now, old = b, _block(path, b)
+                        total, weight = np.zeros(old.shape), np.zeros(len(old))
+                    if i is not None:
+                        at, n = np.frombuffer(i, np.int64), np.frombuffer(n)
+                        total[at] += np.frombuffer(x, np.float32).reshape(-1, 2 * dim) * n[:, None]
+                        weight[at] += n
+            if now is not None:
+                yield from done(now, old, total, weight)
+
+        def done(b: int, old: np.ndarray, total: np.ndarray, weight: np.ndarray) -> list[pa.RecordBatch]:
+            hit = weight > 0
+            old = old.copy()
+            old[hit] = total[hit] / weight[hit][:, None]
+            return table(b, np.arange(len(old)), old).to_batches(max_chunksize=4096)
+
+        trained = coded.groupBy("part").applyInArrow(train, "b int, i binary, n binary, x binary")
+        every = words.select("b").distinct().select("b", *[F.lit(None).cast("binary").alias(c) for c in ("i", "n", "x")])
+        merged = trained.union(every).repartition(blocks, "b").sortWithinPartitions("b").mapInArrow(average, schema)
+        path = write(merged, f"epoch{epoch}")
+    last = spark.read.schema(schema).parquet(path).select("b", "i", F.array(*names[:dim]).alias("vec"))
+    out = kept.save(last.join(words, ["b", "i"]).select("word", "vec"), "words")
     tables.delete()
-    return spark.createDataFrame(pd.DataFrame({"word": words, "vec": [x.tolist() for x in inner]}), "word string, vec array<float>")
+    return out
